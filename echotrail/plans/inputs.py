@@ -247,3 +247,71 @@ def model_results(spark: SparkSession, folder: str, variant: str = "baseline") -
         ((key * mult % 2 == 0) & (key % 3 != 1)).alias("partial_region_detected"),
         F.when(key % 97 == 0, "decode error").alias("error"),
     )
+
+
+# Raw label text: one order is one row of an unclean manifest ----------------------------
+
+_ORIGINS = ["Human", " AI ", "spoof", "bonafide", "mixed", "weird", "", None, "na",
+            "direct_synthetic", "ai_likely"]
+_TOKENS_A = ["clean", "Replay", "mixer", "partial_ai_insert", "direct_synthetic", "foo", "", "edited",
+             "clean_direct"]
+_TOKENS_B = ["", "clean", "low_quality", "replayed", "unknown_manipulation", " spliced ", "na"]
+_SEPARATORS = [";", "|", ",", ";;"]
+_SPLITS = ["train", "Validation", "eval", "foo", None, " TEST "]
+_NAMES = ["my_train_list", "Val set", "TEST_part", "misc", "asvspoof_2019"]
+_NUMBERS = ["1.5", " 2 ", "", "abc", "NaN", "inf", None, "-3e2", "00:90", "01:02:03", "1:xx"]
+_FLAGS = ["1", "TRUE", "yes", "y", "0", "False", "no", "n", "", "maybe", None]
+_STEMS = ["tts_clip", "news_hour_001", "podcast_ep", "phone_call_spk12", "tiktok_social", "vctk_set",
+          "librispeech_speaker7_x", "voxceleb1", "plain.v2", "replay_fake", "conversion_spoof",
+          "synthesis_fake", "human_001_clean", "ai_7_replay_laptop_mobile", "human_0012_mixer_processed",
+          "ai_003_fabricated", "human_5_direct", "bad_short_1", "ai_mixer", "human_fabricated_v2"]
+_FOLDERS = ["raw/ai_direct", "RAW/human_repeat", "raw/other", "set\\ai_mixer", "human_replay", "x/raw/human_clean"]
+_MANIPS = ["clean_direct", "human_replay", "ai_replay", "mixer_processed", "whatsapp_compressed",
+           "youtube_broadcast", "phone_recorded", "edited_spliced", "partial_ai_insert", "noisy_room", "odd"]
+_GT = ["human", "ai", "mixed", "unknown"]
+_GT_MANIPS = ["clean", "", "replayed", "processed", "unknown"]
+_STATUSES = ["clean_human_borderline", "direct_ai_detected", "direct_ai_missed", "unknown_review_required",
+             "direct_ai_file_level_missed_but_segment_suspicious", "clean_human_false_alarm",
+             "partial_fabrication_missed", "partial_not_evaluated_missing_timestamp"]
+_HINTS = ["", "conversion", "bonafide", "odd", None]
+
+_PICKS = [("origin_raw", "o_orderkey", _ORIGINS), ("origin_raw2", "o_custkey", _ORIGINS),
+          ("split_raw", "o_orderkey", _SPLITS), ("manifest_name", "o_custkey", _NAMES),
+          ("number_raw", "o_orderkey", _NUMBERS), ("flag_raw", "o_orderkey", _FLAGS),
+          ("stem_raw", "o_orderkey", _STEMS), ("folder_raw", "o_custkey", _FOLDERS),
+          ("manip_raw", "o_orderkey", _MANIPS), ("gt_origin", "o_custkey", _GT),
+          ("gt_manip", "o_custkey", _GT_MANIPS), ("status_raw", "o_orderkey", _STATUSES),
+          ("hint_raw", "o_custkey", _HINTS)]
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+RAW_SQL = f"""
+SELECT o_orderkey AS row_id, o_custkey AS group_no, o_totalprice / CAST(500000 AS DOUBLE) AS p1, (o_orderkey % 100) / CAST(100 AS DOUBLE) AS p2,
+  {_sql_list(_TOKENS_A)}[1 + o_custkey % {len(_TOKENS_A)}] || {_sql_list(_SEPARATORS)}[1 + o_orderkey % {len(_SEPARATORS)}]
+    || {_sql_list(_TOKENS_B)}[1 + o_orderkey % {len(_TOKENS_B)}] AS labels_raw,
+  {", ".join(f"{_sql_list(v)}[1 + {k} % {len(v)}] AS {n}" for n, k, v in _PICKS)},
+  '/Data/' || {_sql_list(_FOLDERS)}[1 + o_custkey % {len(_FOLDERS)}] || '/' || {_sql_list(_STEMS)}[1 + o_orderkey % {len(_STEMS)}] || '.wav' AS path_raw
+FROM orders
+"""
+
+
+def _pick(values, key):
+    arr = F.array(*[F.lit(v).cast("string") for v in values])
+    return F.element_at(arr, (F.col(key) % len(values) + 1).cast("int"))
+
+
+def raw_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order as one row whose text columns cycle through clean and broken values."""
+    return table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("group_no"),
+        (F.col("o_totalprice") / F.lit(500000.0)).alias("p1"),
+        ((F.col("o_orderkey") % 100) / F.lit(100.0)).alias("p2"),
+        F.concat(_pick(_TOKENS_A, "o_custkey"), _pick(_SEPARATORS, "o_orderkey"),
+                 _pick(_TOKENS_B, "o_orderkey")).alias("labels_raw"),
+        *[_pick(v, k).alias(n) for n, k, v in _PICKS],
+        F.concat(F.lit("/Data/"), _pick(_FOLDERS, "o_custkey"), F.lit("/"),
+                 _pick(_STEMS, "o_orderkey"), F.lit(".wav")).alias("path_raw"),
+    )
