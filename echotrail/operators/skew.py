@@ -22,6 +22,7 @@ HOT_ROWS_KEY = "spark.echotrail.hotGroupRows"
 HOT_ROWS_DEFAULT = 2_000_000
 MAX_HOT_GROUPS = 200
 SLICE = "_slice"
+MEASURE = object()  # default of `hot`: measure the groups now
 
 
 def hot_limit(df: DataFrame) -> int:
@@ -46,6 +47,11 @@ def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, counts.schema)
 
 
+def _measured(df: DataFrame, keys: Sequence[str], hot) -> DataFrame | None:
+    """Callers that keep a table's rows can measure once and hand the result on."""
+    return hot_groups(df, keys) if hot is MEASURE else hot
+
+
 def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
            hot: DataFrame) -> DataFrame:
     """Add `_slice`: 0 for ordinary groups, ordered contiguous parts for hot groups.
@@ -77,10 +83,11 @@ _COMBINE = {
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-            measures: dict[str, tuple[str, Column]], exclusive: bool = False) -> DataFrame:
+            measures: dict[str, tuple[str, Column]], exclusive: bool = False,
+            hot=MEASURE) -> DataFrame:
     """Running sum/max/min per group; `exclusive` leaves the current row out."""
     last = -1 if exclusive else Window.currentRow
-    hot = hot_groups(df, keys)
+    hot = _measured(df, keys, hot)
     if hot is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
         return df.select("*", *[_COMBINE[how][0](c).over(w).alias(n)
@@ -113,9 +120,9 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-             name: str = "position") -> DataFrame:
+             name: str = "position", hot=MEASURE) -> DataFrame:
     """1-based row number per group."""
-    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))})
+    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, hot=hot)
 
 
 def value_positions(df: DataFrame, keys: Sequence[str], value: str,
@@ -141,14 +148,14 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: dict[str, float]) -> DataFrame:
+                    probs: dict[str, float], hot=MEASURE) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per name.
 
     Small groups use the `percentile` aggregate, which holds a group's distinct
     values in one task; with a hot group the order statistics are read off
     cumulative counts of distinct values instead.
     """
-    if hot_groups(df.where(F.col(value).isNotNull()), keys) is None:
+    if _measured(df.where(F.col(value).isNotNull()), keys, hot) is None:
         return df.groupBy(*keys).agg(
             *[F.percentile(value, F.lit(float(p))).alias(n) for n, p in probs.items()])
     pos = value_positions(df, keys, value)
@@ -169,14 +176,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-               column: str, k: int, prev_name: str, next_name: str) -> DataFrame:
+               column: str, k: int, prev_name: str, next_name: str, hot=MEASURE) -> DataFrame:
     """The value `k` rows before and after within the group (null past the ends)."""
-    hot = hot_groups(df, keys)
+    hot = _measured(df, keys, hot)
     if hot is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", F.lag(column, k).over(w).alias(prev_name),
                          F.lead(column, k).over(w).alias(next_name))
-    pos = numbered(df, keys, order, "_pos")
+    pos = numbered(df, keys, order, "_pos", hot).checkpoint()
     value = pos.select(*keys, "_pos", F.col(column).alias("_v"))
     join = [*keys, "_pos"]
     before = value.withColumn("_pos", F.col("_pos") + k).withColumnRenamed("_v", prev_name)
@@ -184,9 +191,10 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return join_keys(join_keys(pos, before, join, "left"), after, join, "left").drop("_pos")
 
 
-def percent_rank_average(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+def percent_rank_average(df: DataFrame, keys: Sequence[str], value: str, name: str,
+                         hot=MEASURE) -> DataFrame:
     """Rank with ties averaged, divided by the non-null count; null stays null."""
-    if hot_groups(df, keys) is None:
+    if _measured(df, keys, hot) is None:
         by = [F.col(k) for k in keys]
         low = F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last()))
         ties = F.count(F.lit(1)).over(Window.partitionBy(*by, F.col(value)))
@@ -200,9 +208,10 @@ def percent_rank_average(df: DataFrame, keys: Sequence[str], value: str, name: s
     return join_keys(df, pos, [*keys, value], "left")
 
 
-def min_rank_descending(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+def min_rank_descending(df: DataFrame, keys: Sequence[str], value: str, name: str,
+                        hot=MEASURE) -> DataFrame:
     """Competition rank, highest value first; null stays null."""
-    if hot_groups(df, keys) is None:
+    if _measured(df, keys, hot) is None:
         w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(F.col(value).desc_nulls_last())
         return df.withColumn(name, F.when(F.col(value).isNotNull(), F.rank().over(w).cast("long")))
     pos = value_positions(df, keys, value, descending=True).select(
@@ -210,6 +219,18 @@ def min_rank_descending(df: DataFrame, keys: Sequence[str], value: str, name: st
     return join_keys(df, pos, [*keys, value], "left")
 
 
+def group_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], prefix: str,
+                  hot=MEASURE) -> DataFrame:
+    """Exact medians of several columns per group, named prefix + column."""
+    if _measured(df, keys, hot) is None:
+        return df.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.5)).alias(f"{prefix}{c}") for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.f", "_c.x")
+    med = exact_quantiles(long, [*keys, "f"], "x", {"m": 0.5})
+    return med.groupBy(*keys).agg(*[F.max(F.when(F.col("f") == c, F.col("m"))).alias(f"{prefix}{c}")
+                                    for c in columns])
+
+
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
              name: str = "rank_in_group") -> DataFrame:
     """The first k rows per group with their 1-based rank.
