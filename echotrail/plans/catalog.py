@@ -7,7 +7,7 @@ import importlib
 from echotrail.plans.registry import ORACLES, QUERIES
 
 MODULES = ["metric_queries", "profile_queries", "projection_queries", "window_queries",
-           "localization_queries", "cascade_queries", "join_queries"]
+           "localization_queries", "cascade_queries", "join_queries", "decision_queries"]
 
 for _name in MODULES:
     importlib.import_module(f"echotrail.plans.{_name}")
