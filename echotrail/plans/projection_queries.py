@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from echotrail.functions import labels as L
 from echotrail.functions import numbers as N
 from echotrail.functions import text as T
-from echotrail.operators.skew import join_keys
+from echotrail.operators.columns import (
+    clean_feature_matrix, drop_artifacts, enough_filled, feature_columns, first_filled_column, tidy_headers,
+)
+from echotrail.operators.joins import coalesce_suffix, prefixed
+from echotrail.operators.profile import issue_rows
 from echotrail.plans import inputs as I
 from echotrail.plans.profile_queries import BUCKET, duration_bucket
 from echotrail.plans.registry import query
@@ -34,12 +38,7 @@ def origin_sql(col):
 def header_names(spark, sf):
     df = I.table(spark, sf, "orders").select(c("o_orderkey").alias(" FilePath "), c("o_totalprice").alias("DURATION"),
                                              c("o_custkey").alias("sr"), c("o_orderstatus").alias("Other"))
-    # Known header names and what they become (fixed values).
-    known = {"filepath": "audio_path", "file_path": "audio_path", "path": "audio_path", "wav_path": "audio_path",
-             "duration": "duration_sec", "duration_seconds": "duration_sec", "length_sec": "duration_sec",
-             "sr": "sample_rate", "sample_rate_hz": "sample_rate"}
-    tidy = [x.strip().lower() for x in df.columns]
-    return df.toDF(*[known.get(x, x) for x in tidy])
+    return tidy_headers(df)
 
 
 @query("p2_origin_label", f"{R} SELECT row_id, {origin_sql('origin_raw')} AS origin FROM r")
@@ -341,22 +340,6 @@ def path_parts(spark, sf):
                                           T.lower_stem(p).alias("stem"), T.name_key(p).alias("name_key"))
 
 
-# Acoustic feature names: prefixes and exact names (fixed values).
-ACOUSTIC_PREFIXES = ("rms_", "spectral_", "mfcc_")
-ACOUSTIC_EXACT = {"peak_amplitude", "mean_amplitude", "std_amplitude", "dc_offset", "zero_crossing_rate_mean",
-                  "zero_crossing_rate_std", "clipping_ratio", "silence_ratio", "active_audio_ratio", "noise_floor_proxy",
-                  "snr_proxy", "dynamic_range_proxy", "spectral_entropy_mean", "spectral_entropy_std",
-                  "high_freq_rolloff_ratio", "bandwidth_occupied_95", "low_band_energy_ratio", "mid_band_energy_ratio",
-                  "high_band_energy_ratio", "very_high_band_energy_ratio"}
-
-
-def feature_columns(names, kind):
-    """Feature columns of a table: acoustic, ssl or combined, in sorted order."""
-    acoustic = sorted(n for n in names if n in ACOUSTIC_EXACT or n.startswith(ACOUSTIC_PREFIXES))
-    ssl = sorted(n for n in names if n.startswith("ssl_emb_"))
-    return {"acoustic": acoustic, "ssl": ssl, "combined": sorted(set(acoustic + ssl))}[kind]
-
-
 def named_features(spark, sf):
     return I.segments(spark, sf).select("file_id", "segment_id", c("f_quantity").alias("rms_mean"), c("f_price").alias("spectral_centroid"),
                                         c("f_discount").alias("ssl_emb_000"), c("f_tax").alias("snr_proxy"), c("prob").alias("replay_score"))
@@ -368,13 +351,6 @@ def feature_selection(spark, sf):
     return df.select("file_id", "segment_id", *feature_columns(df.columns, "combined"))
 
 
-def drop_artifacts(df, placeholders, version):
-    """Drop placeholder and join-suffix columns and put one schema_version first."""
-    bad = [n for n in df.columns if n in placeholders or n.endswith("_dup") or n.startswith("schema_version")]
-    kept = df.drop(*bad)
-    return kept.select(F.lit(version).alias("schema_version"), *kept.columns)
-
-
 @query("p28_column_cleanup", f"""WITH g AS ({I.SEGMENTS_SQL}) SELECT 'v1' AS schema_version, file_id, segment_id, f_quantity AS rms_mean, f_price AS spectral_centroid, f_discount AS ssl_emb_000, f_tax AS snr_proxy FROM g""")
 def column_cleanup(spark, sf):
     df = (named_features(spark, sf).withColumn("schema_version_x", F.lit("old")).withColumn("rms_mean_dup", c("rms_mean"))
@@ -389,8 +365,7 @@ def column_cleanup(spark, sf):
 def enough_features(spark, sf):
     df = I.raw_labels(spark, sf).withColumn("p1_text", F.when(c("p1") > 0.5, c("p1")).cast("string"))
     cols = ["number_raw", "split_raw", "hint_raw", "flag_raw", "origin_raw", "origin_raw2", "gt_manip", "p1_text"]
-    present = sum(F.when(T.not_blank(c(x)).isNotNull(), 1).otherwise(0) for x in cols)
-    return df.select("row_id", (present >= max(1, len(cols) // 4)).alias("enough"))
+    return df.select("row_id", enough_filled(cols).alias("enough"))
 
 
 @query("p30_task_sets", f"""{TARGET_CTE}, ft AS ({FILE_TARGETS_SQL})
@@ -407,7 +382,6 @@ def task_sets(spark, sf):
         "replay": (c("eligible_replay_file_model") == "true") & (one("target_is_replay") | clean) & zero("target_is_mixer_channel") & ~partial,
         "mixer": (c("eligible_mixer_file_model") == "true") & (one("target_is_mixer_channel") | clean) & zero("target_is_replay") & ~partial,
         "partial": partial}
-    from echotrail.operators.profile import issue_rows
     return issue_rows(t, tasks, ["row_id"], "task")
 
 
@@ -440,26 +414,11 @@ def error_cases(spark, sf):
 RES = f"WITH b AS ({I.RESULTS_SQL['baseline']})"
 
 
-def prefixed(df, name, key="sample_id"):
-    """Every column but the key gets the model's name as suffix."""
-    return df.select(key, *[c(x).alias(f"{x}_{name}") for x in df.columns if x != key])
-
-
 @query("p33_prefixed_columns", f"{RES} SELECT sample_id, decision_score AS decision_score_baseline, prediction AS prediction_baseline FROM b")
 def prefixed_columns(spark, sf):
     return prefixed(I.model_results(spark, sf).select("sample_id", "decision_score", "prediction"), "baseline")
 
 
-def first_filled_column(df, candidates):
-    """The first candidate column with any non-blank value, found in one aggregation."""
-    have = [x for x in candidates if x in df.columns]
-    row = df.agg(*[F.count_if(T.not_blank(c(x).cast("string")).isNotNull()).alias(x) for x in have]).first()
-    for x in have:
-        if row[x]:
-            return x
-    raise ValueError(f"no filled id column among {candidates}")
-
-
 @query("p34_sample_id", "SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, o_totalprice FROM orders")
 def sample_id(spark, sf):
     df = I.table(spark, sf, "orders").select(F.lit(" ").alias("sample_id"), F.lit(None).cast("string").alias("test_id"),
@@ -474,22 +433,6 @@ def coalesced_duplicates(spark, sf):
     return coalesce_suffix(df, "io")
 
 
-def coalesce_suffix(df, suffix):
-    """Blank values of a column are filled from its twin with the suffix, which is dropped."""
-    twins = [x for x in df.columns if x.endswith(f"_{suffix}")]
-    bases = {x: x[: -len(suffix) - 1] for x in twins}
-    out = []
-    for x in df.columns:
-        if x in twins:
-            if bases[x] not in df.columns:
-                out.append(c(x).alias(bases[x]))
-        elif f"{x}_{suffix}" in twins:
-            out.append(F.coalesce(T.not_blank(c(x)), c(f"{x}_{suffix}")).alias(x))
-        else:
-            out.append(c(x))
-    return df.select(*out)
-
-
 NOTE_TASKS = {"origin_file_model": ("clean human predicted as AI evidence", "clean AI evidence missed"),
               "replay_file_model": ("clean file predicted as replay evidence", "replay file missed"),
               "mixer_file_model": ("clean file predicted as mixer/channel evidence", "mixer/channel file missed")}
@@ -515,16 +458,6 @@ def error_types(spark, sf):
             .groupBy("task_name", "error_type", "review_note").agg(F.count(F.lit(1)).alias("n")))
 
 
-def clean_feature_matrix(df, features):
-    """Numeric features with blanks as null; all-missing and non-numeric columns go.
-
-    One aggregation over the table decides; returns the cleaned frame.
-    """
-    stats = df.agg(*[F.count(N.to_number(c(f))).alias(f"n_{f}") for f in features]).first()
-    usable = [f for f in features if stats[f"n_{f}"] > 0]
-    return df.select(*[x for x in df.columns if x not in features], *[N.to_number(c(f)).alias(f) for f in usable])
-
-
 @query("p37_clean_matrix", f"""{R}, n AS (SELECT row_id, TRY_CAST(trim(number_raw) AS DOUBLE) AS x, p1 FROM r) SELECT row_id, CASE WHEN isfinite(x) THEN x END AS number_raw, p1 FROM n""")
 def clean_matrix(spark, sf):
     df = I.raw_labels(spark, sf).select("row_id", "number_raw", c("p1").cast("string").alias("p1"),
