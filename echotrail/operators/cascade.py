@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrail.operators.metrics import ratio
-from echotrail.operators.skew import exact_quantiles, join_keys, top_rows
+from echotrail.operators.skew import group_medians, join_ids, merge_rows, top_rows
 
 PARTIAL = ["ai_fabricated", "human_fabricated"]
 DIRECT = ["ai_direct", "human_direct", "human_clean"]
@@ -53,7 +53,7 @@ def segment_profile(seg: DataFrame, key: str, prob: str, order: Sequence[Column]
         hit = lambda n: F.max(F.when(F.col("_r") <= n, F.col(truth) == 1))
         aggs += [F.coalesce(hit(n), F.lit(False)).alias(f"top{n}_hit") for n in (1, 3, k)]
         aggs += [F.count_if(F.col(truth) == 1).alias("topk_inside_count")]
-    j = join_keys(base, top.groupBy(key).agg(*aggs), [key])
+    j = join_ids(base, top.groupBy(key).agg(*aggs), [key])
     rest_n = F.col("segment_count") - F.col("_topn")
     top_mean = F.col("_topsum") / F.col("_topn")
     rest_mean = F.when(rest_n > 0, (F.col("_sum") - F.col("_topsum")) / rest_n)
@@ -134,7 +134,7 @@ def cascade_grid(profiles: DataFrame, gate: str, category: str,
     grid = totals.select("*", levels("g", gates)).select("*", levels("s", segs)) \
         .select("*", levels("c", contrasts)).select("*", levels("b", broads)) \
         .select("*", F.col("g.i").alias("gi"), F.col("s.i").alias("si"), F.col("c.i").alias("ci"), F.col("b.i").alias("bi"))
-    j = join_keys(grid, pos, ["gi", "si", "ci", "bi"], "left")
+    j = join_ids(grid, pos, ["gi", "si", "ci", "bi"], "left")
     got = lambda c: F.coalesce(F.col(c), F.lit(0))
     pp = got("p_partial")
     return j.select(
@@ -238,6 +238,4 @@ def outcome_distribution(df: DataFrame, group: str, columns: Sequence[str]) -> D
     out = df.groupBy(group).agg(
         F.count(F.lit(1)).alias("count"), *[F.min(c).alias(f"min_{c}") for c in columns],
         *[F.max(c).alias(f"max_{c}") for c in columns])
-    for c in columns:
-        out = join_keys(out, exact_quantiles(df, [group], c, {f"median_{c}": 0.5}), [group])
-    return out
+    return merge_rows([group], out, group_medians(df, [group], columns, "median_"))

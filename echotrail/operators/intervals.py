@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echotrail.operators.skew import join_keys, neighbours
+from echotrail.operators.skew import join_ids, neighbours
 
 
 def overlap_seconds(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -48,7 +48,7 @@ def overlap_pairs(seg: DataFrame, ann: DataFrame, key: str, cell_sec: float = 60
         "_cell", F.explode(F.sequence(cell(F.col("start_sec")), cell(F.col("end_sec")))))
     right = ann.where(F.col("ann_end") > F.col("ann_start")).withColumn(
         "_cell", F.explode(F.sequence(cell(F.col("ann_start")), cell(F.col("ann_end")))))
-    pairs = join_keys(left, right, [key, "_cell"])
+    pairs = join_ids(left, right, [key, "_cell"])
     begin = F.greatest("start_sec", "ann_start")
     sec = F.least("end_sec", "ann_end") - begin
     return pairs.where((sec > 0) & (F.col("_cell") == cell(begin))).drop("_cell").withColumn(
@@ -66,7 +66,7 @@ def label_segments(seg: DataFrame, ann: DataFrame, key: str, ident: str,
     sums = pairs.groupBy(key, ident).agg(
         F.max("overlap_sec").alias("max_overlap_sec"), F.sum("overlap_sec").alias("total_overlap_sec"))
     annotated = ann.select(key).distinct().withColumn("_known", F.lit(True))
-    j = join_keys(join_keys(seg, sums, [key, ident], "left"), annotated, [key], "left")
+    j = join_ids(join_ids(seg, sums, [key, ident], "left"), annotated, [key], "left")
     usable = F.col("_known").isNotNull() & (F.col("end_sec") > F.col("start_sec"))
     share = F.col("max_overlap_sec") / (F.col("end_sec") - F.col("start_sec"))
     inside = usable & F.coalesce(share >= min_ratio, F.lit(False))

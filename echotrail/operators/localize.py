@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from echotrail.functions.numbers import row_mean
 from echotrail.operators.skew import (
-    MEASURE, group_medians, hot_groups, join_keys, min_rank_descending, neighbours,
+    MEASURE, group_medians, hot_groups, join_ids, min_rank_descending, neighbours,
     percent_rank_average, top_rows,
 )
 
@@ -18,11 +18,11 @@ MAD_SCALE = 1.4826  # makes the median absolute deviation comparable to a standa
 
 def with_medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], hot=MEASURE) -> DataFrame:
     """Add med_<c> (group median) and mad_<c> (median absolute deviation, 0 as null)."""
-    med = join_keys(df, group_medians(df, keys, cols, "med_", hot), keys)
+    med = join_ids(df, group_medians(df, keys, cols, "med_", hot), keys)
     dev = med.select(*keys, *[F.abs(F.col(c) - F.col(f"med_{c}")).alias(c) for c in cols])
     mad = group_medians(dev, keys, cols, "mad_", hot)
     mad = mad.select(*keys, *[F.nullif(F.col(f"mad_{c}"), F.lit(0.0)).alias(f"mad_{c}") for c in cols])
-    return join_keys(med, mad, keys)
+    return join_ids(med, mad, keys)
 
 
 def robust_z(c: str) -> Column:
@@ -71,7 +71,7 @@ def baseline_margins(df: DataFrame, key: str, groups: dict[str, list[str]], insi
     base = group_medians(split, [key], [*[f"in_{c}" for c in cols], *[f"out_{c}" for c in cols]], "", hot)
     both = df.groupBy(key).agg((F.max(F.coalesce(inside, F.lit(False)))
                                 & F.max(F.coalesce(outside, F.lit(False)))).alias("_both"))
-    j = join_keys(join_keys(df, base, [key]), both, [key])
+    j = join_ids(join_ids(df, base, [key]), both, [key])
     gap = lambda side, c: (F.col(c) - F.col(f"{side}_{c}")) / (MAD_SCALE * F.col(f"mad_{c}"))
     for g, gcols in groups.items():
         for side in ("out", "in"):
@@ -104,7 +104,7 @@ def localization_candidates(df: DataFrame, key: str, ident: str, groups: dict[st
     t = t.withColumn("candidate_score", F.round(score, 9))
     t = min_rank_descending(t, [key], "candidate_score", "candidate_rank", hot)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("segment_count"))
-    t = join_keys(t, counts, [key])
+    t = join_ids(t, counts, [key])
     drop = [f"{p}{c}" for c in cols for p in ("med_", "mad_")]
     return t.withColumn("candidate_type", candidate_class(top_k)).drop("_margin_rank", *drop)
 
@@ -131,13 +131,13 @@ def live_features(df: DataFrame, key: str, ident: str, groups: dict[str, list[st
     hot = hot_groups(df, [key])
     cols = [c for g in groups.values() for c in g]
     order = [F.col("start_sec").asc(), F.col(ident).asc()]
-    t = join_keys(df, group_medians(df, [key], cols, "med_", hot), [key])
+    t = join_ids(df, group_medians(df, [key], cols, "med_", hot), [key])
     for g, gcols in groups.items():
         t = t.withColumn(f"{g}_distance", mean_abs(*[F.col(c) - F.col(f"med_{c}") for c in gcols]))
     t = t.withColumn("_x", F.struct(*[F.array(*gcols).alias(g) for g, gcols in groups.items()]))
     t = neighbours(t, [key], order, "_x", 1, "_xp", "_xn", hot)
     tops = t.groupBy(key).agg(*[F.max(f"{g}_distance").alias(f"_top_{g}") for g in groups])
-    t = join_keys(t, tops, [key])
+    t = join_ids(t, tops, [key])
     for g in groups:
         t = percent_rank_average(t, [key], f"{g}_distance", f"{g}_deviation_percentile", hot)
         t = t.withColumn(f"{g}_deviation_score", F.col(f"{g}_distance") / (F.col(f"_top_{g}") + 1e-9)) \

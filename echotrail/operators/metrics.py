@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotrail.operators.skew import (
-    exact_quantiles, join_keys, neighbours, running, value_positions,
+    exact_quantiles, group_stats, join_keys, neighbours, running,
 )
 
 COUNTS = ["tn", "fp", "fn", "tp"]
@@ -258,14 +258,12 @@ def calibration_summary(df: DataFrame, keys: Sequence[str], score: str,
 
 def score_distribution(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """count, min, q10..q90, max, mean and population std per key."""
-    base = df.groupBy(*keys).agg(
+    return group_stats(df, keys, [
         F.count(F.lit(1)).alias("count"), F.min(score).alias("min_probability"),
         F.max(score).alias("max_probability"), F.avg(score).alias("mean_probability"),
-        F.stddev_pop(score).alias("std_probability"))
-    q = exact_quantiles(df, keys, score, {
+        F.stddev_pop(score).alias("std_probability")], score, {
         "q10_probability": 0.1, "q25_probability": 0.25, "median_probability": 0.5,
         "q75_probability": 0.75, "q90_probability": 0.9})
-    return join_keys(base, q, keys)
 
 
 def band_cutpoints(df: DataFrame, keys: Sequence[str], score: str, truth: str,

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echotrail.operators.skew import exact_quantiles, join_keys, top_rows
+from echotrail.operators.skew import group_stats, join_keys, top_rows
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
@@ -58,9 +58,9 @@ def file_balance(df: DataFrame, file_key: str, dimensions: Sequence[str]) -> Dat
         F.sum("_n").alias("row_count"), F.count(F.lit(1)).alias("unique_file_count"))
     files = keyed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).agg(
         F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_files"))
-    one = files.select(F.lit(1).alias("_one"), "_rows", "_files")
+    totals = files.select(F.explode(F.array(*[F.lit(d) for d in dimensions])).alias("dimension"), "_rows", "_files")
     rows, uniq = F.col("row_count"), F.col("unique_file_count")
-    return (join_keys(counts.withColumn("_one", F.lit(1)), one, ["_one"])
+    return (join_keys(counts, totals, ["dimension"])
             .select("dimension", "value", "row_count", "unique_file_count",
                     F.round(100.0 * rows / F.col("_rows"), 4).alias("row_pct"),
                     F.round(100.0 * uniq / F.col("_files"), 4).alias("file_pct"),
@@ -137,13 +137,12 @@ def feature_long(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (
 def feature_summary(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Count, missing percent, mean, sample std, min, median, max per (keys, feature)."""
     by = [*keys, "feature"]
-    base = long.groupBy(*by).agg(
+    base = group_stats(long, by, [
         F.count("x").alias("count"), F.count(F.lit(1)).alias("row_count"),
         F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max"))
-    med = exact_quantiles(long, by, "x", {"median": 0.5})
+        F.min("x").alias("min"), F.max("x").alias("max")], "x", {"median": 0.5})
     miss = 100.0 * (1 - F.col("count") / F.greatest(F.col("row_count"), F.lit(1)))
-    return join_keys(base, med, by).withColumn("missing_percent", F.round(miss, 4))
+    return base.withColumn("missing_percent", F.round(miss, 4))
 
 
 def missingness(long: DataFrame, limited_pct: float = 50.0) -> DataFrame:
@@ -174,13 +173,11 @@ def compare_groups(df: DataFrame, features: Sequence[str],
 def group_effects(long: DataFrame, keys: Sequence[str], min_group: int = 5) -> DataFrame:
     """Effect sizes from long rows with `_side` in (a, b)."""
     by = [*keys, "feature", "_side"]
-    stats = long.groupBy(*by).agg(
+    stats = group_stats(long, by, [
         F.count(F.lit(1)).alias("n"), F.count("x").alias("k"), F.avg("x").alias("m"),
-        F.var_samp("x").alias("v"))
-    med = exact_quantiles(long, by, "x", {"md": 0.5})
-    both = join_keys(stats, med, by)
+        F.var_samp("x").alias("v")], "x", {"md": 0.5})
     pick = lambda side, c: F.max(F.when(F.col("_side") == side, F.col(c)))
-    wide = both.groupBy(*keys, "feature").agg(*[
+    wide = stats.groupBy(*keys, "feature").agg(*[
         pick(s, c).alias(f"{c}_{s}") for s in "ab" for c in ("n", "k", "m", "v", "md")])
     zero = F.lit(0)
     na, nb = (F.coalesce(f"n_{s}", zero) for s in "ab")
@@ -249,8 +246,9 @@ def class_weights(df: DataFrame, label: Column, n_classes: int) -> DataFrame:
     classes = df.sparkSession.range(n_classes).select(F.col("id").cast("int").alias("class"))
     filled = join_keys(classes, counts, ["class"], "left").select(
         "class", F.greatest(F.coalesce("_n", F.lit(0)), F.lit(1)).alias("class_count"))
-    all_rows = Window.partitionBy(F.lit(1))
-    raw = F.sum("class_count").over(all_rows) / (n_classes * F.col("class_count"))
-    return filled.withColumn("_raw", raw).select(
-        "class", "class_count",
-        (F.col("_raw") / F.sum("_raw").over(all_rows) * n_classes).alias("weight"))
+    # n_classes rows become one short array; totals and weights are taken inside it
+    packed = filled.agg(F.sort_array(F.collect_list(F.struct("class", "class_count"))).alias("_c"))
+    inverse = F.transform("_c", lambda s: F.lit(1.0) / s["class_count"])
+    total = F.aggregate(inverse, F.lit(0.0), lambda a, x: a + x)
+    return packed.withColumn("_t", total).select(F.explode("_c").alias("s"), "_t").select(
+        "s.class", "s.class_count", (F.lit(1.0) / F.col("s.class_count") / F.col("_t") * n_classes).alias("weight"))

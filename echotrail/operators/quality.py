@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from echotrail.functions.numbers import to_number
 from echotrail.operators.profile import issue_rows
-from echotrail.operators.skew import join_keys, numbered
+from echotrail.operators.skew import join_ids, numbered
 
 
 def missing_columns(df: DataFrame, required: Sequence[str], forbidden: Sequence[str] = ()) -> list[str]:
@@ -94,7 +94,7 @@ def rank_integrity(df: DataFrame, key: str, rank: str, prob: str, index: str, st
         F.max(prob).alias("_top"), F.max(F.when(F.col(rank) == 1, F.col(prob))).alias("_first"))
     pos = numbered(df, [key], [F.col(start).asc(), F.col(index).asc()], "_pos")
     order = pos.groupBy(key).agg(F.max(F.col(index) != F.col("_pos") - 1).alias("_moved"))
-    j = join_keys(join_keys(g, distinct, [key]), order, [key])
+    j = join_ids(join_ids(g, distinct, [key]), order, [key])
     ranks = (F.col("_lo") != 1) | (F.col("_hi") != F.col("_n")) | (F.col("_d") != F.col("_n"))
     first = F.coalesce(F.abs(F.col("_first") - F.col("_top")) > 1e-9, F.lit(True))
     return issue_rows(j, {"ranks_not_1_to_n": ranks, "rank_1_not_maximum": first,
@@ -105,7 +105,7 @@ def candidate_matches_first(files: DataFrame, segments: DataFrame, key: str) ->
     """Recordings whose stored candidate is not their rank-1 segment (bounds and score within 1e-6)."""
     first = segments.where(F.col("segment_rank") == 1).select(
         key, F.col("segment_start").alias("_s"), F.col("segment_end").alias("_e"), F.col("segment_probability").alias("_p"))
-    j = join_keys(files, first, [key], "left")
+    j = join_ids(files, first, [key], "left")
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-6
     ok = near("candidate_start", "_s") & near("candidate_end", "_e") & near("candidate_probability", "_p")
     return j.where(~F.coalesce(ok, F.lit(False))).select(key, F.when(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrail.operators.profile import mode_per_group
-from echotrail.operators.skew import join_keys, numbered, top_rows
+from echotrail.operators.skew import join_ids, numbered, top_rows
 
 
 def draw_key(key: Column, seed: int) -> Column:
@@ -28,12 +28,12 @@ def speaker_split(df: DataFrame, speaker: str, strata: Sequence[str], seed: int,
     group = None
     for s in strata:
         m = mode_per_group(df, [speaker], s, s)
-        group = m if group is None else join_keys(group, m, [speaker])
+        group = m if group is None else join_ids(group, m, [speaker])
     keyed = group.withColumn("stratum", F.concat_ws("_", *strata)).drop(*strata).withColumn(
         "_k", draw_key(F.col(speaker), seed))
     pos = numbered(keyed, ["stratum"], [F.col("_k").asc(), F.col(speaker).asc()], "_pos")
     n = keyed.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
-    j = join_keys(pos, n, ["stratum"])
+    j = join_ids(pos, n, ["stratum"])
     a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * val)
     split = F.when(F.col("_pos") <= a, "train").when(F.col("_pos") <= a + b, "val").otherwise("test")
     return j.select(speaker, "stratum", split.alias("split"))
@@ -46,7 +46,7 @@ def verify_splits(df: DataFrame, speaker: str, split: str, label: str, source: C
         F.count_if(F.col(label) == "spoof").alias("_fake"),
         F.max(source).alias("_rw"), F.max(~source).alias("_bench"))
     spread = per.groupBy(speaker).agg(F.count(F.lit(1)).alias("_splits"))
-    return join_keys(per, spread, [speaker]).groupBy(split).agg(
+    return join_ids(per, spread, [speaker]).groupBy(split).agg(
         F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("speakers"),
         F.count_if(F.col("_splits") > 1).alias("shared_speakers"),
         ((F.sum("_real") > 0) & (F.sum("_fake") > 0)).alias("both_classes"),

@@ -147,6 +147,33 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def join_ids(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on id columns that are never null.
+
+    Plain equality keeps the hash partitioning of earlier aggregations and windows on
+    the same ids, so no side is shuffled again; a null-safe join would lose it.
+    """
+    return left.join(right, list(keys), how)
+
+
+def merge_rows(keys: Sequence[str], *frames: DataFrame) -> DataFrame:
+    """Put aggregates with different columns side by side per key: one shuffle, no join."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.groupBy(*keys).agg(*[F.max(c).alias(c) for c in out.columns if c not in keys])
+
+
+def group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], value: str,
+                probs: dict[str, float], hot=MEASURE) -> DataFrame:
+    """Ordinary aggregates and exact quantiles of one column per group, in one shuffle when groups are small."""
+    hot = _measured(df, keys, hot)
+    if hot is None:
+        return df.groupBy(*keys).agg(
+            *aggs, *[F.percentile(value, F.lit(float(p))).alias(n) for n, p in probs.items()])
+    return join_keys(df.groupBy(*keys).agg(*aggs), exact_quantiles(df, keys, value, probs, hot), keys)
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: dict[str, float], hot=MEASURE) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per name.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from echotrail.operators.intervals import overlaps
 from echotrail.operators.profile import mode_per_group
-from echotrail.operators.skew import exact_quantiles, join_keys, running, top_rows
+from echotrail.operators.skew import group_stats, join_ids, running, top_rows
 
 # Attack types by index of the probability vector (fixed values).
 ATTACK_TYPES = ["bonafide", "synthesis", "conversion", "replay"]
@@ -18,7 +18,7 @@ def evaluated_chunks(df: DataFrame, key: str = "sample_id") -> DataFrame:
     """Scored chunks marked as evaluated; all scored chunks where a sample has no such mark."""
     scored = df.where(F.col("spoof_probability").isNotNull())
     any_eval = scored.groupBy(key).agg(F.max("evaluated").alias("_any"))
-    return join_keys(scored, any_eval, [key]).where(
+    return join_ids(scored, any_eval, [key]).where(
         F.coalesce("evaluated", F.lit(True)) | ~F.coalesce("_any", F.lit(True))).drop("_any")
 
 
@@ -32,7 +32,7 @@ def dominant_attack(df: DataFrame, keys: list[str], name: str = "dominant_attack
     names = F.array(*[F.lit(a) for a in ATTACK_TYPES])
     by_prob = best.select(*keys, F.element_at(names, (1 - F.col("_b._neg")).cast("int")).alias("_by_prob"))
     by_type = mode_per_group(df, keys, "attack_type", "_by_type")
-    return join_keys(by_type, by_prob, keys, "left").select(
+    return join_ids(by_type, by_prob, keys, "left").select(
         *keys, F.coalesce("_by_prob", "_by_type").alias(name))
 
 
@@ -40,12 +40,12 @@ def chunk_metrics(df: DataFrame, key: str = "sample_id") -> DataFrame:
     """Suspicious count and ratio, max, mean, median and dominant attack per sample."""
     ev = evaluated_chunks(df, key)
     p = F.col("spoof_probability")
-    base = ev.groupBy(key).agg(
+    base = group_stats(ev, [key], [
         F.count_if(p >= SUSPICIOUS).alias("suspicious_chunk_count"),
         (F.count_if(p >= SUSPICIOUS) / F.count(F.lit(1))).alias("suspicious_chunk_ratio"),
-        F.max(p).alias("max_chunk_spoof"), F.avg(p).alias("mean_chunk_spoof"))
-    med = exact_quantiles(ev, [key], "spoof_probability", {"median_chunk_spoof": 0.5})
-    return join_keys(join_keys(base, med, [key]), dominant_attack(ev, [key], "dominant_chunk_attack"), [key])
+        F.max(p).alias("max_chunk_spoof"), F.avg(p).alias("mean_chunk_spoof"),
+    ], "spoof_probability", {"median_chunk_spoof": 0.5})
+    return join_ids(base, dominant_attack(ev, [key], "dominant_chunk_attack"), [key])
 
 
 def region_metrics(df: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -67,7 +67,7 @@ def region_metrics(df: DataFrame, key: str = "sample_id") -> DataFrame:
     detected = (known(inside >= outside + 0.15) | known(F.col("inside_region_max_spoof") >= 0.65)
                 | (known(F.col("inside_region_dominant_attack").isin("synthesis", "conversion"))
                    & (F.coalesce("outside_region_dominant_attack", F.lit("bonafide")) == "bonafide")))
-    return join_keys(base, dom, [key]).withColumn(
+    return join_ids(base, dom, [key]).withColumn(
         "partial_region_detected", (F.col("n_chunks_inside") > 0) & detected)
 
 

@@ -9,7 +9,7 @@ from echotrail.operators import localize as Z
 from echotrail.operators.metrics import best_row, ratio
 from echotrail.operators.profile import issue_rows
 from echotrail.operators.skew import (
-    exact_quantiles, group_medians, join_keys, numbered, running, top_rows,
+    group_medians, group_stats, join_ids, numbered, running, top_rows,
 )
 from echotrail.plans import inputs as I
 from echotrail.plans.localization_queries import RANGES
@@ -35,7 +35,7 @@ def pooled_probability(spark, sf):
     base = s.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_segments"), F.max("prob").alias("max_probability"),
                                     F.round(1 - F.product(1 - p), 6).alias("noisy_or"))
     top = top_rows(s, ["file_id"], [c("prob").desc(), *ORDER], 3, "_r").groupBy("file_id").agg(F.round(F.avg("prob"), 6).alias("top3_mean"))
-    return join_keys(base, top, ["file_id"])
+    return join_ids(base, top, ["file_id"])
 
 
 @query("a47_trimmed_mean", f"""{G}, {RK}, t AS (SELECT *, CAST(round_even(n * 0.1, 0) AS BIGINT) AS k FROM (SELECT file_id, prob, n, row_number() OVER (PARTITION BY file_id ORDER BY prob, start_sec, segment_id) AS r FROM rk))
@@ -46,7 +46,7 @@ def trimmed_mean(spark, sf):
     n = s.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
     k = F.bround(c("n") * 0.1, 0).cast("long")
     keep = (k == 0) | (c("n") <= 2 * k) | ((c("r") > k) & (c("r") <= c("n") - k))
-    return join_keys(pos, n, ["file_id"]).groupBy("file_id").agg(F.round(F.avg(F.when(keep, c("prob"))), 6).alias("trimmed_mean"))
+    return join_ids(pos, n, ["file_id"]).groupBy("file_id").agg(F.round(F.avg(F.when(keep, c("prob"))), 6).alias("trimmed_mean"))
 
 
 @query("a48_median_vector", f"{G} SELECT file_id, " + ", ".join(f"round(quantile_cont({k}, 0.5), 6) AS median_{k}" for k in I.FEATURES) + " FROM g GROUP BY file_id")
@@ -67,8 +67,8 @@ def profile(spark, sf, thresholds=C.SEGMENT_THRESHOLDS):
   round(med, 6) AS median_segment_probability, round(tk, 6) AS top_k_mean_probability, round(coalesce(rest, 0), 6) AS rest_mean_probability, round(contrast, 6) AS topk_minus_rest_probability, round(sd, 6) AS probability_std, round(contrast + sd, 6) AS localized_pattern_score FROM pr""")
 def segment_profile(spark, sf):
     p = profile(spark, sf, [0.55])
-    med = exact_quantiles(I.segments(spark, sf), ["file_id"], "prob", {"_med": 0.5})
-    j = join_keys(p, med, ["file_id"])
+    med = group_medians(I.segments(spark, sf), ["file_id"], ["prob"], "_med_").withColumnRenamed("_med_prob", "_med")
+    j = join_ids(p, med, ["file_id"])
     return j.select("file_id", "segment_count", c("high_55").alias("high_segment_count"), F.round(C.high_fraction(0.55), 6).alias("high_segment_fraction"),
                     F.round("max_probability", 6).alias("max_segment_probability"), F.round("mean_probability", 6).alias("mean_segment_probability"),
                     F.round("_med", 6).alias("median_segment_probability"), F.round("topk_mean_probability", 6).alias("top_k_mean_probability"),
@@ -78,7 +78,7 @@ def segment_profile(spark, sf):
 
 
 def profiled_files(spark, sf, how="left"):
-    return join_keys(I.files(spark, sf), profile(spark, sf), ["file_id"], how)
+    return join_ids(I.files(spark, sf), profile(spark, sf), ["file_id"], how)
 
 
 # looser than the accepted thresholds, so that a share of the test recordings is positive
@@ -165,7 +165,7 @@ h AS (SELECT ru.*, cs, ce, cp, CASE WHEN ru.file_id % 101 = 0 THEN 'load_failure
 def holdout(spark, sf):
     top = top_rows(I.segments(spark, sf), ["file_id"], [c("prob").desc(), *ORDER], 1, "_r").select(
         "file_id", c("start_sec").alias("candidate_start"), c("end_sec").alias("candidate_end"), c("prob").alias("candidate_probability"))
-    j = join_keys(ruled_files(spark, sf), top, ["file_id"], "left")
+    j = join_ids(ruled_files(spark, sf), top, ["file_id"], "left")
     cat = c("file_category")
     err = F.abs((c("candidate_start") + c("candidate_end")) / 2 - (c("region_start") + c("region_end")) / 2)
     return (j.withColumn("error_status", F.when(c("file_id") % 101 == 0, "load_failure").otherwise("ok"))
@@ -197,16 +197,15 @@ def holdout_metrics_frame(spark, sf):
     r = C.rate
     stamped = ok & pos & c("has_timestamp")
     new = ok & (c("test_group") == "fabricated_20pct")
-    m = h.groupBy("scope").agg(
+    m = group_stats(h, ["scope"], [
         F.count(F.lit(1)).alias("total_files"), F.count_if(ok).alias("evaluated_files"), F.count_if(~ok).alias("failed_files"),
         F.count_if(ok & exp).alias("partial_file_count"), r(ok & exp, pos).alias("partial_evidence_recall"), r(ok & ~exp, pos).alias("non_partial_false_alarm_rate"),
         *[r(ok & (c("condition") == k), pos).alias(n) for k, n in (("direct", "direct_false_partial_rate"), ("replay", "replay_false_partial_rate"),
                                                                  ("mixer", "mixer_false_partial_rate"), ("unknown", "unknown_condition_positive_rate"))],
         F.count_if(ok & pos).alias("positive_file_count"), r(ok & pos, c("broad_activation_flag")).alias("broad_activation_rate_when_positive"),
         *[r(stamped, c(f"top{n}_hit")).alias(f"top{n}_hit_rate_when_positive") for n in (1, 3, 5)],
-        F.count_if(stamped).alias("timestamp_positive_count"), r(new, pos).alias("new_partial_recall"), F.count_if(new & ~pos).alias("new_partial_false_negative_count"))
-    med = exact_quantiles(h, ["scope"], "_err", {"median_timestamp_error": 0.5})
-    return rounded(join_keys(m, med, ["scope"]).drop("scope"))
+        F.count_if(stamped).alias("timestamp_positive_count"), r(new, pos).alias("new_partial_recall"), F.count_if(new & ~pos).alias("new_partial_false_negative_count")], "_err", {"median_timestamp_error": 0.5})
+    return rounded(m.drop("scope"))
 
 
 @query("a55_holdout_metrics", f"{HOLD} SELECT {HM} FROM h")
@@ -255,7 +254,7 @@ def localized_files(spark, sf):
         F.max(F.when(y == 1, c("prob"))).alias("max_prob_inside"), F.avg(F.when(y == 1, c("prob"))).alias("mean_prob_inside"),
         F.max(F.when(y == 0, c("prob"))).alias("max_prob_outside"), F.avg(F.when(y == 0, c("prob"))).alias("mean_prob_outside"))
     prof = profile(spark, sf, [0.50])
-    return (join_keys(join_keys(prof, inner, ["file_id"]), I.files(spark, sf).select("file_id", "file_category"), ["file_id"])
+    return (join_ids(join_ids(prof, inner, ["file_id"]), I.files(spark, sf).select("file_id", "file_category"), ["file_id"])
             .withColumn("is_partial", c("file_category").isin(C.PARTIAL)).withColumn("high_fraction", C.high_fraction(0.50)))
 
 
@@ -289,7 +288,7 @@ def precision_at_k(spark, sf):
     s = I.segments(spark, sf)
     positive = s.groupBy("file_id").agg(F.max("y_true").alias("_any")).where("_any = 1").select("file_id")
     top = top_rows(s, ["file_id"], [c("prob").desc(), *ORDER], 5, "_r").groupBy("file_id").agg((F.count_if(c("y_true") == 1) / 5).alias("p"))
-    return join_keys(top, positive, ["file_id"]).agg(F.round(F.avg("p"), 6).alias("precision_at_5"))
+    return join_ids(top, positive, ["file_id"]).agg(F.round(F.avg("p"), 6).alias("precision_at_5"))
 
 
 @query("a59_topk_summary", f"""{G}, {RK} SELECT file_id, count(*) AS total_segments, count(*) FILTER (y_true = 1) AS true_inside_segments, string_agg(segment_id, ';' ORDER BY r) FILTER (r <= 5) AS top_k_segments, coalesce(bool_or(y_true = 1) FILTER (r <= 5), false) AS top_k_hit,
@@ -300,7 +299,7 @@ def topk_summary(spark, sf):
     top = top_rows(s, ["file_id"], [c("prob").desc(), *ORDER], 5, "_r").groupBy("file_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "segment_id"))), lambda x: x["segment_id"]), ";").alias("top_k_segments"),
         (F.max("y_true") == 1).alias("top_k_hit"), F.round(F.avg("y_true"), 6).alias("top_k_hit_rate"))
-    return join_keys(base, top, ["file_id"])
+    return join_ids(base, top, ["file_id"])
 
 
 TH60 = list(range(20, 100, 5))
@@ -311,7 +310,7 @@ s AS (SELECT threshold, count(*) AS n_partial_files, round(avg(hit5::INT), 6) AS
 SELECT *, row_number() OVER (ORDER BY (broad_activation_rate <= 0.35) DESC, top5_hit_rate DESC, broad_activation_rate, threshold DESC) = 1 AS chosen FROM s""")
 def segment_threshold_choice(spark, sf):
     ths = [k / 100.0 for k in range(20, 96, 5)]
-    p = join_keys(profile(spark, sf, ths), I.files(spark, sf).where(c("file_category").isin(C.PARTIAL)).select("file_id"), ["file_id"])
+    p = join_ids(profile(spark, sf, ths), I.files(spark, sf).where(c("file_category").isin(C.PARTIAL)).select("file_id"), ["file_id"])
     long = p.select("top5_hit", F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), (C.high_fraction(t) >= 0.40).alias("broad")) for t in ths])).alias("t"))
     s = long.groupBy(c("t.threshold").alias("threshold")).agg(
         F.count(F.lit(1)).alias("n_partial_files"), F.round(F.avg(c("top5_hit").cast("int")), 6).alias("top5_hit_rate"),
@@ -319,7 +318,7 @@ def segment_threshold_choice(spark, sf):
     one = s.withColumn("_k", F.lit(1))
     best = best_row(one, ["_k"], [(c("broad_activation_rate") <= 0.35).desc(), c("top5_hit_rate").desc(), c("broad_activation_rate").asc(), c("threshold").desc()])
     chosen = best.select("threshold", F.lit(True).alias("_c"))
-    return join_keys(s, chosen, ["threshold"], "left").withColumn("chosen", F.coalesce("_c", F.lit(False))).drop("_c")
+    return join_ids(s, chosen, ["threshold"], "left").withColumn("chosen", F.coalesce("_c", F.lit(False))).drop("_c")
 
 
 @query("a61_oracle_localization", f"""{LOCF} SELECT count(*) FILTER (par) AS n_partial_files, count(*) FILTER (NOT par) AS n_clean_files, round(avg(hit5::INT) FILTER (par), 6) AS top5_hit_rate, round(avg((hit5 AND hf < 0.4)::INT) FILTER (par), 6) AS localized_rate,
@@ -337,7 +336,7 @@ def partial_rollup(spark, sf):
     s = I.segments(spark, sf)
     b = s.groupBy("file_id").agg(F.round(F.max("prob"), 6).alias("partial_max_probability"), F.round(F.avg("prob"), 6).alias("partial_mean_probability"),
                                  F.count_if(c("prob") >= 0.7).alias("partial_predicted_count"), F.count(F.lit(1)).alias("partial_candidate_count"))
-    return join_keys(b, Z.top_ranges(s, "file_id", "segment_id", "prob"), ["file_id"])
+    return join_ids(b, Z.top_ranges(s, "file_id", "segment_id", "prob"), ["file_id"])
 
 
 # Diagnostics ---------------------------------------------------------------------------
@@ -393,7 +392,7 @@ def timestamp_localization(spark, sf):
     pos = numbered(I.segments(spark, sf), ["file_id"], [c("prob").desc(), *ORDER], "r").select("file_id", "start_sec", "end_sec", "prob", "r")
     inside = overlap_label(c("start_sec"), c("end_sec"), c("region_start"), c("region_end"), 0.5)["region_label"] == "inside_fabricated_region"
     flags = ["partial_evidence_positive", "top1_hit", "top3_hit", "top5_hit"]
-    a = join_keys(pos, keep, ["file_id"]).groupBy("file_id", *flags).agg(
+    a = join_ids(pos, keep, ["file_id"]).groupBy("file_id", *flags).agg(
         F.coalesce(F.max(F.when(inside, c("prob"))), F.lit(0.0)).alias("max_inside"),
         F.coalesce(F.max(F.when(~inside, c("prob"))), F.lit(0.0)).alias("max_outside"), F.min(F.when(inside, c("r"))).alias("best_rank"))
     status = (F.when(c("partial_evidence_positive"), F.when(c("top1_hit"), "detected_top1_localized").when(c("top3_hit"), "detected_top3_localized")
@@ -445,3 +444,64 @@ def outcome_distribution(spark, sf):
         exp & (c("test_group") == "fabricated_20pct") & ~pos, "fabricated_20pct_false_negative").when(~exp & pos, "nonpartial_false_positive")
         .when(exp & pos, "true_partial_detected").when(~exp, "nonpartial_true_negative")).where(c("outcome").isNotNull())
     return rounded(C.outcome_distribution(h.select("outcome", *OUTCOME_COLS), "outcome", OUTCOME_COLS))
+
+
+# Counterfactuals: what one relaxed gate would change -----------------------------------------
+
+OTHER = {"file_gate": ["segment", "contrast", "broad"], "segment": ["file_gate", "contrast"],
+         "contrast": ["file_gate", "segment", "broad"], "broad": ["file_gate", "segment", "contrast"]}
+
+
+def segment_limit(spark, sf, broad_limit):
+    """Per file the highest segment score that would make the fraction of high segments too broad.
+
+    That is the (m + 1)-th score from the top with m = floor(broad_limit * segments): the
+    file stays within the limit for thresholds above it.
+    """
+    s = I.segments(spark, sf).select("file_id", "segment_id", "start_sec", "prob")
+    pos = numbered(s, ["file_id"], [c("prob").desc(), *ORDER], "r")
+    n = s.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    at = F.floor(c("n") * broad_limit + 1e-9) + 1
+    return join_ids(pos, n, ["file_id"]).where(c("r") == at).select("file_id", c("prob").alias("crowded"))
+
+
+F19_TAIL = """, lim AS (SELECT file_id, prob AS crowded FROM rk WHERE r = floor(n * 0.45 + 1e-9) + 1), z AS (SELECT h.*, crowded FROM h LEFT JOIN lim USING (file_id) WHERE error_status = 'ok' AND segment_count IS NOT NULL),
+fn AS (SELECT * FROM z WHERE expected = 1 AND test_group = 'fabricated_20pct' AND NOT pos), np AS (SELECT * FROM z WHERE expected = 0 AND NOT pos),
+v AS (SELECT file_id, 'file_gate' AS gate, gate_prob AS val, mx >= 0.8 AND contrast >= 0.15 AND hf <= 0.45 AS recovered FROM fn WHERE gate_prob < 0.5 UNION ALL SELECT file_id, 'segment', mx, gate_prob >= 0.5 AND contrast >= 0.15 AND (crowded IS NULL OR mx > crowded) FROM fn WHERE mx < 0.8
+  UNION ALL SELECT file_id, 'contrast', contrast, gate_prob >= 0.5 AND mx >= 0.8 AND hf <= 0.45 FROM fn WHERE contrast < 0.15 UNION ALL SELECT file_id, 'broad', hf, gate_prob >= 0.5 AND mx >= 0.8 AND contrast >= 0.15 FROM fn WHERE hf > 0.45)
+SELECT v.file_id, v.gate, round(v.val, 6) AS required_value, recovered, CASE gate WHEN 'file_gate' THEN (SELECT count(*) FROM np WHERE gate_prob >= v.val AND mx >= 0.8 AND contrast >= 0.15 AND hf <= 0.45) WHEN 'segment' THEN (SELECT count(*) FROM np WHERE gate_prob >= 0.5 AND contrast >= 0.15 AND mx >= v.val AND (crowded IS NULL OR crowded < v.val))
+  WHEN 'contrast' THEN (SELECT count(*) FROM np WHERE gate_prob >= 0.5 AND mx >= 0.8 AND hf <= 0.45 AND contrast >= v.val) ELSE (SELECT count(*) FROM np WHERE gate_prob >= 0.5 AND mx >= 0.8 AND contrast >= 0.15 AND hf <= v.val) END AS new_false_positives FROM v"""
+
+
+@query("f19_counterfactual", HOLD + F19_TAIL)
+def counterfactual(spark, sf):
+    """Per missed file and failed gate: the value that would pass it, and the false alarms that value brings.
+
+    The alarms are a count of other files at or beyond the value, read off running
+    counts over both sets of values; files are never paired.
+    """
+    lim = segment_limit(spark, sf, LOOSE["broad_limit"])
+    h = join_ids(holdout(spark, sf).where((c("error_status") == "ok") & c("segment_count").isNotNull()), lim, ["file_id"], "left")
+    gate, mx, con, hf, crowded = c("gate_prob"), c("max_probability"), c("topk_minus_rest"), c("high_segment_fraction"), c("crowded")
+    ok = {"file_gate": gate >= LOOSE["file_gate_threshold"], "segment": mx >= LOOSE["segment_threshold"],
+          "contrast": con >= LOOSE["contrast_threshold"], "broad": hf <= LOOSE["broad_limit"]}
+    others = {g: ok[o[0]] & ok[o[1]] & (ok[o[2]] if len(o) > 2 else F.lit(True)) for g, o in OTHER.items()}
+    value = {"file_gate": gate, "segment": mx, "contrast": con, "broad": -hf}  # larger is always easier to pass
+    pos, exp = c("partial_evidence_positive"), c("expected") == 1
+    # a missed file asks at its own value; a quiet file adds one alarm from its value down,
+    # and for the segment gate takes it away again once the threshold reaches its crowded score
+    ask = lambda g: F.struct(F.lit(g).alias("gate"), value[g].alias("v"), F.lit(0).cast("long").alias("w"), F.lit(True).alias("ask"))
+    add = lambda g, v, w: F.struct(F.lit(g).alias("gate"), v.alias("v"), F.lit(w).cast("long").alias("w"), F.lit(False).alias("ask"))
+    missed = exp & (c("test_group") == "fabricated_20pct") & ~pos
+    quiet = ~exp & ~pos
+    marks = [F.when(missed & ~ok[g], ask(g)) for g in OTHER] + [F.when(quiet & others[g], add(g, value[g], 1)) for g in OTHER]
+    marks.append(F.when(quiet & others["segment"] & crowded.isNotNull(), add("segment", crowded, -1)))
+    m = h.select("file_id", F.explode(F.filter(F.array(*marks), lambda x: x.isNotNull())).alias("m")).select("file_id", "m.*")
+    per_value = m.groupBy("gate", "v").agg(F.sum("w").alias("w"))
+    reach = running(per_value, ["gate"], [c("v").desc()], {"new_false_positives": ("sum", c("w"))})
+    asked = join_ids(m.where("ask").select("file_id", "gate", "v"), reach.select("gate", "v", "new_false_positives"), ["gate", "v"])
+    recover = F.when(c("gate") == "segment", others["segment"] & F.coalesce(mx > crowded, F.lit(True)))
+    for g in ("file_gate", "contrast", "broad"):
+        recover = recover.when(c("gate") == g, others[g])
+    j = join_ids(asked, h.select("file_id", "gate_prob", "max_probability", "topk_minus_rest", "high_segment_fraction", "crowded"), ["file_id"])
+    return rounded(j.select("file_id", "gate", F.abs("v").alias("required_value"), recover.alias("recovered"), "new_false_positives"))

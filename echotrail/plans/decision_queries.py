@@ -10,7 +10,7 @@ from echotrail.operators import reporting as P
 from echotrail.operators import timeline as T
 from echotrail.operators.metrics import best_row, ratio
 from echotrail.operators.profile import unpivot, value_counts
-from echotrail.operators.skew import join_keys, numbered, top_rows
+from echotrail.operators.skew import join_ids, numbered, top_rows
 from echotrail.plans import inputs as I
 from echotrail.plans.cascade_queries import GATEFAIL, PROF, check_limits, localized_files, profile, profiled_files
 from echotrail.plans.join_queries import AXES, SEG, THREE, star, three_models
@@ -91,7 +91,7 @@ def threshold_lookup(spark, sf):
     p = I.predictions(spark, sf)
     keys = ["task_name", "feature_set"]
     listed = p.where(~((c("task_name") == "mixer_file_model") & (c("feature_set") == "ssl"))).groupBy(*keys).agg(F.round(F.avg("prob"), 6).alias("th"))
-    j = join_keys(p, listed, keys, "left").withColumn("threshold", F.coalesce("th", F.lit(0.5)))
+    j = join_ids(p, listed, keys, "left").withColumn("threshold", F.coalesce("th", F.lit(0.5)))
     return j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(c("prob") >= c("threshold")).alias("positives"), F.max("threshold").alias("threshold"))
 
 
@@ -143,7 +143,7 @@ def arb_cte():
 
 
 def arbitrated(spark, sf):
-    j = join_keys(fused(spark, sf), gated(spark, sf).select("file_id", "gate", "hf", "topk_minus_rest"), ["file_id"])
+    j = join_ids(fused(spark, sf), gated(spark, sf).select("file_id", "gate", "hf", "topk_minus_rest"), ["file_id"])
     arb = R.arbitrate(c("gate"), c("hf"), c("topk_minus_rest"), c("replay_evidence_strength"), c("mixer_evidence_strength"))
     return j.withColumn("arb", arb)
 
@@ -172,7 +172,7 @@ k AS (SELECT task_name, lo, round(greatest(lo + 0.05::DOUBLE, least(q, 0.99::DOU
 def evidence_bands(spark, sf):
     from echotrail.operators.metrics import band_cutpoints
     p = I.predictions(spark, sf)
-    j = join_keys(p, band_cutpoints(p, ["task_name"], "prob", "y_true", 0.55), ["task_name"])
+    j = join_ids(p, band_cutpoints(p, ["task_name"], "prob", "y_true", 0.55), ["task_name"])
     return j.groupBy("task_name", R.evidence_band(c("prob"), c("low_max"), c("medium_max")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -243,7 +243,7 @@ def three_status(spark, sf):
     out = None
     for v in I.VARIANTS:
         t = with_status(spark, sf, v).select("sample_id", c("status").alias(f"st_{v}"), c("decision_score").alias(f"score_{v}"))
-        out = t if out is None else join_keys(out, t, ["sample_id"])
+        out = t if out is None else join_ids(out, t, ["sample_id"])
     return out
 
 
@@ -273,8 +273,8 @@ def diagnosed(spark, sf):
     f = I.files(spark, sf).where(c("region_end").isNotNull()).select("file_id", "file_category", "region_start", "region_end")
     top = top_rows(I.segments(spark, sf), ["file_id"], [c("prob").desc(), "start_sec", "segment_id"], 5, "_r")
     lab = overlap_label(c("start_sec"), c("end_sec"), c("region_start"), c("region_end"), 0.5)["region_label"]
-    edge = join_keys(top, f, ["file_id"]).groupBy("file_id").agg(F.min(lab == "boundary_overlap").alias("boundary_only"), F.count_if(c("y_true") == 1).alias("inside5"))
-    j = join_keys(join_keys(profile(spark, sf, [0.50]), f, ["file_id"]), edge, ["file_id"]).withColumn("broad", C.high_fraction(0.50) >= 0.40)
+    edge = join_ids(top, f, ["file_id"]).groupBy("file_id").agg(F.min(lab == "boundary_overlap").alias("boundary_only"), F.count_if(c("y_true") == 1).alias("inside5"))
+    j = join_ids(join_ids(profile(spark, sf, [0.50]), f, ["file_id"]), edge, ["file_id"]).withColumn("broad", C.high_fraction(0.50) >= 0.40)
     return j.withColumn("label", R.localization_diagnosis(c("file_id") % 101 == 0, F.lit("none"), c("broad"), c("top1_hit"), c("top5_hit"), c("inside5"), c("boundary_only")))
 
 
@@ -340,7 +340,7 @@ SELECT sample_id, {PRODUCT} AS product_status, hot AS segment_suspicious, has_ti
 def product_status(spark, sf):
     cm = T.chunk_metrics(I.timeline(spark, sf)).select("sample_id", "max_chunk_spoof", "suspicious_chunk_ratio")
     b = I.model_results(spark, sf).drop("max_chunk_spoof", "suspicious_chunk_ratio").withColumn("effective_threshold", F.lit(None).cast("double"))
-    j = join_keys(b, cm, ["sample_id"], "left")
+    j = join_ids(b, cm, ["sample_id"], "left")
     hot = R.known(c("max_chunk_spoof") >= 0.95) | R.known(c("suspicious_chunk_ratio") >= 0.30)
     return j.select("sample_id", R.product_status().alias("product_status"), hot.alias("segment_suspicious"), c("max_chunk_spoof").isNotNull().alias("has_timeline"))
 
@@ -404,7 +404,7 @@ SELECT sample_id, '{{"sample_id":' || CAST(sample_id AS VARCHAR) || ',"status":"
 def nested_reports(spark, sf):
     top = top_rows(I.timeline(spark, sf), ["sample_id"], [c("spoof_probability").desc(), c("chunk_id").asc()], 5, "r").where(c("spoof_probability") >= 0.65)
     seg = P.nested_segments(top.select("sample_id", "r", "chunk_id", F.round("spoof_probability", 4).alias("score")), "sample_id", "r", ["chunk_id", "score"])
-    j = join_keys(reported(spark, sf), seg, ["sample_id"], "left")
+    j = join_ids(reported(spark, sf), seg, ["sample_id"], "left")
     doc = F.struct("sample_id", c("calibrated_status").alias("status"), "risk",
                    F.struct(c("origin_hint").alias("origin"), c("manipulation_hint").alias("manipulation")).alias("hints"))
     return j.select("sample_id", F.to_json(doc).alias("report"), F.coalesce(F.to_json("segments"), F.lit("[]")).alias("segments"))
@@ -487,7 +487,7 @@ AIOK = "('direct_ai_detected', 'direct_ai_file_level_missed_but_segment_suspicio
 @query("a67_model_improvements", f"{J3} SELECT m AS manipulation_type, count(*) AS n, count(*) FILTER (st_p IN {AIOK} AND st_b NOT IN {AIOK}) AS better_direct_ai, count(*) FILTER (st_b IN {AIOK} AND st_p NOT IN {AIOK}) AS worse_direct_ai, count(*) FILTER (st_p = 'clean_human_false_alarm' AND st_b <> 'clean_human_false_alarm') AS worse_clean_human FROM j GROUP BY 1")
 def model_improvements(spark, sf):
     ok = ["direct_ai_detected", "direct_ai_file_level_missed_but_segment_suspicious"]
-    t = join_keys(three_status(spark, sf), I.model_results(spark, sf).select("sample_id", "manipulation_type"), ["sample_id"])
+    t = join_ids(three_status(spark, sf), I.model_results(spark, sf).select("sample_id", "manipulation_type"), ["sample_id"])
     b, p = c("st_baseline"), c("st_product")
     return t.groupBy("manipulation_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(p.isin(ok) & ~b.isin(ok)).alias("better_direct_ai"),
                                               F.count_if(b.isin(ok) & ~p.isin(ok)).alias("worse_direct_ai"), F.count_if((p == "clean_human_false_alarm") & (b != "clean_human_false_alarm")).alias("worse_clean_human"))
@@ -577,7 +577,7 @@ def confidence_grid(spark, sf):
     n = c("tn") + c("fp") + c("fn") + c("tp")
     g = g.select("scope", c("threshold").alias("min_confidence"), n.alias("n"), F.round(c("tp") / n, 6).alias("accuracy"), F.round((c("tn") + c("fn")) / n, 6).alias("unknown_rate"))
     best = best_row(g, ["scope"], [c("accuracy").desc(), c("unknown_rate").asc(), c("min_confidence").desc()]).select("min_confidence", F.lit(True).alias("_b"))
-    return join_keys(g, best, ["min_confidence"], "left").select("min_confidence", "n", "accuracy", "unknown_rate", F.coalesce("_b", F.lit(False)).alias("chosen"))
+    return join_ids(g, best, ["min_confidence"], "left").select("min_confidence", "n", "accuracy", "unknown_rate", F.coalesce("_b", F.lit(False)).alias("chosen"))
 
 
 @query("a82_variant_evaluation", f"""{arb_cte()}, x AS (SELECT *, CASE file_category WHEN 'ai_direct' THEN 'ai_clean' WHEN 'ai_replay' THEN 'ai_replayed' ELSE file_category END AS variant, file_id % 67 = 0 AS err FROM ar), y AS (SELECT variant, err, CASE WHEN err THEN 'release_integration_issue' WHEN variant = 'ai_clean' THEN CASE WHEN origin_s IN ('moderate', 'high') THEN 'pass' ELSE 'acceptable_with_limitation' END

@@ -8,7 +8,7 @@ from echotrail.functions import text as T
 from echotrail.operators import joins as J
 from echotrail.operators import setops as U
 from echotrail.operators.metrics import best_row
-from echotrail.operators.skew import join_keys
+from echotrail.operators.skew import join_ids
 from echotrail.plans import inputs as I
 from echotrail.plans.metric_queries import rounded
 from echotrail.plans.projection_queries import STEM
@@ -41,7 +41,7 @@ def three_models(spark, sf):
     out = None
     for v in I.VARIANTS:
         t = J.prefixed(I.model_results(spark, sf, v), v)
-        out = t if out is None else join_keys(out, t, ["sample_id"])
+        out = t if out is None else join_ids(out, t, ["sample_id"])
     return out
 
 
@@ -59,8 +59,8 @@ def segment_tables(spark, sf):
     base = s.select(*keys, F.when(c("f_tax") > 0.04, "taxed").otherwise("").alias("label"))
     inside = s.select(*keys, F.when(c("y_true") == 1, "inside").otherwise("").alias("label_io"), c("f_price").alias("price"))
     near = s.where(c("start_sec") >= 6).select(*keys, F.lit("late").alias("label_ng"), c("f_tax").alias("tax"))
-    out = J.coalesce_suffix(join_keys(base, inside, keys, "left"), "io")
-    out = J.coalesce_suffix(join_keys(out, near, keys, "left"), "ng")
+    out = J.coalesce_suffix(join_ids(base, inside, keys, "left"), "io")
+    out = J.coalesce_suffix(join_ids(out, near, keys, "left"), "ng")
     return out.withColumn("label", T.not_blank(c("label")))
 
 
@@ -84,13 +84,13 @@ def axis_star_join(spark, sf):
 def star(spark, sf):
     out = I.files(spark, sf)
     for t in axis_tables(spark, sf).values():
-        out = join_keys(out, t, ["file_id"], "left")
+        out = join_ids(out, t, ["file_id"], "left")
     return out
 
 
 @query("j6_first_dimension_row", f"""{SEG} SELECT g.file_id, g.segment_id, d.o_orderkey AS lookup_file, d.o_totalprice FROM g JOIN f USING (file_id) LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1) d ON d.o_custkey = f.speaker_id""")
 def first_dimension_row(spark, sf):
-    s = join_keys(I.segments(spark, sf).select("file_id", "segment_id"), I.files(spark, sf).select("file_id", "speaker_id"), ["file_id"])
+    s = join_ids(I.segments(spark, sf).select("file_id", "segment_id"), I.files(spark, sf).select("file_id", "speaker_id"), ["file_id"])
     dim = I.table(spark, sf, "orders").select(c("o_custkey").alias("speaker_id"), c("o_orderkey").alias("lookup_file"), "o_totalprice")
     return J.lookup_first(s, dim, ["speaker_id"], [c("o_totalprice").desc(), c("lookup_file").asc()]).drop("speaker_id")
 
@@ -196,7 +196,7 @@ def positional_join(spark, sf):
 def enriched_timestamps(spark, sf):
     f = I.files(spark, sf)
     known = f.where(c("file_id") % 2 == 0).select("file_id", F.lit(1.5).alias("manifest_start"))
-    j = join_keys(f.select("file_id", "region_start"), best_row(known, ["file_id"], [c("manifest_start").asc()]), ["file_id"], "left")
+    j = join_ids(f.select("file_id", "region_start"), best_row(known, ["file_id"], [c("manifest_start").asc()]), ["file_id"], "left")
     return j.select("file_id", F.coalesce("region_start", "manifest_start").alias("timestamp_start"))
 
 
@@ -205,7 +205,7 @@ def model_comparison(spark, sf):
     b = I.model_results(spark, sf).select("sample_id", "manipulation_type")
     p = I.model_results(spark, sf, "product").where(c("decision_score") < 0.9).select("sample_id", c("prediction").alias("pp"))
     d = I.model_results(spark, sf, "loss").where(c("sample_id") % 3 != 0).select("sample_id", F.lit(1).alias("dd"))
-    j = join_keys(join_keys(b, p, ["sample_id"], "left"), d, ["sample_id"], "left")
+    j = join_ids(join_ids(b, p, ["sample_id"], "left"), d, ["sample_id"], "left")
     return j.groupBy("manipulation_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("pp").isNull()).alias("missing_product"),
                                               F.count_if(c("dd").isNull()).alias("missing_decision"))
 
@@ -228,7 +228,7 @@ def feature_index(spark, sf):
     docs = I.table(spark, sf, "documents").select("doc_id")
     a = I.table(spark, sf, "embeddings").select(c("vec_id").alias("doc_id"), c("vec_id").alias("spectrogram_idx"))
     b = I.table(spark, sf, "pages").select((c("page_id") * 2).alias("doc_id"), c("page_id").alias("environmental_idx"))
-    u = join_keys(join_keys(docs, a, ["doc_id"], "left"), b, ["doc_id"], "left").na.fill(-1, ["spectrogram_idx", "environmental_idx"])
+    u = join_ids(join_ids(docs, a, ["doc_id"], "left"), b, ["doc_id"], "left").na.fill(-1, ["spectrogram_idx", "environmental_idx"])
     s, e = c("spectrogram_idx") >= 0, c("environmental_idx") >= 0
     return u.groupBy(F.when(s & e, "both").when(s, "spectrogram").when(e, "environmental").otherwise("none").alias("features")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("spectrogram_idx").alias("spectrogram_sum"))

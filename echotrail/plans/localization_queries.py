@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from echotrail.functions.numbers import row_mean
 from echotrail.operators import localize as Z
 from echotrail.operators.skew import (
-    join_keys, min_rank_descending, neighbours, numbered, percent_rank_average, top_rows,
+    join_ids, min_rank_descending, neighbours, numbered, percent_rank_average, top_rows,
 )
 from echotrail.plans import inputs as I
 from echotrail.plans.metric_queries import rounded
@@ -187,7 +187,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY prob DESC, star
 SELECT file_id, segment_id, CAST(rk AS INTEGER) AS segment_rank, round(prob, 6) AS segment_probability, CASE WHEN fe IS NULL THEN 'timestamp_unavailable' WHEN {OV} / 4 >= 0.5 THEN 'overlaps_fabricated_timestamp' ELSE 'outside_fabricated_timestamp' END AS relation FROM k WHERE rk <= 10""")
 def top_segments(spark, sf):
     cases = I.files(spark, sf).where(c("file_category") == "human_fabricated").select("file_id", "region_start", "region_end")
-    t = top_rows(join_keys(I.segments(spark, sf), cases, ["file_id"]), ["file_id"],
+    t = top_rows(join_ids(I.segments(spark, sf), cases, ["file_id"]), ["file_id"],
                  [c("prob").desc(), c("start_sec").asc(), c("segment_id").asc()], 10, "segment_rank")
     lab = overlap_label(c("start_sec"), c("end_sec"), c("region_start"), c("region_end"), 0.5)["region_label"]
     # a boundary segment counts as outside here

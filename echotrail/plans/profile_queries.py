@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from echotrail.operators import profile as R
 from echotrail.operators.metrics import ratio
-from echotrail.operators.skew import exact_quantiles, join_keys
+from echotrail.operators.skew import group_stats, join_ids, merge_rows
 from echotrail.plans import inputs as I
 from echotrail.plans.metric_queries import rounded
 from echotrail.plans.registry import query
@@ -59,14 +59,13 @@ UNION ALL SELECT dimension, value, count(*)::DOUBLE FROM ({long_sql(DIMS)}) GROU
 UNION ALL SELECT 'speakers_per_dataset', dataset, count(DISTINCT speaker_id)::DOUBLE FROM m GROUP BY ALL""")
 def manifest_statistics(spark, sf):
     m = I.manifest(spark, sf).withColumn("scope", F.lit("all"))
-    base = m.groupBy("scope").agg(
+    base = group_stats(m, ["scope"], [
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("label") == "bonafide").alias("real_n"),
         F.count_if(F.col("label") == "spoof").alias("fake_n"), F.avg("duration").alias("duration_mean"),
         F.min("duration").alias("duration_min"), F.max("duration").alias("duration_max"),
-        F.stddev_samp("duration").alias("duration_std"))
+        F.stddev_samp("duration").alias("duration_std")], "duration", {"duration_median": 0.5})
     speakers = m.groupBy("scope").agg(F.countDistinct("speaker_id").alias("speakers"))
-    med = exact_quantiles(m, ["scope"], "duration", {"duration_median": 0.5})
-    w = join_keys(join_keys(base, speakers, ["scope"]), med, ["scope"])
+    w = merge_rows(["scope"], base, speakers)
     both = F.col("real_n") + F.col("fake_n")
     cells = {"total_samples": F.col("total"), "total_speakers": F.col("speakers"),
              "real_ratio": ratio(F.col("real_n"), both), "fake_ratio": ratio(F.col("fake_n"), both),
@@ -108,7 +107,7 @@ SELECT speaker_id, (SELECT dataset FROM c WHERE c.speaker_id = s.speaker_id ORDE
 FROM (SELECT DISTINCT speaker_id FROM m) s""")
 def mode_per_speaker(spark, sf):
     m = I.manifest(spark, sf)
-    return join_keys(R.mode_per_group(m, ["speaker_id"], "dataset", "dataset"),
+    return join_ids(R.mode_per_group(m, ["speaker_id"], "dataset", "dataset"),
                      R.mode_per_group(m, ["speaker_id"], "label", "label"), ["speaker_id"])
 
 
@@ -140,15 +139,14 @@ def manifest_profile(spark, sf):
     m = I.manifest(spark, sf).withColumn("scope", F.lit("all"))
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     d = F.col("duration")
-    base = m.groupBy("scope").agg(
+    base = group_stats(m, ["scope"], [
         F.count(F.lit(1)).alias("total_rows"), F.count_if(blank("label")).alias("missing_label"),
         F.count_if(blank("attack_type")).alias("missing_attack"),
         F.count_if(d.isNull() | (d < 0)).alias("missing_duration"), F.sum(d).alias("duration_sum"),
-        F.min(d).alias("duration_min"), F.max(d).alias("duration_max"))
+        F.min(d).alias("duration_min"), F.max(d).alias("duration_max")], "duration", {"duration_median": 0.5})
     uniq = m.groupBy("scope").agg(F.countDistinct("filepath").alias("unique_files"),
                                   F.countDistinct("speaker_id").alias("speakers"))
-    med = exact_quantiles(m, ["scope"], "duration", {"duration_median": 0.5})
-    wide = join_keys(join_keys(base, uniq, ["scope"]), med, ["scope"]).drop("scope")
+    wide = merge_rows(["scope"], base, uniq).drop("scope")
     summary = R.unpivot(wide, wide.columns, (), "item", "value", "double").select(
         F.lit("summary").alias("section"), "item", F.round("value", 4).alias("value"))
     long = R.value_counts(m, DIMS).select(F.col("dimension").alias("section"), F.col("value").alias("item"),
@@ -277,7 +275,7 @@ def leakage_audit(spark, sf):
     many = lambda df, key: df.groupBy(key).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     k = F.col("k")
     one = F.lit(1).cast("long")
-    twice = join_keys(f, many(f, "audio_path"), ["audio_path"])
+    twice = join_ids(f, many(f, "audio_path"), ["audio_path"])
     # distinct (group, split) first: a group's rows never meet in one task
     across = many(f.select("source_group_id", "split").distinct(), "source_group_id")
     inherited = s.where(F.col("partial") & ~F.col("stamped")).groupBy("file_id").agg(F.count(F.lit(1)).alias("k"))
@@ -295,7 +293,7 @@ def leakage_audit(spark, sf):
         allhits = allhits.unionByName(p)
     counts = allhits.groupBy("item").agg(F.sum("n").alias("n"))
     named = spark.createDataFrame(LEAK_ITEMS, "item string, sev string")
-    out = join_keys(join_keys(named, counts, ["item"], "left"), R.first_ids(allhits, "item", "id", 25), ["item"], "left")
+    out = join_ids(join_ids(named, counts, ["item"], "left"), R.first_ids(allhits, "item", "id", 25), ["item"], "left")
     n = F.coalesce("n", F.lit(0))
     return out.select(F.col("item").alias("audit_item"), F.when(n > 0, F.col("sev")).otherwise("info").alias("severity"),
                       n.alias("affected_count"), F.coalesce("affected_ids", F.lit("")).alias("affected_ids"))
@@ -335,7 +333,7 @@ def training_balance(spark, sf):
     f = I.files(spark, sf).select("file_id", "file_category")
     partial = F.col("file_category").isin("ai_fabricated", "human_fabricated")
     gate = f.agg(F.count(F.lit(1)).alias("file_gate_total_rows"), F.count_if(partial).alias("file_gate_positive_count"))
-    s = join_keys(I.segments(spark, sf).select("file_id", "y_true"), f, ["file_id"])
+    s = join_ids(I.segments(spark, sf).select("file_id", "y_true"), f, ["file_id"])
     y, cat = F.col("y_true"), F.col("file_category")
     # one row per file first: flags and counts, then the totals
     per_file = s.groupBy("file_id", "file_category").agg(
@@ -352,7 +350,7 @@ def training_balance(spark, sf):
         total(cat == "human_fabricated", "p").alias("human_fabricated_positive_segment_count"),
         F.count_if(F.col("p") > 0).alias("files_with_positive_segments"),
         F.count_if(partial).alias("_partial"))
-    j = join_keys(gate.withColumn("_k", F.lit(1)), seg.withColumn("_k", F.lit(1)), ["_k"])
+    j = merge_rows(["_k"], gate.withColumn("_k", F.lit(1)), seg.withColumn("_k", F.lit(1)))
     without = F.col("_partial") - F.col("files_with_positive_segments")
     warn = F.concat_ws(
         "; ", F.when(F.col("segment_negative_outside_count") == 0, "no_outside_same_partial_negatives"),
@@ -482,7 +480,7 @@ def weight_distribution(spark, sf):
 SELECT split, count(*) AS segment_rows, CAST(sum(y_true) AS BIGINT) AS positive_segments,
   count(DISTINCT CASE WHEN file_category IN ('ai_fabricated', 'human_fabricated') THEN file_id END) AS partial_files FROM g JOIN f USING (file_id) GROUP BY split""")
 def split_summary(spark, sf):
-    s = join_keys(I.segments(spark, sf).select("file_id", "y_true"),
+    s = join_ids(I.segments(spark, sf).select("file_id", "y_true"),
                   I.files(spark, sf).select("file_id", "file_category", "split"), ["file_id"])
     partial = F.col("file_category").isin("ai_fabricated", "human_fabricated")
     per_file = s.groupBy("split", "file_id").agg(

@@ -12,7 +12,7 @@ from echotrail.operators import models as ML
 from echotrail.operators import quality as Q
 from echotrail.operators import sampling as X
 from echotrail.operators.profile import feature_long, issue_rows
-from echotrail.operators.skew import join_keys, numbered
+from echotrail.operators.skew import join_ids, numbered
 from echotrail.plans import inputs as I
 from echotrail.plans.metric_queries import rounded
 from echotrail.plans.registry import query
@@ -44,7 +44,7 @@ def evidence_table_rules(spark, sf):
         "blank_path": ("blocking", F.trim("audio_path") == ""),
         "category_vocabulary": ("blocking", ~c("file_category").isin("ai_fabricated", "human_fabricated", "ai_direct", "ai_replay")),
         "score_range": ("blocking", (c("gate_prob") < 0) | (c("gate_prob") > 1)), "missing_duration": ("warning", c("duration_sec").isNull())})
-    timed = join_keys(g.select("file_id", "start_sec", "end_sec"), f.select("file_id", "duration_sec"), ["file_id"], "left")
+    timed = join_ids(g.select("file_id", "start_sec", "end_sec"), f.select("file_id", "duration_sec"), ["file_id"], "left")
     per_seg = Q.rule_counts(timed, {"end_not_after_start": ("blocking", c("end_sec") <= c("start_sec")),
                                     "end_past_duration": ("blocking", c("end_sec") > c("duration_sec") + 0.05)})
     return (per_file.unionByName(per_seg).unionByName(Q.repeated_keys(f, "file_id", "duplicate_file_id"))
@@ -82,7 +82,7 @@ SELECT file_id, issue FROM (SELECT file_id, unnest(list_filter([CASE WHEN durati
 def collection_rules(spark, sf):
     f = I.files(spark, sf).withColumn("grp", F.concat(F.lit("g"), (c("file_id") % 700).cast("string")))
     several = X.spread_groups(f, "grp", "split").select("grp", F.lit(True).alias("_several"))
-    j = join_keys(f, several, ["grp"], "left")
+    j = join_ids(f, several, ["grp"], "left")
     fab, d = c("file_category").isin("ai_fabricated", "human_fabricated"), c("duration_sec")
     return issue_rows(j, {
         "duration_below_minimum": d < 8, "duration_below_recommended": (d >= 8) & (d < 20), "fabricated_without_region": fab & c("region_end").isNull(),
@@ -131,7 +131,7 @@ def candidate_check(spark, sf):
     t = numbered(I.segments(spark, sf), ["file_id"], [c("prob").desc(), "start_sec", "segment_id"], "segment_rank")
     seg = t.select("file_id", "segment_rank", c("start_sec").alias("segment_start"), c("end_sec").alias("segment_end"), c("prob").alias("segment_probability"))
     top = seg.where(c("segment_rank") == 1).select("file_id", "segment_start", "segment_end", "segment_probability")
-    files = join_keys(I.files(spark, sf).select("file_id"), top, ["file_id"], "left").select(
+    files = join_ids(I.files(spark, sf).select("file_id"), top, ["file_id"], "left").select(
         "file_id", (c("segment_start") + F.when(c("file_id") % 31 == 0, 1).otherwise(0)).alias("candidate_start"),
         c("segment_end").alias("candidate_end"), c("segment_probability").alias("candidate_probability"))
     return Q.candidate_matches_first(files, seg, "file_id")
@@ -189,7 +189,7 @@ NEG = f"""{SEG}, s AS (SELECT segment_id, g.file_id, y_true, CASE WHEN file_cate
 @query("x5_negative_sampling", f"{NEG} SELECT file_id, segment_id, y_true, kind FROM s WHERE y_true = 1 UNION ALL SELECT file_id, segment_id, y_true, kind FROM k WHERE r <= 500")
 def negative_sampling(spark, sf):
     f = I.files(spark, sf).select("file_id", F.when(c("file_category").isin("ai_fabricated", "human_fabricated"), "outside").otherwise(c("file_category")).alias("kind"))
-    s = join_keys(I.segments(spark, sf).select("file_id", "segment_id", "y_true"), f, ["file_id"]).withColumn("key", F.concat_ws("/", c("file_id").cast("string"), "segment_id"))
+    s = join_ids(I.segments(spark, sf).select("file_id", "segment_id", "y_true"), f, ["file_id"]).withColumn("key", F.concat_ws("/", c("file_id").cast("string"), "segment_id"))
     return X.downsample_negatives(s, "y_true", "kind", "key", 500, 5).drop("key")
 
 
@@ -210,9 +210,9 @@ def group_folds(spark, sf):
 @query("x8_fold_groups", f"{FOLD} SELECT fold, count(DISTINCT p.file_id) AS groups, count(*) AS rows, round(avg(y_true), 6) AS positive_rate, 0::BIGINT AS groups_in_other_folds FROM p JOIN fo USING (file_id) GROUP BY 1")
 def fold_groups(spark, sf):
     p = I.predictions(spark, sf)
-    j = join_keys(p, X.group_folds(p, "file_id", "y_true", 5, 42), ["file_id"])
+    j = join_ids(p, X.group_folds(p, "file_id", "y_true", 5, 42), ["file_id"])
     split = X.spread_groups(j, "file_id", "fold").select("file_id", F.lit(1).alias("_bad"))
-    per = join_keys(j.groupBy("fold", "file_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y_true").alias("p")), split, ["file_id"], "left")
+    per = join_ids(j.groupBy("fold", "file_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y_true").alias("p")), split, ["file_id"], "left")
     return rounded(per.groupBy("fold").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"), (F.sum("p") / F.sum("n")).alias("positive_rate"),
                                            F.count("_bad").alias("groups_in_other_folds")))
 

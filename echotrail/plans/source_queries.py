@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from echotrail.operators.columns import guess_columns
-from echotrail.operators.skew import join_keys
+from echotrail.operators.skew import join_ids
 from echotrail.plans import inputs as I
 from echotrail.plans.registry import query
 from echotrail.session import scratch_path

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from echotrail.operators import intervals as V
 from echotrail.operators import segments as S
 from echotrail.operators import timeline as T
-from echotrail.operators.skew import join_keys, top_rows
+from echotrail.operators.skew import join_ids, top_rows
 from echotrail.plans import inputs as I
 from echotrail.plans.metric_queries import rounded
 from echotrail.plans.registry import query
@@ -108,7 +108,7 @@ def overlap_labels(spark, sf):
 
 def with_region(spark, sf):
     r = I.files(spark, sf).where(c("region_end").isNotNull()).select("file_id", "region_start", "region_end", "file_category")
-    return join_keys(I.segments(spark, sf), r, ["file_id"])
+    return join_ids(I.segments(spark, sf), r, ["file_id"])
 
 
 REG = f"{SEG}, r AS (SELECT g.*, region_start AS fs, region_end AS fe, file_category FROM g JOIN f USING (file_id) WHERE region_end IS NOT NULL)"
@@ -130,7 +130,7 @@ def region_distance(spark, sf):
 
 @query("j14_overlap_flag", f"""{SEG} SELECT g.file_id, segment_id, coalesce(start_sec < region_end AND end_sec > region_start, false) AS overlaps FROM g JOIN f USING (file_id)""")
 def overlap_flag(spark, sf):
-    j = join_keys(I.segments(spark, sf).select("file_id", "segment_id", "start_sec", "end_sec"),
+    j = join_ids(I.segments(spark, sf).select("file_id", "segment_id", "start_sec", "end_sec"),
                   I.files(spark, sf).select("file_id", "region_start", "region_end"), ["file_id"])
     return j.select("file_id", "segment_id", V.overlaps(c("start_sec"), c("end_sec"), c("region_start"), c("region_end")).alias("overlaps"))
 
