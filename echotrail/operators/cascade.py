@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotrail.operators.metrics import ratio
-from echotrail.operators.skew import group_medians, join_ids, merge_rows, top_rows
+from echotrail.operators.skew import MEASURE, group_medians, hot_groups, join_ids, merge_rows, top_rows
 
 PARTIAL = ["ai_fabricated", "human_fabricated"]
 DIRECT = ["ai_direct", "human_direct", "human_clean"]
@@ -41,19 +41,32 @@ def segment_profile(seg: DataFrame, key: str, prob: str, order: Sequence[Column]
     which partial sums arrive cannot move it across a threshold.
     """
     p = F.coalesce(F.col(prob), F.lit(0.0))
-    s = seg.withColumn("_p", p)
-    base = s.groupBy(key).agg(
-        F.count(F.lit(1)).alias("segment_count"), F.max("_p").alias("max_probability"),
-        F.avg("_p").alias("mean_probability"), F.stddev_pop("_p").alias("probability_std"),
-        F.sum("_p").alias("_sum"),
-        *[F.count_if(F.col("_p") >= t).alias(_high(t)) for t in thresholds])
+    s = seg.select(key, *order, p.alias("_p"), *([truth] if truth else []))
+    hit = lambda n: F.coalesce(F.max(F.when(F.col("_r") <= n, F.col(truth) == 1)), F.lit(False)).alias(f"top{n}_hit")
+    if hot_groups(s, [key]) is None:
+        # one shuffle: number the segments, then aggregate on the same partitioning
+        w = Window.partitionBy(key).orderBy(F.col("_p").desc(), *order)
+        top = F.col("_r") <= k
+        aggs = [F.sum(F.when(top, F.col("_p"))).alias("_topsum"), F.count_if(top).alias("_topn")]
+        if truth:
+            aggs += [*[hit(n) for n in (1, 3, k)], F.count_if(top & (F.col(truth) == 1)).alias("topk_inside_count")]
+        j = s.withColumn("_r", F.row_number().over(w)).groupBy(key).agg(*_profile_aggs(thresholds), *aggs)
+        return _contrast(j)
+    base = s.groupBy(key).agg(*_profile_aggs(thresholds))
     top = top_rows(s, [key], [F.col("_p").desc(), *order], k, "_r")
     aggs = [F.sum("_p").alias("_topsum"), F.count(F.lit(1)).alias("_topn")]
     if truth:
-        hit = lambda n: F.max(F.when(F.col("_r") <= n, F.col(truth) == 1))
-        aggs += [F.coalesce(hit(n), F.lit(False)).alias(f"top{n}_hit") for n in (1, 3, k)]
-        aggs += [F.count_if(F.col(truth) == 1).alias("topk_inside_count")]
-    j = join_ids(base, top.groupBy(key).agg(*aggs), [key])
+        aggs += [*[hit(n) for n in (1, 3, k)], F.count_if(F.col(truth) == 1).alias("topk_inside_count")]
+    return _contrast(join_ids(base, top.groupBy(key).agg(*aggs), [key]))
+
+
+def _profile_aggs(thresholds: Sequence[float]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("segment_count"), F.max("_p").alias("max_probability"),
+            F.avg("_p").alias("mean_probability"), F.stddev_pop("_p").alias("probability_std"),
+            F.sum("_p").alias("_sum"), *[F.count_if(F.col("_p") >= t).alias(_high(t)) for t in thresholds]]
+
+
+def _contrast(j: DataFrame) -> DataFrame:
     rest_n = F.col("segment_count") - F.col("_topn")
     top_mean = F.col("_topsum") / F.col("_topn")
     rest_mean = F.when(rest_n > 0, (F.col("_sum") - F.col("_topsum")) / rest_n)
@@ -158,7 +171,7 @@ def acceptance_failures(limits=ACCEPTANCE) -> Column:
         v = F.coalesce(F.col(name), F.lit(missing))
         bad = v > limit if way == "max" else v < limit
         sign = ">" if way == "max" else "<"
-        checks.append(F.when(bad, F.format_string(f"{name} %.4f {sign} {limit:.4f}", v)))
+        checks.append(F.when(bad, F.format_string(f"{name} %.4f {sign} {limit:.4f}", F.bround(v, 4))))
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
@@ -233,9 +246,9 @@ def relaxed_thresholds(gate: Column) -> dict[str, Column]:
     }
 
 
-def outcome_distribution(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+def outcome_distribution(df: DataFrame, group: str, columns: Sequence[str], hot=MEASURE) -> DataFrame:
     """count and median/min/max of the cascade's numbers per outcome group."""
     out = df.groupBy(group).agg(
         F.count(F.lit(1)).alias("count"), *[F.min(c).alias(f"min_{c}") for c in columns],
         *[F.max(c).alias(f"max_{c}") for c in columns])
-    return merge_rows([group], out, group_medians(df, [group], columns, "median_"))
+    return merge_rows([group], out, group_medians(df, [group], columns, "median_", hot))

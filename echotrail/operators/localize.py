@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotrail.functions.numbers import row_mean
@@ -18,6 +18,15 @@ MAD_SCALE = 1.4826  # makes the median absolute deviation comparable to a standa
 
 def with_medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], hot=MEASURE) -> DataFrame:
     """Add med_<c> (group median) and mad_<c> (median absolute deviation, 0 as null)."""
+    if hot is MEASURE:
+        hot = hot_groups(df, keys)
+    if hot is None:
+        # windows on the key alone: one shuffle for medians, deviations and whatever follows
+        w = Window.partitionBy(*keys)
+        half = lambda c: F.percentile(c, F.lit(0.5)).over(w)
+        med = df.select("*", *[half(F.col(c)).alias(f"med_{c}") for c in cols])
+        return med.select("*", *[F.nullif(half(F.abs(F.col(c) - F.col(f"med_{c}"))), F.lit(0.0)).alias(f"mad_{c}")
+                                 for c in cols])
     med = join_ids(df, group_medians(df, keys, cols, "med_", hot), keys)
     dev = med.select(*keys, *[F.abs(F.col(c) - F.col(f"med_{c}")).alias(c) for c in cols])
     mad = group_medians(dev, keys, cols, "mad_", hot)
@@ -66,12 +75,26 @@ def baseline_margins(df: DataFrame, key: str, groups: dict[str, list[str]], insi
     Recordings without both kinds of segments get nulls.
     """
     cols = [c for g in groups.values() for c in g]
+    if hot is MEASURE:
+        hot = hot_groups(df, [key])
+    if hot is None:
+        w = Window.partitionBy(key)
+        j = df.select("*", *[
+            F.percentile(F.when(cond, F.col(c)), F.lit(0.5)).over(w).alias(f"{side}_{c}")
+            for side, cond in (("in", inside), ("out", outside)) for c in cols],
+            (F.max(F.coalesce(inside, F.lit(False))).over(w)
+             & F.max(F.coalesce(outside, F.lit(False))).over(w)).alias("_both"))
+        return _margins(j, groups)
     split = df.select(key, *[F.when(inside, F.col(c)).alias(f"in_{c}") for c in cols],
                       *[F.when(outside, F.col(c)).alias(f"out_{c}") for c in cols])
     base = group_medians(split, [key], [*[f"in_{c}" for c in cols], *[f"out_{c}" for c in cols]], "", hot)
     both = df.groupBy(key).agg((F.max(F.coalesce(inside, F.lit(False)))
                                 & F.max(F.coalesce(outside, F.lit(False)))).alias("_both"))
-    j = join_ids(join_ids(df, base, [key]), both, [key])
+    return _margins(join_ids(join_ids(df, base, [key]), both, [key]), groups)
+
+
+def _margins(j: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    cols = [c for g in groups.values() for c in g]
     gap = lambda side, c: (F.col(c) - F.col(f"{side}_{c}")) / (MAD_SCALE * F.col(f"mad_{c}"))
     for g, gcols in groups.items():
         for side in ("out", "in"):
@@ -94,6 +117,9 @@ def localization_candidates(df: DataFrame, key: str, ident: str, groups: dict[st
     t = neighbour_deltas(t, key, order, groups, k, hot)
     for g, gcols in groups.items():
         t = t.withColumn(f"{g}_distance", distance_from_median(gcols))
+    # the ranks sort the group once per score: carry only what they and the result need
+    t = t.select(key, ident, *[c for c in ("start_sec", "end_sec") if c in df.columns], "combined_margin",
+                 *[f"{p}{g}{s}" for g in groups for p, s in (("", "_distance"), ("max_", "_delta"))])
     for g in groups:
         t = percent_rank_average(t, [key], f"{g}_distance", f"{g}_deviation", hot)
         t = percent_rank_average(t, [key], f"max_{g}_delta", f"{g}_transition", hot)
@@ -103,10 +129,11 @@ def localization_candidates(df: DataFrame, key: str, ident: str, groups: dict[st
     score = row_mean(F.col("combined_deviation"), F.col("combined_transition"), F.col("_margin_rank"))
     t = t.withColumn("candidate_score", F.round(score, 9))
     t = min_rank_descending(t, [key], "candidate_score", "candidate_rank", hot)
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("segment_count"))
-    t = join_ids(t, counts, [key])
-    drop = [f"{p}{c}" for c in cols for p in ("med_", "mad_")]
-    return t.withColumn("candidate_type", candidate_class(top_k)).drop("_margin_rank", *drop)
+    if hot is None:
+        t = t.withColumn("segment_count", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    else:
+        t = join_ids(t, df.groupBy(key).agg(F.count(F.lit(1)).alias("segment_count")), [key])
+    return t.withColumn("candidate_type", candidate_class(top_k)).drop("_margin_rank")
 
 
 def candidate_class(top_k: int) -> Column:
@@ -131,13 +158,21 @@ def live_features(df: DataFrame, key: str, ident: str, groups: dict[str, list[st
     hot = hot_groups(df, [key])
     cols = [c for g in groups.values() for c in g]
     order = [F.col("start_sec").asc(), F.col(ident).asc()]
-    t = join_ids(df, group_medians(df, [key], cols, "med_", hot), [key])
+    if hot is None:
+        w = Window.partitionBy(key)
+        t = df.select("*", *[F.percentile(c, F.lit(0.5)).over(w).alias(f"med_{c}") for c in cols])
+    else:
+        t = join_ids(df, group_medians(df, [key], cols, "med_", hot), [key])
     for g, gcols in groups.items():
         t = t.withColumn(f"{g}_distance", mean_abs(*[F.col(c) - F.col(f"med_{c}") for c in gcols]))
     t = t.withColumn("_x", F.struct(*[F.array(*gcols).alias(g) for g, gcols in groups.items()]))
     t = neighbours(t, [key], order, "_x", 1, "_xp", "_xn", hot)
-    tops = t.groupBy(key).agg(*[F.max(f"{g}_distance").alias(f"_top_{g}") for g in groups])
-    t = join_ids(t, tops, [key])
+    if hot is None:
+        w = Window.partitionBy(key)
+        t = t.select("*", *[F.max(f"{g}_distance").over(w).alias(f"_top_{g}") for g in groups])
+    else:
+        tops = t.groupBy(key).agg(*[F.max(f"{g}_distance").alias(f"_top_{g}") for g in groups])
+        t = join_ids(t, tops, [key])
     for g in groups:
         t = percent_rank_average(t, [key], f"{g}_distance", f"{g}_deviation_percentile", hot)
         t = t.withColumn(f"{g}_deviation_score", F.col(f"{g}_distance") / (F.col(f"_top_{g}") + 1e-9)) \

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotrail.operators.skew import (
-    exact_quantiles, group_stats, join_keys, neighbours, running,
+    exact_quantiles, group_stats, join_keys, neighbours, running, settled,
 )
 
 COUNTS = ["tn", "fp", "fn", "tp"]
@@ -97,6 +97,8 @@ def score_steps(df: DataFrame, keys: Sequence[str], score: str, truth: str) -> D
 
 
 def steps_from_counts(dist: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """Cumulative counts from distinct scores with their pos and neg counts."""
+    dist = settled(dist)
     cum = running(dist, keys, [F.col(score).desc()],
                   {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))})
     totals = dist.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
@@ -167,6 +169,7 @@ def threshold_counts(df: DataFrame, keys: Sequence[str], score: str, truth: str,
             .groupBy(*keys, "_slot")
             .agg(F.count_if(F.col(truth) == 1).alias("_pos"),
                  F.count_if(F.col(truth) == 0).alias("_neg")))
+    hist = settled(hist)  # keys x thresholds rows
     count = (stop - start) // step + 1
     totals = hist.groupBy(*keys).agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_q"))
     grid = totals.select("*", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("_slot"))

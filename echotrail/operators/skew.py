@@ -47,6 +47,21 @@ def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, counts.schema)
 
 
+def unless_small(base: DataFrame):
+    """None when a whole table has fewer rows than one group may have, else MEASURE.
+
+    For frames derived row by row from `base`: counting the base is cheap, measuring
+    the derived frame would compute it twice.
+    """
+    return None if base.count() <= hot_limit(base) else MEASURE
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Checkpoint a small aggregate that several branches read, so the input is scanned once."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _measured(df: DataFrame, keys: Sequence[str], hot) -> DataFrame | None:
     """Callers that keep a table's rows can measure once and hand the result on."""
     return hot_groups(df, keys) if hot is MEASURE else hot
@@ -222,13 +237,13 @@ def percent_rank_average(df: DataFrame, keys: Sequence[str], value: str, name: s
                          hot=MEASURE) -> DataFrame:
     """Rank with ties averaged, divided by the non-null count; null stays null."""
     if _measured(df, keys, hot) is None:
-        by = [F.col(k) for k in keys]
-        low = F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last()))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, F.col(value)))
-        total = F.count(value).over(Window.partitionBy(*by))
+        # one sort serves all three: rank, rows up to and with the ties, and the non-null total
+        w = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
+        low = F.rank().over(w)
+        upto = F.count(value).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        total = F.count(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         return df.withColumn(name, F.when(
-            F.col(value).isNotNull(),
-            (low + (ties - 1) / F.lit(2.0)) / total))
+            F.col(value).isNotNull(), (low + (upto - low) / F.lit(2.0)) / total))
     pos = value_positions(df, keys, value).select(
         *keys, value,
         ((F.col("before") + 1 + (F.col("n") - 1) / F.lit(2.0)) / F.col("total")).alias(name))

@@ -9,7 +9,7 @@ from echotrail.operators import localize as Z
 from echotrail.operators.metrics import best_row, ratio
 from echotrail.operators.profile import issue_rows
 from echotrail.operators.skew import (
-    group_medians, group_stats, join_ids, numbered, running, top_rows,
+    group_medians, group_stats, join_ids, numbered, running, top_rows, unless_small,
 )
 from echotrail.plans import inputs as I
 from echotrail.plans.localization_queries import RANGES
@@ -204,7 +204,7 @@ def holdout_metrics_frame(spark, sf):
                                                                  ("mixer", "mixer_false_partial_rate"), ("unknown", "unknown_condition_positive_rate"))],
         F.count_if(ok & pos).alias("positive_file_count"), r(ok & pos, c("broad_activation_flag")).alias("broad_activation_rate_when_positive"),
         *[r(stamped, c(f"top{n}_hit")).alias(f"top{n}_hit_rate_when_positive") for n in (1, 3, 5)],
-        F.count_if(stamped).alias("timestamp_positive_count"), r(new, pos).alias("new_partial_recall"), F.count_if(new & ~pos).alias("new_partial_false_negative_count")], "_err", {"median_timestamp_error": 0.5})
+        F.count_if(stamped).alias("timestamp_positive_count"), r(new, pos).alias("new_partial_recall"), F.count_if(new & ~pos).alias("new_partial_false_negative_count")], "_err", {"median_timestamp_error": 0.5}, hot=unless_small(I.files(spark, sf)))
     return rounded(m.drop("scope"))
 
 
@@ -443,7 +443,8 @@ def outcome_distribution(spark, sf):
     h = holdout(spark, sf).where(c("error_status") == "ok").withColumn("outcome", F.when(
         exp & (c("test_group") == "fabricated_20pct") & ~pos, "fabricated_20pct_false_negative").when(~exp & pos, "nonpartial_false_positive")
         .when(exp & pos, "true_partial_detected").when(~exp, "nonpartial_true_negative")).where(c("outcome").isNotNull())
-    return rounded(C.outcome_distribution(h.select("outcome", *OUTCOME_COLS), "outcome", OUTCOME_COLS))
+    return rounded(C.outcome_distribution(h.select("outcome", *OUTCOME_COLS), "outcome", OUTCOME_COLS,
+                                          hot=unless_small(I.files(spark, sf))))
 
 
 # Counterfactuals: what one relaxed gate would change -----------------------------------------

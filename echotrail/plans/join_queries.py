@@ -71,7 +71,9 @@ pa AS (SELECT file_id, max(prob) AS partial_p FROM g GROUP BY file_id)"""
 def axis_tables(spark, sf):
     """Mean probability per file and task, and the strongest segment per file."""
     p = I.predictions(spark, sf).where(c("feature_set") == "ssl")
-    axes = {a: p.where(c("task_name") == f"{a}_file_model").groupBy("file_id").agg(F.avg("prob").alias(f"{a}_p")) for a in ("origin", "replay", "mixer")}
+    # the three file models share one scan and one shuffle
+    axes = {"file_models": p.groupBy("file_id").agg(*[
+        F.avg(F.when(c("task_name") == f"{a}_file_model", c("prob"))).alias(f"{a}_p") for a in ("origin", "replay", "mixer")])}
     axes["partial"] = I.segments(spark, sf).groupBy("file_id").agg(F.max("prob").alias("partial_p"))
     return axes
 
