@@ -11,12 +11,13 @@ from echotrail.session import build_session  # noqa: E402
 SMALL = "/root/testdata/sf0.001"
 
 
+def pytest_addoption(parser):
+    parser.addoption("--all-queries", action="store_true", help="compare every query with SQL (about 15 minutes)")
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    # tiny tables: compiling generated code would take longer than running the queries
-    session = build_session("tests", "local[8]", 2, spark__ui__enabled="false",
-                            spark__sql__codegen__wholeStage="false",
-                            spark__sql__codegen__factoryMode="NO_CODEGEN",
+    session = build_session("tests", "local[8]", 4, spark__ui__enabled="false",
                             spark__ui__showConsoleProgress="false", spark__driver__memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
