@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrail.llm import quality_ftrl
+from echotrail.llm import bpe, quality_ftrl
 from echotrail.llm.common import crc32_mod, table
 
+VOCABULARY = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,6 +21,21 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def vocabulary() -> str:
+    """Path of the public vocabulary file; its folder's module is not imported before it is needed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+@query
+def op2_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Token count, digest of the ids and digest of the decoded text of every document."""
+    coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary(), ["doc_id"])
+    back = bpe.decode(coded.withColumn("ids_sha256", F.sha2("ids", 256)), vocabulary(), ["doc_id", "n_tokens", "ids_sha256"])
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query
 def op10_quality_ftrl(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document; labels come from rows with crc32(doc_id) mod 5 <> 0 alone."""
