@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrail.llm import bpe, quality_ftrl
+from echotrail.llm import bpe, line_chunks, quality_ftrl, simhash_golay
 from echotrail.llm.common import crc32_mod, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +36,22 @@ def op2_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op8_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash_golay.classes(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op9_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the line chunks that stand earlier in the corpus."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = line_chunks.dedup(docs)
+    return cut.select("doc_id", "n_cut", "text")
+
+
 @query
 def op10_quality_ftrl(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document; labels come from rows with crc32(doc_id) mod 5 <> 0 alone."""
