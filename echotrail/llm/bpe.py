@@ -23,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
 
-from echotrail.llm.common import Numbered, blocks, pieces, ranges
+from echotrail.llm.common import Numbered, passed, pieces, ranges, small_batches
 
 #: Pattern of the byte-level pre-tokenizer (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PIECES_KEPT = 600_000
+#: Bounds of what a worker keeps: pieces with their tokens, and steps and pairs met on the walks.
+PIECES_KEPT, STEPS_KEPT = 400_000, 600_000
 
 
 def printable_bytes() -> dict[str, int]:
@@ -81,9 +81,13 @@ class Trie:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.stays: dict[int, bool] = {}
         self.begins = {t[:k] for t in vocabulary.ids for k in range(1, len(t) + 1)}
-        #: suffix states: name (a beginning of tokens), tokens that end it (longest first), steps taken so far
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the pairs tested and the suffix states: name (a beginning of tokens), tokens that end it (longest
+        first), steps taken so far."""
+        self.stays: dict[int, bool] = {}
         self.state, self.names, self.ending, self.step = {b"": 0}, [b""], [[]], {}
 
     def apart(self, s: int, t: int) -> bool:
@@ -176,6 +180,8 @@ class Encoder:
         """All token ids of the texts one after the other, and the number of each text."""
         if len(self.known) > PIECES_KEPT:
             self.forget()
+        if len(self.trie.step) + len(self.trie.stays) > STEPS_KEPT:
+            self.trie.forget()
         cut = [self.cut(t) for t in texts]
         counts = np.array([len(c) for c in cut], np.int64)
         number = self.known.numbers(list(chain.from_iterable(cut)))
@@ -194,35 +200,28 @@ def encoder(file: str) -> Encoder:
     return Encoder(Vocabulary(file))
 
 
+@lru_cache(1)
+def token_bytes(file: str) -> list[bytes]:
+    return Vocabulary(file).tokens
+
+
 def vocabulary_file(path: str) -> str:
     """The content of a vocabulary file, of a fixed size; it travels to the executors with the function."""
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
-def passed(frame: DataFrame, keep: list[str], more: str) -> StructType:
-    """Schema of the kept columns and some more."""
-    out = StructType([f for c in keep for f in frame.schema.fields if f.name == c])
-    for f in StructType.fromDDL(more).fields:
-        out = out.add(f)
-    return out
-
-
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns with ids (binary: unsigned 32-bit little-endian token ids) and n_tokens."""
     file, source = vocabulary_file(path), docs.select(*keep, docs[text].alias("__text"))
 
     def run(batches):
-        for batch in batches:
-            coder, ids, counts = encoder(file), [], []
-            for block in blocks(batch.column("__text").to_pylist()):
-                flat, n = coder.encode(block)
-                data, ends = flat.astype("<u4").tobytes(), np.cumsum(n) * 4
-                ids += [data[e - 4 * k:e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                counts.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], pa.array(ids, pa.binary()),
-                 pa.array(np.concatenate([np.zeros(0, np.int64), *counts]), pa.int64())], names=[*keep, "ids", "n_tokens"])
+        for batch, texts in small_batches(batches, "__text"):
+            flat, counts = encoder(file).encode(texts)
+            data, ends = flat.astype("<u4").tobytes(), np.cumsum(counts) * 4
+            ids = [data[e - 4 * k:e] for e, k in zip(ends.tolist(), counts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(ids, pa.binary()), pa.array(counts, pa.int64())],
+                                             names=[*keep, "ids", "n_tokens"])
 
     return source.mapInArrow(run, passed(source, keep, "ids binary, n_tokens long"))
 
@@ -232,10 +231,10 @@ def decode(frame: DataFrame, path: str, keep: list[str], ids: str = "ids") -> Da
     file, source = vocabulary_file(path), frame.select(*keep, frame[ids].alias("__ids"))
 
     def run(batches):
+        token = token_bytes(file).__getitem__
         for batch in batches:
-            token = encoder(file).v.tokens.__getitem__
-            texts = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace")
-                     for x in batch.column("__ids").to_pylist()]
+            texts = (b"".join(map(token, np.frombuffer(x.as_py() or b"", "<u4").tolist())).decode("utf-8", "replace")
+                     for x in batch.column("__ids"))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())],
                                              names=[*keep, "decoded"])
 

@@ -7,8 +7,10 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from echotrail.session import scratch_path
 
@@ -69,16 +71,17 @@ class Numbered(dict):
         return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
 
 
-def blocks(texts: list, chars: int = 1_500_000):
-    """Runs of whole texts (null: empty) of about so many characters together: bounds the memory of one step."""
-    start, size = 0, 0
-    for k, text in enumerate(texts):
-        if size and size + len(text or "") > chars:
-            yield [t or "" for t in texts[start:k]]
-            start, size = k, 0
-        size += len(text or "")
-    if texts:
-        yield [t or "" for t in texts[start:]]
+def small_batches(batches, column: str, size: int = 2_000_000):
+    """Slices of Arrow batches with about so many bytes of text each (one text at least), and their texts (null: empty)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + size, "right")))
+            part = batch.slice(start, stop - start)
+            yield part, [t or "" for t in part.column(column).to_pylist()]
+            start = stop
 
 
 def pieces(text: str) -> list[str]:
@@ -124,13 +127,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def per_batch(work: Callable, *args) -> Callable:
-    """A function for mapInArrow that starts `work(*args)` once a task and calls it for every batch."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row, also where the body uses it in a loop over elements."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def run(batches):
-        step = work(*args)
-        for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
 
-    return run
+def passed(frame: DataFrame, keep: list[str], more: str) -> StructType:
+    """Schema of the kept columns and some more."""
+    out = StructType([f for c in keep for f in frame.schema.fields if f.name == c])
+    for f in StructType.fromDDL(more).fields:
+        out = out.add(f)
+    return out

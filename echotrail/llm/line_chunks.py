@@ -16,29 +16,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echotrail.llm.common import let
+
 #: One boundary in so many lines on average, and the fewest lines of a chunk that may be removed.
 MEAN_LINES, LEAST_LINES = 3, 2
 
 
 def chunk_ends(lines: Column, mean: int = MEAN_LINES) -> Column:
     """Numbers (from 1) of the lines that end a chunk, ascending; the last line always does."""
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    pairs = F.arrays_zip(F.sequence(F.lit(1), F.size(lines)).alias("n"), hashes.alias("h"),
-                         F.concat(F.array(F.lit(0).cast("long")), hashes).alias("p"))
-    ends = F.filter(pairs, lambda x: x["n"].isNotNull() & ((x["n"] == F.size(lines)) | (F.pmod(F.xxhash64(x["p"], x["h"]), F.lit(mean)) == 0)))
+    hashes = F.transform(lines, lambda x: F.md5(x.cast("binary")))
+    rows = F.arrays_zip(F.sequence(F.lit(1), F.size(lines)).alias("n"), hashes.alias("h"), F.concat(F.array(F.lit("")), hashes).alias("p"))
+    rolled = lambda x: F.conv(F.substring(F.md5(F.concat(x["p"], x["h"]).cast("binary")), 1, 6), 16, 10).cast("int")
+    ends = F.filter(rows, lambda x: x["n"].isNotNull() & ((x["n"] == F.size(lines)) | (rolled(x) % mean == 0)))
     return F.transform(ends, lambda x: x["n"])
 
 
 def chunks(docs: DataFrame, mean: int = MEAN_LINES) -> DataFrame:
     """Rows (id, mark, at, size, chunk) for every chunk of every text; mark tells texts of one id apart."""
-    ends = F.col("ends")
-    starts = F.concat(F.array(F.lit(0)), ends)
+    def cut(lines: Column, starts: Column) -> Column:
+        return F.transform(F.slice(starts, 1, F.size(starts) - 1), lambda at, k: F.struct(
+            at.alias("at"), (F.element_at(starts, k + 2) - at).alias("size"),
+            F.array_join(F.slice(lines, at + 1, F.element_at(starts, k + 2) - at), "\n").alias("chunk")))
+
+    found = let(F.split("text", "\n"), lambda lines: let(
+        F.concat(F.array(F.lit(0)), chunk_ends(lines, mean)), lambda starts: cut(lines, starts)))
     return (docs.where(F.col("text").isNotNull())
-            .select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), F.split("text", "\n").alias("lines"))
-            .withColumn("ends", chunk_ends(F.col("lines"), mean))
-            .select("id", "mark", F.explode(F.transform(ends, lambda e, k: F.struct(
-                F.element_at(starts, k + 1).alias("at"), (e - F.element_at(starts, k + 1)).alias("size"),
-                F.array_join(F.slice(F.col("lines"), F.element_at(starts, k + 1) + 1, e - F.element_at(starts, k + 1)), "\n").alias("chunk")))).alias("c"))
+            .select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), F.explode(found).alias("c"))
             .select("id", "mark", "c.*"))
 
 
@@ -60,9 +63,8 @@ def dedup(docs: DataFrame, mean: int = MEAN_LINES, least: int = LEAST_LINES) ->
             .agg(F.collect_list(F.struct("at", "size")).alias("__gone")))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__mark")), "left")
     cut = F.flatten(F.transform("__gone", lambda g: F.sequence(g["at"], g["at"] + g["size"] - 1)))
-    lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut)
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(left, lambda k: F.element_at(lines, k + 1)), "\n"))
+    left = let(F.split("text", "\n"), lambda lines: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut), lambda k: F.element_at(lines, k + 1)), "\n"))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
     kept = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*kept, F.coalesce(F.aggregate("__gone", F.lit(0), lambda n, g: n + g["size"]), F.lit(0)).alias("n_cut"))

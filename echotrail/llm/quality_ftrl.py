@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echotrail.llm.common import Numbered, blocks, labelled_sample
+from echotrail.llm.common import Numbered, labelled_sample, passed, small_batches
 
 _RULES = [(re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"\d+"), "0")]
 _RUN = re.compile(r"(.)\1+")
@@ -134,24 +134,20 @@ def fit(sample: DataFrame, settings: Settings = Settings()) -> QualityModel:
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str], threshold: float = 0.3) -> DataFrame:
     """The kept columns with score (0 to 1) and predicted (1 from the threshold on)."""
-    fields = {f.name: f for f in docs.schema.fields}
     text = "text" if "text" in keep else "__text"
     source = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias(text))
-    schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int"
 
     def run(batches):
         weights = np.frombuffer(model.weights, "<f4").astype(np.float64)
         maker, scale = Featurizer(model.settings.bits), model.settings.scale
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = np.concatenate([maker.margins(b, weights, scale) for b in blocks(batch.column(text).to_pylist())])
+        for batch, texts in small_batches(batches, text):
+            out = maker.margins(texts, weights, scale)
             out = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out), pa.array((out >= threshold).astype(np.int32))],
                                              names=[*keep, "score", "predicted"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, passed(source, keep, "score double, predicted int"))
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), folds: int = 5,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrail.llm import bpe, line_chunks, quality_ftrl, simhash_golay
+from echotrail.llm import bpe, decontaminate, line_chunks, quality_ftrl, simhash_golay
 from echotrail.llm.common import crc32_mod, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +36,13 @@ def op2_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op6_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that leak a benchmark item, exact or with other numbers, names and units."""
+    found = decontaminate.leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "coverage", "kind")
+
+
 @query
 def op8_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
@@ -52,6 +59,31 @@ def op9_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_cut", "text")
 
 
+ORACLES["op9_line_chunks"] = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS n, len(string_split(text, chr(10))) AS total
+  FROM documents WHERE text IS NOT NULL),
+rolled AS (
+  SELECT *, md5(coalesce(lag(md5(line)) OVER (PARTITION BY doc_id ORDER BY n), '') || md5(line)) AS h FROM lines),
+numbered AS (
+  SELECT *, coalesce(sum(CASE WHEN n = total OR ('0x' || substr(h, 1, 6))::INT % {line_chunks.MEAN_LINES} = 0 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM rolled),
+chunks AS (
+  SELECT doc_id, part, min(n) AS first_line, count(*) AS size, string_agg(line, chr(10) ORDER BY n) AS chunk
+  FROM numbered GROUP BY doc_id, part),
+cut AS (
+  SELECT doc_id, part FROM (
+    SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first_line) AS copy
+    FROM chunks WHERE size >= {line_chunks.LEAST_LINES}) WHERE copy > 1),
+remade AS (
+  SELECT n.doc_id, sum(CASE WHEN c.part IS NULL THEN 0 ELSE 1 END)::INT AS n_cut,
+         coalesce(string_agg(n.line, chr(10) ORDER BY n.n) FILTER (WHERE c.part IS NULL), '') AS text
+  FROM numbered n LEFT JOIN cut c ON n.doc_id = c.doc_id AND n.part = c.part GROUP BY n.doc_id)
+SELECT d.doc_id, coalesce(r.n_cut, 0)::INT AS n_cut, CASE WHEN d.text IS NULL THEN NULL ELSE r.text END AS text
+FROM documents d LEFT JOIN remade r ON d.doc_id = r.doc_id"""
+
+
 @query
 def op10_quality_ftrl(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document; labels come from rows with crc32(doc_id) mod 5 <> 0 alone."""

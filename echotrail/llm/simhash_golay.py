@@ -24,8 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echotrail.llm.bpe import passed
-from echotrail.llm.common import blocks, components, settled
+from echotrail.llm.common import components, passed, settled, small_batches
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Widths of the segments, lowest bits first, and the generator polynomial of the code (fixed values).
@@ -50,8 +49,8 @@ def fingerprints(docs: DataFrame, keep: list[str], size: int = SHINGLE) -> DataF
     source = docs.select(*keep, docs["text"].alias("__text"))
 
     def run(batches):
-        for batch in batches:
-            prints = [fingerprint(t, size) for b in blocks(batch.column("__text").to_pylist()) for t in b]
+        for batch, texts in small_batches(batches, "__text"):
+            prints = [fingerprint(t, size) for t in texts]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(np.array(prints, np.uint64).view(np.int64))],
                                              names=[*keep, "fp"])
 
