@@ -154,18 +154,20 @@ class Encoder:
     def forget(self) -> None:
         self.known, self.flat, self.starts = Numbered(), array("I"), array("q", [0])
 
-    def learn(self) -> None:
-        """Encodes the pieces seen for the first time."""
-        split = [[] if isinstance(p, int) else [w.encode("utf-8", "replace") for w in self.pattern.findall(p)]
-                 for p in self.known.new]
+    def code(self, new: list[str]) -> list[list[int]]:
+        """Tokens of pieces: their words are found by the pattern and walked as a trie."""
+        split = [[w.encode("utf-8", "replace") for w in self.pattern.findall(p)] for p in new]
         coded = self.trie.encode(list(set(chain.from_iterable(split))))
-        for p, words in zip(self.known.new, split, strict=True):
-            if isinstance(p, int):
-                self.flat.append(p)
-            for w in words:
-                self.flat.extend(coded[w])
+        return [list(chain.from_iterable(map(coded.__getitem__, words))) for words in split]
+
+    def learn(self) -> None:
+        """Encodes the pieces seen for the first time; special tokens stand for themselves."""
+        new = self.known.new
+        coded = iter(self.code([p for p in new if not isinstance(p, int)]))
+        for p in new:
+            self.flat.extend([p] if isinstance(p, int) else next(coded))
             self.starts.append(len(self.flat))
-        self.known.new.clear()
+        new.clear()
 
     def cut(self, text: str) -> list:
         """Pieces of a text; a special token is an int."""

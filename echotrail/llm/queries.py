@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrail.llm import bpe, decontaminate, line_chunks, quality_ftrl, simhash_golay
+from echotrail.llm import bpe, decontaminate, line_chunks, quality_ftrl, simhash_golay, token_files
 from echotrail.llm.common import crc32_mod, table
+from echotrail.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -36,6 +37,14 @@ def op2_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Start, length and checksum of every document, read back from the token files."""
+    target = scratch_path(spark, "token-files")
+    token_files.write(table(spark, folder, "documents").select("doc_id", "text"), vocabulary(), target, end_id=2)
+    return token_files.read(spark, target)
+
+
 @query
 def op6_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that leak a benchmark item, exact or with other numbers, names and units."""

@@ -120,11 +120,11 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def classes(docs: DataFrame, keep: list[str], radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """The kept columns (doc_id among them) with fp, and component_id over the linked fingerprints."""
+    """The kept columns (doc_id among them) with fp, group_fp (a fingerprint that names the component) and component_id."""
     marked = settled(fingerprints(docs, keep, size), "fingerprints")
     prints = settled(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     groups = components(links(prints, radius), "fingerprint-components")
     named = prints.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.join(named.join(least, "component").select("fp", "component_id"), "fp")
+        "fp", "least", F.coalesce("component", "fp").alias("group_fp"))
+    least = named.groupBy("group_fp").agg(F.min("least").alias("component_id"))
+    return marked.join(named.join(least, "group_fp").select("fp", "group_fp", "component_id"), "fp")
