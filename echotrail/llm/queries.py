@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrail.llm import bpe, decontaminate, line_chunks, quality_ftrl, simhash_golay, token_files
+from echotrail.llm import bpe, decontaminate, line_chunks, quality_ftrl, simhash_golay, token_files, url_filter
 from echotrail.llm.common import crc32_mod, table
 from echotrail.session import scratch_path
 
@@ -52,6 +52,14 @@ def op6_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_windows", "coverage", "kind")
 
 
+@query
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule and verdict for the URL of every page."""
+    model = url_filter.fit(url_filter.labelled_urls(spark))
+    judged = url_filter.judge(table(spark, folder, "pages").select("page_id", "url"), model, ["page_id"])
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 @query
 def op8_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
