@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrail.llm import bpe, decontaminate, line_chunks, quality_ftrl, simhash_golay, token_files, url_filter
+from echotrail.llm import bpe, decontaminate, line_chunks, quality_ftrl, simhash_golay, token_files, url_filter, vector_dedup
 from echotrail.llm.common import crc32_mod, table
 from echotrail.session import scratch_path
 
@@ -37,6 +37,28 @@ def op2_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op3_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of links and component of every vector."""
+    return vector_dedup.classes(table(spark, folder, "embeddings"), cosine=0.93)
+
+
+ORACLES["op3_vector_dedup"] = """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT a AS root, b AS node FROM links UNION SELECT r.root, l.b FROM reach r JOIN links l ON r.node = l.a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+least AS (SELECT root, min(node) AS m FROM reach GROUP BY root)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(l.m, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(l.m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN counts c ON e.vec_id = c.a LEFT JOIN least l ON e.vec_id = l.root"""
+
+
 @query
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Start, length and checksum of every document, read back from the token files."""
