@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrail.llm import bpe, decontaminate, line_chunks, quality_ftrl, simhash_golay, token_files, url_filter, vector_dedup
+from echotrail.llm import bpe, decontaminate, line_chunks, quality_ftrl, simhash_golay, token_files, toxicity, url_filter, vector_dedup
 from echotrail.llm.common import crc32_mod, table
 from echotrail.session import scratch_path
 
@@ -67,6 +67,15 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(spark, target)
 
 
+@query
+def op5_string_kernel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document; labels come from rows with crc32(doc_id) mod 3 <> 1 alone."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit_documents(docs, table(spark, folder, "labels"))
+    scored = toxicity.score(docs, model, ["doc_id"], threshold=0.7)
+    return scored.select("doc_id", (crc32_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 @query
 def op6_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that leak a benchmark item, exact or with other numbers, names and units."""
