@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrail.llm import bpe, decontaminate, line_chunks, quality_ftrl, simhash_golay, token_files, toxicity, url_filter, vector_dedup
+from echotrail.llm import bpe, decontaminate, line_chunks, lm_score, quality_ftrl, simhash_golay, token_files, toxicity, url_filter, vector_dedup
 from echotrail.llm.common import crc32_mod, table
 from echotrail.session import scratch_path
 
@@ -29,6 +29,34 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+@query
+def op1_stupid_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and stupid-backoff score of every document, by trigram counts over all documents."""
+    scored = lm_score.score(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+    return scored.select("doc_id", "n_words", F.round("lm_score", 4).alias("lm_score"))
+
+
+ORACLES["op1_stupid_backoff"] = f"""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM documents),
+words AS (SELECT doc_id, generate_subscripts(w, 1) AS n, unnest(w) AS c FROM split),
+grams AS (
+  SELECT *, lag(c) OVER (PARTITION BY doc_id ORDER BY n) AS b, lag(c, 2) OVER (PARTITION BY doc_id ORDER BY n) AS a FROM words),
+one AS (SELECT c, count(*) AS k FROM grams GROUP BY c),
+two AS (SELECT b, c, count(*) AS k FROM grams WHERE n > 1 GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS k FROM grams WHERE n > 2 GROUP BY a, b, c),
+valued AS (
+  SELECT g.doc_id,
+    CASE WHEN g.n > 2 AND three.k >= {lm_score.MIN_COUNT} THEN ln(three.k / before.k)
+         WHEN g.n > 1 AND two.k >= {lm_score.MIN_COUNT} THEN ln(two.k / prior.k) + CASE WHEN g.n > 2 THEN ln({lm_score.BACKOFF}) ELSE 0 END
+         ELSE ln(one.k / (SELECT sum(k) FROM one)) + least(g.n - 1, 2) * ln({lm_score.BACKOFF}) END AS v
+  FROM grams g JOIN one ON g.c = one.c LEFT JOIN two ON g.b = two.b AND g.c = two.c
+    LEFT JOIN three ON g.a = three.a AND g.b = three.b AND g.c = three.c
+    LEFT JOIN one prior ON g.b = prior.c LEFT JOIN two before ON g.a = before.b AND g.b = before.c)
+SELECT s.doc_id, len(s.w)::BIGINT AS n_words, round(coalesce(v.v, 0), 4) AS lm_score
+FROM split s LEFT JOIN (SELECT doc_id, sum(v) AS v FROM valued GROUP BY doc_id) v ON s.doc_id = v.doc_id"""
+
+
 @query
 def op2_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Token count, digest of the ids and digest of the decoded text of every document."""
