@@ -15,6 +15,8 @@ one result together; a null doc_id is reported as null. Other columns are not to
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,8 @@ def template_text(text: Column) -> Column:
     out = F.regexp_replace(text, r"(?<=[^\s.!?:]\s)\p{Lu}\p{Ll}[\p{L}'’-]*", NAME)
     out = F.lower(F.regexp_replace(out, r"\d+(?:[.,:/]\d+)*", NUMBER))
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\s" + NUMBER + NAME + UNIT + "]+", "")
-    return F.regexp_replace(out, f"(?<={NUMBER}\\s)(?:{'|'.join(UNITS)})(?!\\S)", UNIT)
+    units = f"(?<={NUMBER}\\s)(?:{'|'.join(UNITS)})(?!\\S)"
+    return let(out, lambda t: F.when(F.contains(t, F.lit(NUMBER)), F.regexp_replace(t, units, UNIT)).otherwise(t))
 
 
 def tokens(text: Column) -> Column:
@@ -49,55 +52,57 @@ def plain(token: Column) -> Column:
     return F.regexp_replace(F.lower(token), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
-def window_hashes(words: Column, sizes: list[int]) -> Column:
-    """Hashes of all windows, size by size; those of one size are at + base in order."""
-    def of(hashes: Column, size: int) -> Column:
+def window_hashes(words: Column, size: int) -> Column:
+    """Hashes of all windows of so many template tokens, in order; none if there are fewer."""
+    def of(hashes: Column) -> Column:
         starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(1), F.size(hashes) - (size - 1)))
-        return F.transform(F.coalesce(starts, F.array().cast("array<int>")),
-                           lambda k: F.struct(k.alias("at"), F.xxhash64(F.slice(hashes, k, size), F.lit(size)).alias("hash")))
+        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda k: F.xxhash64(F.slice(hashes, k, size)))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w["t"])), lambda h: F.concat(*[of(h, s) for s in sizes]))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
-def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """Rows (item_id, size, at, hash, slots, n_windows) of the benchmark."""
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", tokens(F.col("text")).alias("w"))
-    items = items.where(F.size("w") >= LEAST_TOKENS).withColumn("size", F.least(F.size("w"), F.lit(window)))
-    hashes = F.transform("w", lambda x: F.xxhash64(x["t"]))
-    rows = (items.withColumn("hashes", hashes).withColumn("at", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)))
+def item_windows(items: DataFrame) -> DataFrame:
+    """Rows (item_id, size, at, hash, n_windows) of items (item_id, w, size)."""
+    rows = (items.withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x["t"])))
+            .withColumn("at", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)))
             .withColumn("part", F.slice("w", F.col("at"), F.col("size")))
-            .select("item_id", "size", "at", F.xxhash64(F.slice("hashes", F.col("at"), F.col("size")), F.col("size")).alias("hash"), "part"))
-    slots = F.filter("part", lambda x: x["t"].isin(NUMBER, NAME, UNIT))
-    rows = rows.where(F.size(slots) * 2 <= F.col("size"))
-    counts = rows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return rows.join(counts, "item_id")
+            .where(F.size(F.filter("part", lambda x: x["t"].isin(NUMBER, NAME, UNIT))) * 2 <= F.col("size"))
+            .select("item_id", "size", "at", F.xxhash64(F.slice("hashes", F.col("at"), F.col("size"))).alias("hash")))
+    return rows.join(rows.groupBy("item_id").agg(F.count("*").alias("n_windows")), "item_id")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE,
           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows (doc_id, mark, item_id, n_windows, coverage, kind), one per document and leaked item; kind is `exact` or
     `reparameterised`; mark (xxhash64 of the text) tells apart texts of one doc_id."""
-    items = item_windows(benchmark, window).cache()
-    measured = items.agg(F.count("*"), F.collect_set("size")).first()
-    sizes = sorted(measured[1], reverse=True) or [window]
-    rows = (docs.where(F.col("text").isNotNull())
-            .select("doc_id", F.xxhash64("text").alias("mark"), tokens(F.col("text")).alias("w"))
-            .withColumn("windows", window_hashes(F.col("w"), sizes))
-            .select("doc_id", "mark", "w", F.explode("windows").alias("x")))
-    found = rows.join(F.broadcast(items) if measured[0] <= broadcast_rows else items, F.col("x.hash") == F.col("hash")).select(
-        "doc_id", "mark", "item_id", "n_windows", "at", (F.col("x.at") - F.col("at")).alias("offset"), "part",
-        F.slice("w", F.col("x.at"), F.col("size")).alias("own"))
-    pairs = F.transform(F.filter(F.arrays_zip(F.col("part").alias("i"), F.col("own").alias("d")), lambda x: x["i"]["t"].isin(NUMBER, NAME, UNIT)),
-                        lambda x: F.struct(x["i"]["t"].alias("kind"), plain(x["i"]["v"]).alias("item"), plain(x["d"]["v"]).alias("doc")))
-    runs = found.groupBy("doc_id", "mark", "item_id", "n_windows", "offset").agg(
-        F.size(F.collect_set("at")).alias("n"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
+    items = (benchmark.where("item_id is not null and text is not null").select("item_id", tokens(F.col("text")).alias("w"))
+             .where(F.size("w") >= LEAST_TOKENS).withColumn("size", F.least(F.size("w"), F.lit(window))).cache())
+    parts = item_windows(items).cache()
+    measured = parts.agg(F.count("*"), F.collect_set("size")).first()
+    if measured[0] <= broadcast_rows:
+        parts = F.broadcast(parts)
+    words = F.filter(F.split(template_text(F.col("text")), r"\s"), lambda x: x != "")
+    plain_docs = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    worded = plain_docs.withColumn("words", words)
+    found = [worded.select("doc_id", "mark", "text", F.posexplode(window_hashes(F.col("words"), size)).alias("place", "hash"))
+             .withColumn("size", F.lit(size)).join(parts, ["hash", "size"]) for size in sorted(measured[1] or [window])]
+    found = reduce(DataFrame.unionByName, found)
+    runs = found.groupBy("doc_id", "mark", "item_id", "n_windows", "size", (F.col("place") + 1 - F.col("at")).alias("offset")).agg(
+        F.collect_set("at").alias("ats"), F.first("text").alias("text"))
+    covered = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1))))
+    slots = F.array_distinct(let(tokens(F.col("text")), lambda own: F.transform(
+        F.filter("covered", lambda p: F.element_at("w", p)["t"].isin(NUMBER, NAME, UNIT)),
+        lambda p: F.struct(F.element_at("w", p)["t"].alias("kind"), plain(F.element_at("w", p)["v"]).alias("item"),
+                           plain(F.element_at(own, p + F.col("offset"))["v"]).alias("doc")))))
+    runs = (runs.where(F.size("ats") >= coverage * F.col("n_windows")).withColumn("covered", covered)
+            .join(items.select("item_id", "w"), "item_id").withColumn("slots", slots))
     values = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[side]))))
     consistent = (values("item") == F.size("slots")) & (values("doc") == F.size("slots"))
     exact = F.forall("slots", lambda s: s["item"] == s["doc"])
-    return (runs.where(consistent & (F.col("n") >= coverage * F.col("n_windows")))
-            .groupBy("doc_id", "mark", "item_id")
-            .agg(F.max("n").alias("n_windows"), F.max(F.col("n") / F.col("n_windows")).alias("coverage"),
-                 F.when(F.max(exact), "exact").otherwise("reparameterised").alias("kind")))
+    return (runs.select("doc_id", "mark", "item_id", F.size("ats").alias("n"), "n_windows", consistent.alias("ok"), exact.alias("same"))
+            .where("ok").groupBy("doc_id", "mark", "item_id")
+            .agg(F.max(F.col("n") / F.col("n_windows")).alias("coverage"), F.max("n").alias("n_windows"),
+                 F.when(F.max("same"), "exact").otherwise("reparameterised").alias("kind")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
