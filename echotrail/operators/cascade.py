@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotrail.operators.metrics import ratio
-from echotrail.operators.skew import MEASURE, group_medians, hot_groups, join_ids, merge_rows, top_rows
+from echotrail.operators.skew import MEASURE, by_halves, group_medians, join_ids, merge_rows, top_rows
 
 PARTIAL = ["ai_fabricated", "human_fabricated"]
 DIRECT = ["ai_direct", "human_direct", "human_clean"]
@@ -42,8 +42,12 @@ def segment_profile(seg: DataFrame, key: str, prob: str, order: Sequence[Column]
     """
     p = F.coalesce(F.col(prob), F.lit(0.0))
     s = seg.select(key, *order, p.alias("_p"), *([truth] if truth else []))
+    return by_halves(s, [key], lambda part, size: _profile(part, key, order, thresholds, k, truth, size))
+
+
+def _profile(s: DataFrame, key: str, order: Sequence[Column], thresholds: Sequence[float], k: int, truth: str | None, size) -> DataFrame:
     hit = lambda n: F.coalesce(F.max(F.when(F.col("_r") <= n, F.col(truth) == 1)), F.lit(False)).alias(f"top{n}_hit")
-    if hot_groups(s, [key]) is None:
+    if size is None:
         # one shuffle: number the segments, then aggregate on the same partitioning
         w = Window.partitionBy(key).orderBy(F.col("_p").desc(), *order)
         top = F.col("_r") <= k

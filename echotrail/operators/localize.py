@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from echotrail.functions.numbers import row_mean
 from echotrail.operators.skew import (
-    MEASURE, group_medians, hot_groups, join_ids, min_rank_descending, neighbours,
-    percent_rank_average, top_rows,
+    EVERY, MEASURE, by_halves, group_medians, join_ids, min_rank_descending, neighbours,
+    percent_rank_average, settled, top_rows,
 )
 
 MAD_SCALE = 1.4826  # makes the median absolute deviation comparable to a standard deviation
@@ -18,8 +18,10 @@ MAD_SCALE = 1.4826  # makes the median absolute deviation comparable to a standa
 
 def with_medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], hot=MEASURE) -> DataFrame:
     """Add med_<c> (group median) and mad_<c> (median absolute deviation, 0 as null)."""
-    if hot is MEASURE:
-        hot = hot_groups(df, keys)
+    return by_halves(df, keys, lambda part, size: _with_medians(part, keys, cols, size), hot)
+
+
+def _with_medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str], hot) -> DataFrame:
     if hot is None:
         # windows on the key alone: one shuffle for medians, deviations and whatever follows
         w = Window.partitionBy(*keys)
@@ -74,9 +76,11 @@ def baseline_margins(df: DataFrame, key: str, groups: dict[str, list[str]], insi
 
     Recordings without both kinds of segments get nulls.
     """
+    return by_halves(df, [key], lambda part, size: _baseline_margins(part, key, groups, inside, outside, size), hot)
+
+
+def _baseline_margins(df: DataFrame, key: str, groups: dict[str, list[str]], inside: Column, outside: Column, hot) -> DataFrame:
     cols = [c for g in groups.values() for c in g]
-    if hot is MEASURE:
-        hot = hot_groups(df, [key])
     if hot is None:
         w = Window.partitionBy(key)
         j = df.select("*", *[
@@ -109,7 +113,11 @@ def _margins(j: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
 def localization_candidates(df: DataFrame, key: str, ident: str, groups: dict[str, list[str]],
                             inside: Column, outside: Column, top_k: int = 5, k: int = 1) -> DataFrame:
     """All within-recording scores, the candidate rank and class of every segment."""
-    hot = hot_groups(df, [key])
+    return by_halves(df, [key], lambda part, size: _candidates(part, key, ident, groups, inside, outside, top_k, k, size))
+
+
+def _candidates(df: DataFrame, key: str, ident: str, groups: dict[str, list[str]],
+                inside: Column, outside: Column, top_k: int, k: int, hot) -> DataFrame:
     cols = [c for g in groups.values() for c in g]
     order = [F.col("start_sec").asc(), F.col(ident).asc()]
     t = with_medians(df, [key], cols, hot)
@@ -120,6 +128,8 @@ def localization_candidates(df: DataFrame, key: str, ident: str, groups: dict[st
     # the ranks sort the group once per score: carry only what they and the result need
     t = t.select(key, ident, *[c for c in ("start_sec", "end_sec") if c in df.columns], "combined_margin",
                  *[f"{p}{g}{s}" for g in groups for p, s in (("", "_distance"), ("max_", "_delta"))])
+    if hot is EVERY:
+        t = settled(t)
     for g in groups:
         t = percent_rank_average(t, [key], f"{g}_distance", f"{g}_deviation", hot)
         t = percent_rank_average(t, [key], f"max_{g}_delta", f"{g}_transition", hot)
@@ -155,7 +165,10 @@ def candidate_class(top_k: int) -> Column:
 
 def live_features(df: DataFrame, key: str, ident: str, groups: dict[str, list[str]]) -> DataFrame:
     """Scoring-time features: mean |x - median|, its rank and share of the maximum, step to the previous."""
-    hot = hot_groups(df, [key])
+    return by_halves(df, [key], lambda part, size: _live_features(part, key, ident, groups, size))
+
+
+def _live_features(df: DataFrame, key: str, ident: str, groups: dict[str, list[str]], hot) -> DataFrame:
     cols = [c for g in groups.values() for c in g]
     order = [F.col("start_sec").asc(), F.col(ident).asc()]
     if hot is None:
@@ -172,7 +185,7 @@ def live_features(df: DataFrame, key: str, ident: str, groups: dict[str, list[st
         t = t.select("*", *[F.max(f"{g}_distance").over(w).alias(f"_top_{g}") for g in groups])
     else:
         tops = t.groupBy(key).agg(*[F.max(f"{g}_distance").alias(f"_top_{g}") for g in groups])
-        t = join_ids(t, tops, [key])
+        t = settled(join_ids(t, tops, [key]))
     for g in groups:
         t = percent_rank_average(t, [key], f"{g}_distance", f"{g}_deviation_percentile", hot)
         t = t.withColumn(f"{g}_deviation_score", F.col(f"{g}_distance") / (F.col(f"_top_{g}") + 1e-9)) \

@@ -69,21 +69,23 @@ def threshold_sweep(df: DataFrame, source: str, votes: Sequence[float], segments
     """
     slot = lambda c, levels: sum((R.known(c >= v).cast("int") for v in levels[1:]), R.known(c >= levels[0]).cast("int"))
     score = F.col("decision_score")
-    per_vote = F.array(*[F.struct(F.lit(float(v)).alias("vote"), R.known(score >= v).alias("fake"),
+    per_vote = F.array(*[F.struct(F.lit(float(v)).alias("vote"), R.known(R.predicted(F.lit(v)) == "FAKE").alias("fake"),
+                                  R.known(R.predicted(F.lit(v)) == "REAL").alias("real"),
                                   R.known(F.abs(score - v) <= margin).alias("edge"),
-                                  (R.known(score >= v) | R.known(score >= 0.65)).alias("found")) for v in votes])
+                                  (R.known(R.predicted(F.lit(v)) == "FAKE") | R.known(score >= 0.65)).alias("found")) for v in votes])
     region = valid_region(F.col("suspicious_start_time"), F.col("suspicious_end_time"))
     hist = df.select(
         "manipulation_type", "ground_truth_origin", R._has_error().alias("_err"), region.alias("_region"),
         R._partial_status(F.col("partial_region_detected")).alias("_partial"),
+        R.flag_set(F.col("partial_fabrication_binary")).alias("_flag"),
         slot(F.col("max_chunk_spoof"), segments).alias("_ss"), slot(F.col("suspicious_chunk_ratio"), ratios).alias("_rs"),
         F.explode(per_vote).alias("_v")).groupBy(
-        "manipulation_type", "ground_truth_origin", "_err", "_region", "_partial", "_ss", "_rs",
-        "_v.vote", "_v.fake", "_v.edge", "_v.found").agg(F.count(F.lit(1)).alias("_n"))
+        "manipulation_type", "ground_truth_origin", "_err", "_region", "_partial", "_flag", "_ss", "_rs",
+        "_v.vote", "_v.fake", "_v.real", "_v.edge", "_v.found").agg(F.count(F.lit(1)).alias("_n"))
     levels = lambda vals: F.explode(F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(float(x)).alias("v")) for i, x in enumerate(vals)]))
     g = hist.select("*", levels(segments).alias("_s")).select("*", levels(ratios).alias("_r"))
     hot = (F.col("_s.i") <= F.col("_ss")) | (F.col("_r.i") <= F.col("_rs"))
-    status = R.status_from_flags(F.col("fake"), F.col("edge"), hot, F.col("found"), F.col("_err"), F.col("_partial"))
+    status = R.status_from_flags(F.col("fake"), F.col("real"), F.col("edge"), hot, F.col("found"), F.col("_err"), F.col("_partial"), F.col("_flag"))
     g = g.withColumn("_status", status).withColumn("segment_threshold", F.col("_s.v")).withColumn("ratio_threshold", F.col("_r.v"))
     out = product_metrics(g.withColumnRenamed("vote", "vote_threshold"), ["vote_threshold", "segment_threshold", "ratio_threshold"],
                           "_status", F.col("_n"), F.col("_region"))
@@ -100,7 +102,8 @@ def ensemble(merged: DataFrame, models: Sequence[str]) -> DataFrame:
             "manipulation_type", "ground_truth_origin", "suspicious_start_time", "suspicious_end_time")],
         pick("decision_score").alias("decision_score"), pick("max_chunk_spoof").alias("max_chunk_spoof"),
         F.coalesce(pick("suspicious_chunk_ratio"), F.lit(0.0)).alias("suspicious_chunk_ratio"),
-        hit.alias("partial_region_detected"), F.lit(None).cast("string").alias("error"))
+        hit.alias("partial_region_detected"), F.lit(None).cast("string").alias("prediction"),
+        F.lit(None).cast("string").alias("partial_fabrication_binary"), F.lit(None).cast("string").alias("error"))
 
 
 def count_delta(before: DataFrame, after: DataFrame, status: str) -> DataFrame:

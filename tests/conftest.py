@@ -33,11 +33,12 @@ def duck():
 
 
 @pytest.fixture()
-def tiny_groups(spark, monkeypatch):
-    """Treat every group above three rows as hot, so the split path runs on small data."""
+def tiny_groups(spark):
+    """Treat every group above three rows as hot, in a few slices, so the split path runs on small data."""
     from echotrail.operators import skew
 
-    monkeypatch.setattr(skew, "MAX_HOT_GROUPS", 10**9)
     spark.conf.set(skew.HOT_ROWS_KEY, "3")
+    spark.conf.set(skew.SLICE_ROWS_KEY, "2500")
     yield
     spark.conf.unset(skew.HOT_ROWS_KEY)
+    spark.conf.unset(skew.SLICE_ROWS_KEY)
