@@ -154,37 +154,57 @@ def _partial_status(detected: Column) -> Column:
             .when(known(detected), "partial_fabrication_detected").otherwise("partial_fabrication_missed"))
 
 
+#: Words that set a flag (fixed values).
+TRUE_WORDS = ["true", "1", "yes", "y", "t"]
+
+
+def predicted(vote: Column) -> Column:
+    """FAKE or REAL by the score; without a score the prediction as given; null if neither tells."""
+    score, given = F.col("decision_score"), F.upper(F.trim("prediction"))
+    return (F.when(score >= vote, "FAKE").when(score < vote, "REAL")
+            .otherwise(F.when(given.isin("FAKE", "REAL"), given)))
+
+
+def flag_set(c: Column) -> Column:
+    """Whether a text or boolean flag is set; unknown words and null are not."""
+    return known(F.lower(F.trim(c.cast("string"))).isin(TRUE_WORDS))
+
+
 def baseline_flags(vote: Column, segment_max: Column, ratio: Column, margin: float = 0.05,
                    detect: float = 0.65) -> dict[str, Column]:
-    """What the status rules need from the scores: voted fake, near the vote, hot segments, found."""
+    """What the status rules need: voted fake or real (neither if unknown), near the vote, hot segments, found."""
     score = F.col("decision_score")
-    fake = known(score >= vote)
-    return {"fake": fake, "edge": known(F.abs(score - vote) <= margin),
+    fake = known(predicted(vote) == "FAKE")
+    return {"fake": fake, "real": known(predicted(vote) == "REAL"), "edge": known(F.abs(score - vote) <= margin),
             "hot": known(F.col("max_chunk_spoof") >= segment_max) | known(F.col("suspicious_chunk_ratio") >= ratio),
             "found": fake | known(score >= detect)}
 
 
-def status_from_flags(fake: Column, edge: Column, hot: Column, found: Column, error: Column,
-                      partial: Column) -> Column:
-    """Status of a sample from its kind, true origin and flags."""
+def status_from_flags(fake: Column, real: Column, edge: Column, hot: Column, found: Column, error: Column,
+                      partial: Column, partial_flag: Column) -> Column:
+    """Status of a sample from its kind, true origin and flags; a sample of unknown prediction is never cleared."""
     m, o = norm(F.col("manipulation_type")), norm(F.col("ground_truth_origin"))
-    seg = lambda hit, name: F.when(hit, f"{name}_detected").when(hot, f"{name}_file_level_missed_but_segment_suspicious").otherwise(f"{name}_missed")
+    missed = lambda name: F.when(real & hot, f"{name}_file_level_missed_but_segment_suspicious")
     clean, mixer = m == "clean_direct", m == "mixer_processed"
     return (
-        F.when(error, "unknown_review_required").when(m == "partial_ai_insert", partial)
-        .when(clean & (o == "human"), F.when(edge, "clean_human_borderline").when(fake, "clean_human_false_alarm")
-              .otherwise("clean_human_accepted"))
-        .when(clean & (o == "ai"), seg(fake, "direct_ai"))
+        F.when(error, "unknown_review_required").when(partial_flag | (m == "partial_ai_insert"), partial)
+        .when(clean & (o == "human"), F.when(edge, "clean_human_borderline").when(real, "clean_human_accepted")
+              .when(fake, "clean_human_false_alarm").otherwise("borderline_needs_review"))
+        .when(clean & (o == "ai"), F.when(fake, "direct_ai_detected").otherwise(F.coalesce(
+            missed("direct_ai"), F.when(real, "direct_ai_missed"), F.lit("borderline_needs_review"))))
         .when(m == "human_replay", F.when(found, "human_replay_manipulation_detected").otherwise("human_replay_missed"))
-        .when(m == "ai_replay", seg(found, "ai_replay"))
+        .when(m == "ai_replay", F.when(found, "ai_replay_detected").otherwise(F.coalesce(missed("ai_replay"), F.lit("ai_replay_missed"))))
         .when(mixer & (o == "human"), F.when(found, "human_mixer_manipulation_detected").otherwise("human_mixer_missed"))
-        .when(mixer & (o == "ai"), seg(found, "ai_mixer"))
+        .when(mixer & (o == "ai"), F.when(found, "ai_mixer_detected").otherwise(F.coalesce(missed("ai_mixer"), F.lit("ai_mixer_missed"))))
         .when(edge, "borderline_needs_review").otherwise("unknown_review_required"))
 
 
-def baseline_status(vote: float = 0.70, segment_max: float = 0.95, ratio: float = 0.30) -> Column:
+def baseline_status(vote: float = 0.70, segment_max: float = 0.95, ratio: float = 0.30,
+                    partial_flag: str = "partial_fabrication_binary") -> Column:
+    """Status from the baseline model's columns, `prediction` and the partial flag among them."""
     flags = baseline_flags(F.lit(vote), F.lit(segment_max), F.lit(ratio))
-    return status_from_flags(**flags, error=_has_error(), partial=_partial_status(F.col("partial_region_detected")))
+    return status_from_flags(**flags, error=_has_error(), partial=_partial_status(F.col("partial_region_detected")),
+                             partial_flag=flag_set(F.col(partial_flag)))
 
 
 def window_status() -> Column:

@@ -194,12 +194,41 @@ BST = f"WITH b AS ({I.RESULTS_SQL['baseline']}), s AS (SELECT b.*, {status_sql()
 
 
 def with_status(spark, sf, variant="baseline"):
-    return I.model_results(spark, sf, variant).withColumn("status", R.baseline_status())
-
-
-@query("f11_baseline_status", f"{BST} SELECT sample_id, status FROM s")
+    rows = I.model_results(spark, sf, variant).withColumn("partial_fabrication_binary", F.lit(None).cast("string"))
+    return rows.withColumn("status", R.baseline_status()).drop("partial_fabrication_binary")
+
+
+def gap_status_sql(vote="0.7", seg="0.95", rat="0.3"):
+    """The status rule over results with gaps, stated by what is known: p is the prediction that counts."""
+    return f"""CASE
+  WHEN trim(coalesce(error, '')) <> '' THEN 'unknown_review_required'
+  WHEN flagged OR manipulation_type = 'partial_ai_insert' THEN CASE
+    WHEN suspicious_end_time IS NULL OR suspicious_start_time IS NULL OR suspicious_end_time <= suspicious_start_time THEN 'partial_fabrication_not_evaluable'
+    WHEN partial_region_detected THEN 'partial_fabrication_detected' ELSE 'partial_fabrication_missed' END
+  WHEN manipulation_type = 'clean_direct' AND ground_truth_origin = 'human' THEN CASE
+    WHEN decision_score IS NOT NULL AND abs(decision_score - {vote}::DOUBLE) <= 0.05::DOUBLE THEN 'clean_human_borderline'
+    WHEN p = 'REAL' THEN 'clean_human_accepted' WHEN p = 'FAKE' THEN 'clean_human_false_alarm' ELSE 'borderline_needs_review' END
+  WHEN manipulation_type = 'clean_direct' AND ground_truth_origin = 'ai' THEN CASE
+    WHEN p = 'FAKE' THEN 'direct_ai_detected' WHEN p IS NULL THEN 'borderline_needs_review'
+    WHEN max_chunk_spoof >= {seg} OR suspicious_chunk_ratio >= {rat} THEN 'direct_ai_file_level_missed_but_segment_suspicious' ELSE 'direct_ai_missed' END
+  WHEN manipulation_type = 'human_replay' THEN CASE WHEN coalesce(p, '') = 'FAKE' OR coalesce(decision_score, 0) >= 0.65 THEN 'human_replay_manipulation_detected' ELSE 'human_replay_missed' END
+  WHEN manipulation_type = 'mixer_processed' AND ground_truth_origin = 'human' THEN CASE WHEN coalesce(p, '') = 'FAKE' OR coalesce(decision_score, 0) >= 0.65 THEN 'human_mixer_manipulation_detected' ELSE 'human_mixer_missed' END
+  WHEN manipulation_type = 'ai_replay' OR (manipulation_type = 'mixer_processed' AND ground_truth_origin = 'ai') THEN
+    CASE WHEN manipulation_type = 'ai_replay' THEN 'ai_replay' ELSE 'ai_mixer' END || CASE
+      WHEN coalesce(p, '') = 'FAKE' OR coalesce(decision_score, 0) >= 0.65 THEN '_detected'
+      WHEN p = 'REAL' AND (max_chunk_spoof >= {seg} OR suspicious_chunk_ratio >= {rat}) THEN '_file_level_missed_but_segment_suspicious' ELSE '_missed' END
+  WHEN decision_score IS NOT NULL AND abs(decision_score - {vote}::DOUBLE) <= 0.05::DOUBLE THEN 'borderline_needs_review' ELSE 'unknown_review_required' END"""
+
+
+def gap_rows_sql(src, vote="0.7"):
+    return f"""SELECT *, lower(trim(coalesce(partial_fabrication_binary, ''))) IN ('true', '1', 'yes', 'y', 't') AS flagged,
+  CASE WHEN decision_score IS NOT NULL THEN CASE WHEN decision_score >= {vote} THEN 'FAKE' ELSE 'REAL' END
+       WHEN upper(trim(prediction)) IN ('FAKE', 'REAL') THEN upper(trim(prediction)) END AS p FROM {src}"""
+
+
+@query("f11_baseline_status", f"WITH b AS ({I.GAP_RESULTS_SQL}), g AS ({gap_rows_sql('b')}) SELECT sample_id, {gap_status_sql()} AS status FROM g")
 def baseline_status(spark, sf):
-    return with_status(spark, sf).select("sample_id", "status")
+    return I.gap_results(spark, sf).select("sample_id", R.baseline_status().alias("status"))
 
 
 J3 = f"{THREE}, j AS (SELECT b.sample_id, b.manipulation_type AS m, b.ground_truth_origin AS o, b.suspicious_start_time AS rs, b.suspicious_end_time AS re, " + ", ".join(
@@ -461,10 +490,10 @@ def product_metrics(spark, sf):
 VOTES, SEGS, RATS = [0.60, 0.70, 0.80], [0.85, 0.95], [0.20, 0.30, 0.40]
 
 
-@query("a64_threshold_sweep", f"""WITH b AS ({I.RESULTS_SQL['baseline']}), k AS (SELECT b.*, v.v AS vote_threshold, g.v AS segment_threshold, t.v AS ratio_threshold FROM b, (VALUES {', '.join(f'({x}::DOUBLE)' for x in VOTES)}) v(v), (VALUES {', '.join(f'({x}::DOUBLE)' for x in SEGS)}) g(v), (VALUES {', '.join(f'({x}::DOUBLE)' for x in RATS)}) t(v)),
-s AS (SELECT k.*, {status_sql('k.', 'k.vote_threshold', 'k.segment_threshold', 'k.ratio_threshold')} AS status, 'baseline' AS source FROM k) {pm_sql('s', 'source, vote_threshold, segment_threshold, ratio_threshold')}""")
+@query("a64_threshold_sweep", f"""WITH b AS ({I.GAP_RESULTS_SQL}), k0 AS (SELECT b.*, v.v AS vote_threshold, g.v AS segment_threshold, t.v AS ratio_threshold FROM b, (VALUES {', '.join(f'({x}::DOUBLE)' for x in VOTES)}) v(v), (VALUES {', '.join(f'({x}::DOUBLE)' for x in SEGS)}) g(v), (VALUES {', '.join(f'({x}::DOUBLE)' for x in RATS)}) t(v)),
+k AS ({gap_rows_sql('k0', 'vote_threshold')}), s AS (SELECT k.*, {gap_status_sql('vote_threshold', 'segment_threshold', 'ratio_threshold')} AS status, 'baseline' AS source FROM k) {pm_sql('s', 'source, vote_threshold, segment_threshold, ratio_threshold')}""")
 def threshold_sweep(spark, sf):
-    return rounded(P.threshold_sweep(I.model_results(spark, sf), "baseline", VOTES, SEGS, RATS))
+    return rounded(P.threshold_sweep(I.gap_results(spark, sf), "baseline", VOTES, SEGS, RATS))
 
 
 ENS = f"{THREE}, e AS (SELECT b.sample_id, b.manipulation_type, b.ground_truth_origin, b.suspicious_start_time, b.suspicious_end_time, greatest(b.decision_score, p.decision_score, l.decision_score) AS decision_score, greatest(b.max_chunk_spoof, p.max_chunk_spoof, l.max_chunk_spoof) AS max_chunk_spoof, greatest(b.suspicious_chunk_ratio, p.suspicious_chunk_ratio, l.suspicious_chunk_ratio) AS suspicious_chunk_ratio, b.partial_region_detected OR p.partial_region_detected OR l.partial_region_detected AS partial_region_detected, CAST(NULL AS VARCHAR) AS error FROM b JOIN p USING (sample_id) JOIN l USING (sample_id))"

@@ -249,6 +249,22 @@ def model_results(spark: SparkSession, folder: str, variant: str = "baseline") -
     )
 
 
+def gap_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Baseline results as they arrive: some scores missing, some predictions unknown, some partial flags set."""
+    key = F.col("sample_id")
+    return (model_results(spark, folder)
+            .withColumn("prediction", F.when(key % 13 == 5, "n/a").when(key % 13 == 6, None).when(key % 13 == 7, " fake").otherwise(F.col("prediction")))
+            .withColumn("decision_score", F.when(key % 3 != 1, F.col("decision_score")))
+            .withColumn("partial_fabrication_binary", F.when(key % 17 == 0, "Yes").when(key % 17 == 1, "no").when(key % 17 == 2, "maybe")))
+
+
+GAP_RESULTS_SQL = f"""SELECT * REPLACE (
+    CASE WHEN sample_id % 13 = 5 THEN 'n/a' WHEN sample_id % 13 = 6 THEN NULL WHEN sample_id % 13 = 7 THEN ' fake' ELSE prediction END AS prediction,
+    CASE WHEN sample_id % 3 <> 1 THEN decision_score END AS decision_score),
+  CASE sample_id % 17 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' WHEN 2 THEN 'maybe' END AS partial_fabrication_binary
+FROM ({RESULTS_SQL['baseline']})"""
+
+
 # Raw label text: one order is one row of an unclean manifest ----------------------------
 
 _ORIGINS = ["Human", " AI ", "spoof", "bonafide", "mixed", "weird", "", None, "na",
