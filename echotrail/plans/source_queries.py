@@ -97,9 +97,7 @@ def written_rows(spark, sf):
     m = I.manifest(spark, sf)
     path = scratch_path(spark, "rows") + ".csv"
     K.write_rows([m.select(F.lit("a").alias("kind"), "doc_id", "label"), m.select(F.lit("b").alias("kind"), "doc_id", "domain")], path)
-    out = S.read_csv_text(spark, path)
-    # a blank label comes back as missing
-    return out.withColumn("label", F.when(c("kind") == "a", F.coalesce("label", F.lit(""))))
+    return S.read_csv_text(spark, path, keep_blank=True)
 
 
 @query("s12_append_resume", f"{FIL} SELECT file_id, gate_prob FROM f")

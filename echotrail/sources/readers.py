@@ -21,17 +21,26 @@ ANNOTATION_COLUMNS = {
 }
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a declared schema; the header line is skipped."""
-    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+def _csv(spark: SparkSession, multi_line: bool):
+    """A strict reader: headers are compared with the schema file by file, broken records fail."""
+    return (spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
+            .option("mode", "FAILFAST").option("multiLine", multi_line))
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with every column as text; blank means missing."""
-    names = spark.read.option("header", True).csv(path).limit(0).columns
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """CSV with a declared schema. Every file's header must name its columns in order; `multi_line` admits line breaks
+    inside quoted fields (such files are not split)."""
+    return _csv(spark, multi_line).schema(schema).csv(path)
+
+
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False, keep_blank: bool = False) -> DataFrame:
+    """CSV with every column as text; blank means missing, unless quoted blanks are kept apart from nulls."""
+    names = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path).limit(0).columns
     schema = StructType([StructField(n, StringType()) for n in names])
-    raw = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
-    return raw.select(*[not_blank(F.col(f"`{n}`")).alias(n) for n in names])
+    # a null mark that is not blank keeps quoted blanks apart from missing fields
+    reader = _csv(spark, multi_line).option("nullValue", "\x00") if keep_blank else _csv(spark, multi_line)
+    raw = reader.schema(schema).csv(path)
+    return raw if keep_blank else raw.select(*[not_blank(F.col(f"`{n}`")).alias(n) for n in names])
 
 
 def read_json(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -26,17 +25,23 @@ def write_split(df: DataFrame, split: str, path: str) -> None:
     df.write.mode("overwrite").partitionBy(split).parquet(path)
 
 
-def append_new(df: DataFrame, key: str, path: str) -> DataFrame:
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file exists in the file system that its path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def append_new(df: DataFrame, key: str, path: str, order: Sequence[str] = ()) -> DataFrame:
     """Append only rows whose key the target lacks; returns the whole target.
 
-    Running it again with the same rows changes nothing.
+    Of several new rows with one key the first by `order` stays (by all other columns if none is given). Running it
+    again with the same rows changes nothing. A target without the key column is an error.
     """
     spark = df.sparkSession
-    fresh = df.dropDuplicates([key])
-    try:
-        done = spark.read.parquet(path).select(key)
-        fresh = fresh.join(done, key, "left_anti")
-    except AnalysisException:
-        pass  # nothing written yet
-    fresh.write.mode("append").parquet(path)
+    others = [c for c in df.columns if c != key]
+    first = df.groupBy(key).agg(F.min(F.struct(*order, *[c for c in others if c not in order])).alias("_row")) if others else df.distinct()
+    fresh = first.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    if path_exists(spark, path):
+        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
+    fresh.select(*df.columns).write.mode("append").parquet(path)
     return spark.read.parquet(path)
