@@ -1,71 +1,12 @@
-"""Feature jobs over clips and pooling of frame vectors."""
+"""Pooling of frame vectors."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echotrail.functions import acoustic as A
-from echotrail.operators.segments import sample_windows
-
-MIN_SECONDS = 0.05
-
-
-def _samples(content) -> np.ndarray:
-    """Samples in [-1, 1]: 8-bit PCM bytes or a float array."""
-    if isinstance(content, (bytes, bytearray, memoryview)):
-        return (np.frombuffer(bytes(content), np.uint8).astype(np.float64) - 128.0) / 128.0
-    return np.asarray(content, np.float64)
-
-
-def _extract(df: DataFrame, keep: Sequence[str], names: Sequence[str], measure) -> DataFrame:
-    """Run a measure per clip; unusable clips keep a row with a status and null features."""
-    types = dict(df.dtypes)
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keep], "extraction_status string", *[f"{n} double" for n in names]])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for content, rate in zip(pdf["content"], pdf["sample_rate"]):
-                y = _samples(content) if content is not None else np.empty(0)
-                if len(y) < max(int(MIN_SECONDS * rate), 8):
-                    status, feats = "too_short", {}
-                elif np.abs(y).max() < 1e-8:
-                    status, feats = "silent_or_invalid", {}
-                else:
-                    status, feats = "ok", measure(y, int(rate))
-                rows.append([status, *[feats.get(n, np.nan) for n in names]])
-            out = pd.DataFrame(rows, columns=["extraction_status", *names], index=pdf.index)
-            yield pd.concat([pdf[list(keep)], out], axis=1)
-
-    feats = df.select(*keep, "content", "sample_rate").mapInPandas(run, schema)
-    return feats.select(*keep, "extraction_status", *[F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names])
-
-
-def file_features(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """All file features per clip; columns content and sample_rate hold the samples."""
-    return _extract(df, keep, A.FILE_FEATURES, lambda y, sr: A.file_features(y, sr))
-
-
-def environment_features(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return _extract(df, keep, A.ENVIRONMENT_FEATURES, A.environment_features)
-
-
-def segment_features(df: DataFrame, ident: str, mode: str = "fast", length: float = 4.0,
-                     hop: float = 2.0) -> DataFrame:
-    """Features per window of each clip (byte content); each row ships only its own samples."""
-    slow = mode == "full"
-    windows = sample_windows(df.withColumn("_n", F.octet_length("content")), "_n", "sample_rate", length, hop)
-    cut = windows.select(
-        ident, "segment_id", "start_sec", "end_sec", "sample_rate",
-        F.expr("substring(content, CAST(sample_start AS INT) + 1, CAST(sample_end - sample_start AS INT))").alias("content"))
-    return _extract(cut, [ident, "segment_id", "start_sec", "end_sec"], A.SEGMENT_FEATURES,
-                    lambda y, sr: A.file_features(y, sr, slow))
-
 
 def pooled_vectors(frames: DataFrame, keys: Sequence[str], vector: str, with_std: bool = True) -> DataFrame:
     """Mean (and population std) pooling of frame vectors: one array per key, in dimension order.

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from echotrail.functions import text as T
 from echotrail.operators.metrics import best_row
-from echotrail.operators.profile import first_ids
 from echotrail.operators.skew import join_keys, numbered
 
 
@@ -144,8 +143,8 @@ def flag_seen(df: DataFrame, path: str, seen: DataFrame, seen_path: str, name: s
     return out.withColumn(name, hit).drop(*flags)
 
 
-def split_overlap(df: DataFrame, key: str, split: str, splits: Sequence[str], examples: int = 10) -> DataFrame:
-    """Keys shared by each pair of splits: count, severity and the first keys."""
+def split_overlap(df: DataFrame, key: str, split: str, splits: Sequence[str]) -> DataFrame:
+    """Keys shared by each pair of splits, one row each, with the pair's count and severity; a clean pair has one row."""
     k = T.not_blank(F.col(key).cast("string"))
     per_key = df.where(k.isNotNull()).groupBy(k.alias("_key")).agg(
         *[F.max(F.col(split) == s).alias(f"_{s}") for s in splits])
@@ -155,10 +154,10 @@ def split_overlap(df: DataFrame, key: str, split: str, splits: Sequence[str], ex
         lambda x: x.isNotNull())).alias("pair"))
     counts = hits.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
     names = df.sparkSession.createDataFrame([(f"{a}|{b}", a, b) for a, b in pairs], "pair string, split_a string, split_b string")
-    out = join_keys(join_keys(names, counts, ["pair"], "left"), first_ids(hits, "pair", "_key", examples), ["pair"], "left")
+    out = join_keys(join_keys(names, counts, ["pair"], "left"), hits, ["pair"], "left")
     n = F.coalesce("n", F.lit(0))
     return out.select("split_a", "split_b", n.alias("overlap_count"), F.when(n > 0, "high").otherwise("none").alias("severity"),
-                      F.coalesce("affected_ids", F.lit("")).alias("sample_ids"))
+                      F.col("_key").alias("shared_key"))
 
 
 def attach_by_path(df: DataFrame, path: str, lookup: DataFrame, lookup_path: str, value: str, order: str) -> DataFrame:

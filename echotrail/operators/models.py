@@ -13,8 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echotrail.operators.sampling import group_folds
-from echotrail.operators.skew import group_medians, join_keys
+from echotrail.operators.sampling import folds_to_use, group_folds
+from echotrail.operators.skew import group_medians, join_keys, settled
 
 
 def anova_f(long: DataFrame, label: str) -> DataFrame:
@@ -61,9 +61,16 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str], threshold: f
 
 def out_of_fold(df: DataFrame, features: Sequence[str], label: str, group: str, keep: Sequence[str],
                 folds: int, k_best: int, seed: int, threshold: float = 0.5) -> DataFrame:
-    """Held-out predictions: groups stay whole, selection and weights are fitted inside each fold."""
+    """Held-out predictions: groups stay whole, selection and weights are fitted inside each fold.
+
+    The number of folds is lowered to the groups of the smallest class; every fold must be able to learn both classes.
+    """
+    folds = folds_to_use(df.select(group, label).distinct(), label, folds)
     fold = group_folds(df, group, label, folds, seed).select(group, "fold")
-    data = join_keys(df.select(*dict.fromkeys([*keep, group, label, *features])), fold, [group])
+    data = settled(join_keys(df.select(*dict.fromkeys([*keep, group, label, *features])), fold, [group]))
+    mixed = data.groupBy("fold").agg(F.count_distinct(label).alias("k"), F.count(F.lit(1)).alias("n"))
+    if mixed.where("k < 2").count() + folds - mixed.count() > 0:
+        raise ValueError(f"some of the {folds} folds lack rows of a class")
     out = None
     for i in range(folds):
         train = balanced_weights(data.where(F.col("fold") != i), label)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echotrail.operators.skew import group_stats, join_keys, top_rows
+from echotrail.operators.skew import group_stats, join_keys
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
@@ -83,18 +83,18 @@ def weighting_bias(balance: DataFrame) -> DataFrame:
         "weighting_bias_risk", risk).drop("_min", "_max", "_mean")
 
 
-def duplicate_report(df: DataFrame, path: str, label: str, attack: str, limit: int) -> DataFrame:
+def duplicate_report(df: DataFrame, path: str, label: str, attack: str, limit: int | None = None) -> DataFrame:
     """Paths on more than one row, most frequent first, classed by label or attack conflict.
 
-    `limit` is the report's length.  Only the reported paths collect their label
-    sets, after duplicates of (path, label) are merged.
+    `limit` shortens the report if a caller asks for it.  Label sets are collected after
+    duplicates of (path, label) are merged.
     """
     shown = df.where(F.trim(F.coalesce(F.col(path), F.lit(""))) != "").select(
         F.trim(path).alias("filepath"), blank_to_missing(F.col(label)).alias("_label"),
         blank_to_missing(F.col(attack)).alias("_attack"))
     combos = shown.groupBy("filepath", "_label", "_attack").agg(F.count(F.lit(1)).alias("_n"))
     totals = combos.groupBy("filepath").agg(F.sum("_n").alias("count")).where("count > 1")
-    top = totals.orderBy(F.col("count").desc(), "filepath").limit(limit)
+    top = totals if limit is None else totals.orderBy(F.col("count").desc(), "filepath").limit(limit)
     sets = join_keys(combos.drop("_n"), top, ["filepath"]).groupBy("filepath").agg(
         F.max("count").alias("count"),
         F.sort_array(F.collect_set("_label")).alias("_labels"),
@@ -115,15 +115,6 @@ def issue_rows(df: DataFrame, rules: dict[str, Column], keep: Sequence[str],
     return df.select(*keep, F.explode(hits).alias(name))
 
 
-def first_ids(hits: DataFrame, item: str, ident: str, n: int) -> DataFrame:
-    """The n smallest distinct ids per item, joined with ';'."""
-    distinct = hits.where(F.col(ident).isNotNull()).select(item, ident).distinct()
-    top = top_rows(distinct, [item], [F.col(ident).asc()], n, "_r")
-    return top.groupBy(item).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", ident))),
-                                 lambda s: s[ident]), ";").alias("affected_ids"))
-
-
 # Features ------------------------------------------------------------------------------
 
 

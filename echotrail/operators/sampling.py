@@ -93,7 +93,7 @@ def downsample_negatives(df: DataFrame, target: str, kind: str, key: str, cap: i
 
 
 def group_folds(df: DataFrame, group: str, target: str, folds: int, seed: int) -> DataFrame:
-    """A fold per group: groups are dealt in hash order within their class mix.
+    """A fold per group: groups are dealt in hash order within their class mix, each mix from another fold on.
 
     No group is in two folds; the class balance of the folds is approximate.
     """
@@ -101,15 +101,15 @@ def group_folds(df: DataFrame, group: str, target: str, folds: int, seed: int) -
     level = F.when(F.col("_m") == 0, 0).when(F.col("_m") < 0.5, 1).when(F.col("_m") < 1, 2).otherwise(3)
     keyed = mix.select(group, level.alias("class_mix"), draw_key(F.col(group), seed).alias("_k"))
     pos = numbered(keyed, ["class_mix"], [F.col("_k").asc(), F.col(group).asc()], "_pos")
-    return pos.select(group, "class_mix", ((F.col("_pos") - 1) % folds).cast("int").alias("fold"))
+    return pos.select(group, "class_mix", ((F.col("_pos") - 1 + F.col("class_mix")) % folds).cast("int").alias("fold"))
 
 
 def folds_to_use(df: DataFrame, target: str, wanted: int, least: int = 3) -> int:
     """Folds limited by the smallest class; raises when there are too few rows."""
-    counts = [r["n"] for r in df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).limit(1000).collect()]
-    if sum(counts) < 6 or min(counts) < least:
-        raise ValueError(f"too few rows per class for {least} folds: {counts}")
-    return min(wanted, min(counts))
+    sizes = df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.min("n").alias("least")).first()
+    if (sizes["rows"] or 0) < 6 or sizes["least"] < least:
+        raise ValueError(f"too few rows per class for {least} folds: {sizes['rows']} rows, {sizes['least'] or 0} in the smallest class")
+    return min(wanted, sizes["least"])
 
 
 def spread_groups(df: DataFrame, group: str, fold: str) -> DataFrame:

@@ -158,9 +158,8 @@ def holdout_overlap(spark, sf):
     return out.where("hit").select("doc_id", "filepath", "split")
 
 
-@query("j17_split_overlap", f"""{MAN}, k AS (SELECT file_id, max(split = 'train') AS tr, max(split = 'val') AS va, max(split = 'test') AS te FROM m GROUP BY file_id), h AS (SELECT 'train' AS a, 'val' AS b, file_id FROM k WHERE tr AND va UNION ALL SELECT 'train', 'test', file_id FROM k WHERE tr AND te UNION ALL SELECT 'val', 'test', file_id FROM k WHERE va AND te),
-r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY file_id) AS rn FROM h)
-SELECT v.a AS split_a, v.b AS split_b, count(file_id) AS overlap_count, CASE WHEN count(file_id) > 0 THEN 'high' ELSE 'none' END AS severity, coalesce(string_agg(file_id, ';' ORDER BY file_id) FILTER (rn <= 10), '') AS sample_ids FROM (VALUES ('train', 'val'), ('train', 'test'), ('val', 'test')) v(a, b) LEFT JOIN r ON r.a = v.a AND r.b = v.b GROUP BY ALL""")
+@query("j17_split_overlap", f"""{MAN}, k AS (SELECT file_id, max(split = 'train') AS tr, max(split = 'val') AS va, max(split = 'test') AS te FROM m GROUP BY file_id), h AS (SELECT 'train' AS a, 'val' AS b, file_id FROM k WHERE tr AND va UNION ALL SELECT 'train', 'test', file_id FROM k WHERE tr AND te UNION ALL SELECT 'val', 'test', file_id FROM k WHERE va AND te)
+SELECT v.a AS split_a, v.b AS split_b, count(file_id) OVER (PARTITION BY v.a, v.b) AS overlap_count, CASE WHEN count(file_id) OVER (PARTITION BY v.a, v.b) > 0 THEN 'high' ELSE 'none' END AS severity, file_id AS shared_key FROM (VALUES ('train', 'val'), ('train', 'test'), ('val', 'test')) v(a, b) LEFT JOIN h ON h.a = v.a AND h.b = v.b""")
 def split_overlap(spark, sf):
     return J.split_overlap(I.manifest(spark, sf), "file_id", "split", ["train", "val", "test"])
 

@@ -202,12 +202,12 @@ def balance_summary(spark, sf):
 
 @query("a12_duplicate_report", f"""WITH m0 AS ({I.MANIFEST_SQL}), m AS (SELECT 'item_' || file_id AS filepath, label, attack_type FROM m0),
 g AS (SELECT filepath, count(*) AS count, list_sort(list(DISTINCT {MISS.format(c='label')})) AS ls, list_sort(list(DISTINCT {MISS.format(c='attack_type')})) AS las
-   FROM m GROUP BY filepath HAVING count(*) > 1 ORDER BY count DESC, filepath LIMIT 5000)
+   FROM m GROUP BY filepath HAVING count(*) > 1)
 SELECT CASE WHEN len(ls) > 1 THEN 'duplicate_filepath_multi_label' WHEN len(las) > 1 THEN 'duplicate_filepath_multi_attack' ELSE 'duplicate_filepath' END AS issue,
   filepath, count, array_to_string(ls, '|') AS labels, array_to_string(las, '|') AS attack_types FROM g""")
 def duplicate_report(spark, sf):
     m = I.manifest(spark, sf).withColumn("filepath", F.concat(F.lit("item_"), "file_id"))
-    return R.duplicate_report(m, "filepath", "label", "attack_type", 5000)
+    return R.duplicate_report(m, "filepath", "label", "attack_type")
 
 
 # Recording domains counted as known (fixed values).
@@ -252,11 +252,10 @@ h AS (SELECT 'duplicate_file_id' AS item, file_id AS id, count(*) AS n FROM f GR
  UNION ALL SELECT 'segment_same_file_split_risk', file_id, 1 FROM s GROUP BY file_id HAVING count(*) > 1
  UNION ALL SELECT 'origin_vs_manipulation_coupling', file_id, 1 FROM f WHERE is_ai AND is_replay
  UNION ALL SELECT 'partial_inherited_label_risk', file_id, count(*) FROM s WHERE partial AND NOT stamped GROUP BY file_id),
-d AS (SELECT DISTINCT item, id FROM h), r AS (SELECT item, id, row_number() OVER (PARTITION BY item ORDER BY id) AS rn FROM d),
-a AS (SELECT item, string_agg(id, ';' ORDER BY id) AS affected_ids FROM r WHERE rn <= 25 GROUP BY item),
+d AS (SELECT DISTINCT item, id FROM h),
 c AS (SELECT item, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY item)
 SELECT v.item AS audit_item, CASE WHEN coalesce(n, 0) > 0 THEN v.sev ELSE 'info' END AS severity, coalesce(n, 0) AS affected_count,
-  coalesce(affected_ids, '') AS affected_ids FROM (VALUES {LEAK_VALUES}) v(item, sev) LEFT JOIN c ON c.item = v.item LEFT JOIN a ON a.item = v.item""")
+  d.id AS affected_id FROM (VALUES {LEAK_VALUES}) v(item, sev) LEFT JOIN c ON c.item = v.item LEFT JOIN d ON d.item = v.item""")
 def leakage_audit(spark, sf):
     d = F.col("doc_id")
     f = I.table(spark, sf, "documents").select(
@@ -293,10 +292,10 @@ def leakage_audit(spark, sf):
         allhits = allhits.unionByName(p)
     counts = allhits.groupBy("item").agg(F.sum("n").alias("n"))
     named = spark.createDataFrame(LEAK_ITEMS, "item string, sev string")
-    out = join_ids(join_ids(named, counts, ["item"], "left"), R.first_ids(allhits, "item", "id", 25), ["item"], "left")
+    out = join_ids(join_ids(named, counts, ["item"], "left"), allhits.select("item", "id").distinct(), ["item"], "left")
     n = F.coalesce("n", F.lit(0))
     return out.select(F.col("item").alias("audit_item"), F.when(n > 0, F.col("sev")).otherwise("info").alias("severity"),
-                      n.alias("affected_count"), F.coalesce("affected_ids", F.lit("")).alias("affected_ids"))
+                      n.alias("affected_count"), F.col("id").alias("affected_id"))
 
 
 @query("a15_dataset_summary", f"""{M} SELECT 'row_count' AS metric, 'rows' AS key, count(*) AS value FROM m

@@ -146,7 +146,7 @@ def fold_integrity(spark, sf):
 SELECT split_a, split_b, n AS overlap_count, CASE WHEN n > 0 THEN 'high' ELSE 'none' END AS severity FROM (SELECT 'train' AS split_a, 'val' AS split_b, count(*) FILTER (tr AND va) AS n FROM k UNION ALL SELECT 'train', 'test', count(*) FILTER (tr AND te) FROM k UNION ALL SELECT 'val', 'test', count(*) FILTER (va AND te) FROM k)""")
 def split_leakage(spark, sf):
     m = I.manifest(spark, sf).withColumn("g", F.concat(F.lit("g"), (c("doc_id") % 97).cast("string")))
-    return J.split_overlap(m, "g", "split", ["train", "val", "test"]).drop("sample_ids")
+    return J.split_overlap(m, "g", "split", ["train", "val", "test"]).drop("shared_key").distinct()
 
 
 # Samples and splits ------------------------------------------------------------------------
@@ -199,7 +199,7 @@ def cap_per_category(spark, sf):
 
 
 FOLD = f"""WITH p AS ({I.PREDICTIONS_SQL}), x AS (SELECT file_id, avg(y_true) AS mm FROM p GROUP BY 1), l AS (SELECT file_id, CASE WHEN mm = 0 THEN 0 WHEN mm < 0.5 THEN 1 WHEN mm < 1 THEN 2 ELSE 3 END AS class_mix FROM x),
-fo AS (SELECT file_id, class_mix, CAST((row_number() OVER (PARTITION BY class_mix ORDER BY md5(CAST(file_id AS VARCHAR) || ':42'), file_id) - 1) % 5 AS INTEGER) AS fold FROM l)"""
+fo AS (SELECT file_id, class_mix, CAST((row_number() OVER (PARTITION BY class_mix ORDER BY md5(CAST(file_id AS VARCHAR) || ':42'), file_id) - 1 + class_mix) % 5 AS INTEGER) AS fold FROM l)"""
 
 
 @query("x7_group_folds", f"{FOLD} SELECT file_id, class_mix, fold FROM fo")
@@ -225,26 +225,6 @@ def split_of_base(spark, sf):
 # Features and models -----------------------------------------------------------------------
 
 
-def clips(spark, sf):
-    """Document text as 8-bit samples at 1 kHz."""
-    return I.table(spark, sf, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"), F.lit(1000).alias("sample_rate"))
-
-
-@query("m1_file_features")
-def file_features(spark, sf):
-    return E.file_features(clips(spark, sf), ["doc_id"])
-
-
-@query("m2_segment_features")
-def segment_features(spark, sf):
-    return E.segment_features(clips(spark, sf), "doc_id", "fast")
-
-
-@query("m3_environment_features")
-def environment_features(spark, sf):
-    return E.environment_features(clips(spark, sf), ["doc_id"])
-
-
 @query("m4_pooled_vectors", """WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), s AS (SELECT label, d, avg(x) AS m, stddev_pop(x) AS s FROM e GROUP BY ALL)
 SELECT label, CAST(d - 1 AS INTEGER) AS position, round(m, 6) AS value FROM s UNION ALL SELECT label, CAST(63 + d AS INTEGER), round(s, 6) FROM s""")
 def pooled_vectors(spark, sf):

@@ -11,10 +11,6 @@ from echotrail.session import build_session  # noqa: E402
 SMALL = "/root/testdata/sf0.001"
 
 
-def pytest_addoption(parser):
-    parser.addoption("--all-queries", action="store_true", help="compare every query with SQL (about 15 minutes)")
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session("tests", "local[8]", 4, spark__ui__enabled="false",

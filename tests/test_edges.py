@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from echotrail.functions import acoustic, rules
+from echotrail.functions import rules
 from echotrail.functions import numbers as N
 from echotrail.operators import cascade, intervals, localize, metrics, profile, quality, sampling, segments, timeline
 from echotrail.operators import skew
@@ -154,13 +154,17 @@ def test_split_and_plain_paths_agree(spark, name):
     assert plain == split
 
 
-def test_hot_groups_are_bounded(spark):
+def test_hot_limit_does_not_grow_with_the_table(spark):
     spark.conf.set(skew.HOT_ROWS_KEY, "2")
     try:
         df = spark.range(5000).select((F.col("id") % 1000).alias("k"))
-        assert skew.hot_groups(df, ["k"]) is None  # no key holds more than 1/200 of the rows
-        mixed = df.unionByName(spark.range(3000).select(F.lit(7).cast("long").alias("k")))
-        assert [r["k"] for r in skew.hot_groups(mixed, ["k"]).collect()] == [7]
+        assert skew.hot_groups(df, ["k"]).count() == 1000
+        assert skew.hot_groups(df.where("k = id"), ["k"]) is None
+        mixed = df.where("k < 10 OR id < 1000")
+        cold, big = skew.halves(mixed, ["k"])
+        assert big.count() == 50 and cold.count() == 990
+        assert rows(skew.numbered(mixed.withColumn("v", F.lit(1)), ["k"], [F.col("v")]).groupBy("k").agg(F.max("position"))) == rows(
+            mixed.groupBy("k").count())
     finally:
         spark.conf.unset(skew.HOT_ROWS_KEY)
 
@@ -215,19 +219,6 @@ def test_annotation_formats(spark, tmp_path):
     assert sorted((r["audio_path"] or "", r["file_id"] or "", r["start"], r["end"]) for r in out.collect()) == [("", "7", "3", "4"), ("x.wav", "", "1", "2")]
 
 
-def test_acoustic_measures_of_a_tone():
-    import numpy as np
-
-    y = 0.5 * np.sin(2 * np.pi * 440 * np.arange(32000) / 16000)
-    f = acoustic.file_features(y, 16000)
-    assert set(f) == set(acoustic.FILE_FEATURES)
-    assert f["peak_amplitude"] == pytest.approx(0.5, abs=1e-3)
-    assert f["std_amplitude"] == pytest.approx(0.5 / math.sqrt(2), abs=1e-3)
-    assert f["zero_crossing_rate_mean"] == pytest.approx(880 / 16000, rel=0.1)
-    assert f["mid_band_energy_ratio"] > 0.95 and abs(f["spectral_centroid_mean"] - 440) < 80
-    assert set(acoustic.environment_features(y, 16000)) == set(acoustic.ENVIRONMENT_FEATURES)
-
-
 def test_cascade_profile_of_missing_scores(spark):
     df = spark.createDataFrame([("f", "a", 0.0, None, 1), ("f", "b", 2.0, 0.95, 1), ("g", "c", 0.0, 0.2, 0)], "file_id string, segment_id string, start_sec double, prob double, y int")
     p = {r["file_id"]: r for r in cascade.segment_profile(df, "file_id", "prob", ["start_sec", "segment_id"], [0.9], 5, "y").collect()}
@@ -238,3 +229,52 @@ def test_cascade_profile_of_missing_scores(spark):
 def test_mode_takes_the_smallest_of_ties(spark):
     df = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", None), ("b", "z")], "k string, v string")
     assert rows(profile.mode_per_group(df, ["k"], "v", "m")) == [("a", "x"), ("b", "z")]
+
+
+def test_csv_headers_in_another_order_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("file_id,label\n1,real\n")
+    (tmp_path / "b.csv").write_text("label,file_id\nfake,2\n")
+    for read in (lambda p: readers.read_csv_text(spark, p), lambda p: readers.read_csv(spark, p, "file_id string, label string")):
+        assert read(str(tmp_path / "a.csv")).collect()[0].asDict() == {"file_id": "1", "label": "real"}
+        with pytest.raises(Exception, match="header"):
+            read(str(tmp_path)).collect()
+
+
+def test_csv_line_breaks_and_blanks_round_trip(spark, tmp_path):
+    path = str(tmp_path / "notes.csv")
+    df = spark.createDataFrame([("1", 'two\nlines, "quoted"'), ("2", ""), ("3", None)], "id string, note string")
+    sinks.write_csv(df, path)
+    assert rows(readers.read_csv_text(spark, path, multi_line=True, keep_blank=True)) == rows(df)
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        readers.read_csv(spark, path, "id int, note string").collect()
+
+
+def test_append_keeps_the_first_row_and_lets_errors_out(spark, tmp_path):
+    path = str(tmp_path / "target")
+    df = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (2, "c", 3)], "id int, name string, at int")
+    for _ in range(2):
+        out = sinks.append_new(df, "id", path, order=["at"])
+    assert rows(out) == rows(df.where("name <> 'b'"))
+    other = str(tmp_path / "other")
+    df.drop("id").write.parquet(other)
+    with pytest.raises(Exception, match="id"):
+        sinks.append_new(df, "id", other)
+
+
+def test_a_missing_score_never_clears_a_recording(spark):
+    df = spark.createDataFrame(
+        [(None, None, None), (None, "REAL", None), (None, "fake ", None), (0.1, "FAKE", None), (0.1, "REAL", "yes")],
+        "decision_score double, prediction string, partial_fabrication_binary string").selectExpr(
+        "*", "'clean_direct' AS manipulation_type", "'human' AS ground_truth_origin", "cast(null AS double) AS max_chunk_spoof",
+        "cast(null AS double) AS suspicious_chunk_ratio", "1.0D AS suspicious_start_time", "2.0D AS suspicious_end_time",
+        "false AS partial_region_detected", "cast(null AS string) AS error")
+    got = [r["s"] for r in df.select(rules.baseline_status().alias("s")).collect()]
+    assert got == ["borderline_needs_review", "clean_human_accepted", "clean_human_false_alarm", "clean_human_accepted",
+                   "partial_fabrication_missed"]
+
+
+def test_folds_follow_the_smallest_class(spark):
+    df = spark.createDataFrame([(i, int(i < 4)) for i in range(20)], "g int, y int")
+    assert sampling.folds_to_use(df, "y", 5) == 4
+    with pytest.raises(ValueError, match="too few"):
+        sampling.folds_to_use(df.where("g >= 2"), "y", 5)

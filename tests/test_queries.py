@@ -6,9 +6,8 @@ from conftest import SMALL
 
 from echotrail.plans.catalog import ORACLES, QUERIES
 
-# results that depend on fitted models or numpy features have no SQL twin
-UNCHECKED = {"m1_file_features", "m2_segment_features", "m3_environment_features",
-             "m5_pipeline_scores", "m7_out_of_fold", "m8_batch_scores"}
+# results that depend on fitted models have no SQL twin
+UNCHECKED = {"m5_pipeline_scores", "m7_out_of_fold", "m8_batch_scores"}
 # queries whose work runs through the group operators of operators/skew.py
 SPLIT = ["w1_percent_rank", "w2_min_rank", "w3_first_rank", "w4_neighbour_ids", "w5_neighbour_deltas",
          "w8_baseline_margins", "w10_live_features", "w11_candidate_classes", "w16_suspicious_regions",
@@ -23,25 +22,6 @@ def test_only_known_queries_lack_sql():
     assert set(QUERIES) - set(ORACLES) == UNCHECKED
 
 
-# compared on every run; --all-queries adds the rest
-ALWAYS = {"a18_metric_rows", "a22_equal_error_rate", "a27_threshold_recommendation", "a31_calibration_error", "a8_manifest_profile",
-          "a14_leakage_audit", "a38_group_effects", "a42_chunk_metrics", "a51_cascade_grid", "a52_cascade_acceptance",
-          "a64_threshold_sweep", "a73_class_weights", "f5_fusion_records", "f8_partial_arbitration", "f12_decision_second",
-          "f19_counterfactual", "g1_hop_windows", "g4_window_starts", "j9_match_by_levels", "j11_overlap_labels", "j15_boundary_segments",
-          "j20_positional_join", "m4_pooled_vectors", "m6_anova_f", "p3_manipulation_labels", "p14_file_targets", "p20_forensic_labels",
-          "s6_mixed_annotations", "s12_stream_ingest", "u1_union_manifests", "v1_evidence_table_rules", "v9_rank_integrity",
-          "w1_percent_rank", "w11_candidate_classes", "w16_suspicious_regions", "x1_speaker_split", "x4_stratified_sample", "x7_group_folds"}
-QUICK_SPLIT = {"w5_neighbour_deltas", "w11_candidate_classes", "w16_suspicious_regions", "a22_equal_error_rate", "a51_cascade_grid", "x1_speaker_split"}
-
-
-@pytest.fixture(autouse=True)
-def _selected(request):
-    params = getattr(getattr(request.node, "callspec", None), "params", {})
-    chosen = QUICK_SPLIT if "split" in request.node.name else ALWAYS
-    if params.get("name", next(iter(chosen))) not in chosen and not request.config.getoption("--all-queries"):
-        pytest.skip("run with --all-queries")
-
-
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, name):
     ok, note = compare(QUERIES[name](spark, SMALL), duck, ORACLES[name])
