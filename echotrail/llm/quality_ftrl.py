@@ -129,7 +129,8 @@ def fit(sample: DataFrame, settings: Settings = Settings()) -> QualityModel:
     """Fits on rows (doc_key, label, text), a bounded sample; passes over it are rows in a fixed order."""
     rows = (sample.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(settings.passes))))
             .repartition(1).sortWithinPartitions("step", F.xxhash64("doc_key", "step"), "text").select("label", "text"))
-    return QualityModel(settings, bytes(rows.mapInArrow(ftrl_updates(settings), "weights binary").first()[0]))
+    got = rows.mapInArrow(ftrl_updates(settings), "weights binary").first()  # no row if the sample is empty
+    return QualityModel(settings, bytes(got[0]) if got else bytes(4 * ((1 << settings.bits) + 1)))
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str], threshold: float = 0.3) -> DataFrame:

@@ -224,11 +224,11 @@ def pick_landmarks(sample: DataFrame, count: int) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(list(chain.from_iterable(words)), pa.string()),
                                               pa.array(np.repeat(np.array(labels, np.int32), [len(w) for w in words]))], names=["word", "label"])
 
-    sums = sample.groupBy().agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
+    n1, n0 = sample.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     rows = sample.select("text", "label").mapInArrow(run, "word string, label int").groupBy("word").agg(
         F.sum("label").alias("k1"), F.sum(1 - F.col("label")).alias("k0")).where("k1 >= 3")
-    odds = F.log((F.col("k1") + 0.5) / (F.col("n1") + 1)) - F.log((F.col("k0") + 0.5) / (F.col("n0") + 1))
-    best = rows.crossJoin(F.broadcast(sums)).withColumn("z", odds * F.sqrt("k1")).orderBy(F.desc("z"), "word").limit(count)
+    odds = F.log((F.col("k1") + 0.5) / ((n1 or 0) + 1)) - F.log((F.col("k0") + 0.5) / ((n0 or 0) + 1))
+    best = rows.withColumn("z", odds * F.sqrt("k1")).orderBy(F.desc("z"), "word").limit(count)
     return [r[0] for r in best.select("word").collect()]
 
 
