@@ -64,16 +64,18 @@ def segment_tables(spark, sf):
     return out.withColumn("label", T.not_blank(c("label")))
 
 
-AXES = f"""o AS (SELECT file_id, avg(prob) FILTER (task_name = 'origin_file_model') AS origin_p, avg(prob) FILTER (task_name = 'replay_file_model') AS replay_p, avg(prob) FILTER (task_name = 'mixer_file_model') AS mixer_p FROM (SELECT * FROM ({I.PREDICTIONS_SQL}) WHERE feature_set = 'ssl') GROUP BY file_id),
+# Feature set whose model speaks for an axis; each axis has its own.
+AXIS_FEATURES = {"origin": "ssl", "replay": "acoustic", "mixer": "ssl"}
+AXIS_SQL = ", ".join(f"avg(prob) FILTER (task_name = '{a}_file_model' AND feature_set = '{k}') AS {a}_p" for a, k in AXIS_FEATURES.items())
+AXES = f"""o AS (SELECT file_id, {AXIS_SQL} FROM ({I.PREDICTIONS_SQL}) GROUP BY file_id),
 pa AS (SELECT file_id, max(prob) AS partial_p FROM g GROUP BY file_id)"""
 
 
-def axis_tables(spark, sf):
-    """Mean probability per file and task, and the strongest segment per file."""
-    p = I.predictions(spark, sf).where(c("feature_set") == "ssl")
+def axis_tables(spark, sf, features=AXIS_FEATURES):
+    """Mean probability per file and task, by each axis's feature set, and the strongest segment per file."""
     # the three file models share one scan and one shuffle
-    axes = {"file_models": p.groupBy("file_id").agg(*[
-        F.avg(F.when(c("task_name") == f"{a}_file_model", c("prob"))).alias(f"{a}_p") for a in ("origin", "replay", "mixer")])}
+    axes = {"file_models": I.predictions(spark, sf).groupBy("file_id").agg(*[
+        F.avg(F.when((c("task_name") == f"{a}_file_model") & (c("feature_set") == k), c("prob"))).alias(f"{a}_p") for a, k in features.items()])}
     axes["partial"] = I.segments(spark, sf).groupBy("file_id").agg(F.max("prob").alias("partial_p"))
     return axes
 
