@@ -28,8 +28,8 @@ from echotrail.llm.common import Numbered, passed, pieces, ranges, small_batches
 
 #: Pattern of the byte-level pre-tokenizer (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bounds of what a worker keeps: pieces with their tokens, and steps and pairs met on the walks.
-PIECES_KEPT, STEPS_KEPT = 400_000, 600_000
+#: Pieces with their tokens that a worker keeps; of steps and pairs met on the walks, half as many again.
+PIECES_KEPT = 400_000
 
 
 def printable_bytes() -> dict[str, int]:
@@ -146,8 +146,8 @@ class Trie:
 class Encoder:
     """Token ids of texts, with the tokens of pieces seen before."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v, self.trie = vocabulary, Trie(vocabulary)
+    def __init__(self, vocabulary: Vocabulary, kept: int = PIECES_KEPT) -> None:
+        self.v, self.trie, self.kept = vocabulary, Trie(vocabulary), kept
         self.pattern = regex.compile(PATTERN)
         self.forget()
 
@@ -180,9 +180,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All token ids of the texts one after the other, and the number of each text."""
-        if len(self.known) > PIECES_KEPT:
+        if len(self.known) > self.kept:
             self.forget()
-        if len(self.trie.step) + len(self.trie.stays) > STEPS_KEPT:
+        if len(self.trie.step) + len(self.trie.stays) > 1.5 * self.kept:
             self.trie.forget()
         cut = [self.cut(t) for t in texts]
         counts = np.array([len(c) for c in cut], np.int64)
@@ -197,9 +197,9 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder(file: str) -> Encoder:
+def encoder(file: str, kept: int) -> Encoder:
     """One for each Python worker: what it has learnt serves the worker's next tasks."""
-    return Encoder(Vocabulary(file))
+    return Encoder(Vocabulary(file), kept)
 
 
 @lru_cache(1)
@@ -213,13 +213,13 @@ def vocabulary_file(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", kept: int = PIECES_KEPT) -> DataFrame:
     """The kept columns with ids (binary: unsigned 32-bit little-endian token ids) and n_tokens."""
     file, source = vocabulary_file(path), docs.select(*keep, docs[text].alias("__text"))
 
     def run(batches):
         for batch, texts in small_batches(batches, "__text"):
-            flat, counts = encoder(file).encode(texts)
+            flat, counts = encoder(file, kept).encode(texts)
             data, ends = flat.astype("<u4").tobytes(), np.cumsum(counts) * 4
             ids = [data[e - 4 * k:e] for e, k in zip(ends.tolist(), counts.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(ids, pa.binary()), pa.array(counts, pa.int64())],

@@ -27,7 +27,7 @@ from echotrail.llm.common import Numbered, labelled_sample, passed, small_batche
 
 _RULES = [(re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"\d+"), "0")]
 _RUN = re.compile(r"(.)\1+")
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
