@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echotrail.llm.common import let
+from echotrail.llm.common import let, settled
 
 #: One boundary in so many lines on average, and the fewest lines of a chunk that may be removed.
 MEAN_LINES, LEAST_LINES = 3, 2
@@ -49,15 +49,15 @@ def repeats(docs: DataFrame, mean: int = MEAN_LINES, least: int = LEAST_LINES) -
     """Rows (id, mark, at, size) of the copies that go."""
     long = chunks(docs, mean).where(F.col("size") >= least).withColumn("hash", F.xxhash64("chunk"))
     often = long.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    copies = long.join(often, "hash")
+    copies = settled(long.join(often, "hash"), "repeated-chunks")
     place = F.struct("id", "at", "mark")
     first = copies.groupBy("hash", "chunk").agg(F.min(place).alias("first"))
     return (copies.join(first, ["hash", "chunk"]).where(~place.eqNullSafe(F.col("first")))
             .select("id", "mark", "at", "size").distinct())
 
 
-def dedup(docs: DataFrame, mean: int = MEAN_LINES, least: int = LEAST_LINES) -> DataFrame:
-    """The documents with repeated chunks cut out of `text`, and the number of lines cut in `n_cut`."""
+def dedup(docs: DataFrame, mean: int = MEAN_LINES, least: int = LEAST_LINES, count: str = "n_cut") -> DataFrame:
+    """The documents with repeated chunks cut out of `text`, and the number of lines cut in a column named by `count`."""
     gone = (repeats(docs.select("doc_id", "text"), mean, least)
             .groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
             .agg(F.collect_list(F.struct("at", "size")).alias("__gone")))
@@ -66,5 +66,5 @@ def dedup(docs: DataFrame, mean: int = MEAN_LINES, least: int = LEAST_LINES) ->
     left = let(F.split("text", "\n"), lambda lines: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut), lambda k: F.element_at(lines, k + 1)), "\n"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
-    kept = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*kept, F.coalesce(F.aggregate("__gone", F.lit(0), lambda n, g: n + g["size"]), F.lit(0)).alias("n_cut"))
+    kept = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != count]
+    return joined.select(*kept, F.coalesce(F.aggregate("__gone", F.lit(0), lambda n, g: n + g["size"]), F.lit(0)).alias(count))
