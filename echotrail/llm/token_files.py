@@ -1,9 +1,10 @@
 """Token ids as flat binary files, written and read by Spark tasks.
 
-A folder holds, for every partition of the documents in ascending doc_id order, `*.bin` (unsigned 32-bit little-endian
-ids, one document after the other, each closed by the end id) and `*.idx` (64-bit little-endian: the number of
+A folder holds, for every partition of the documents in ascending doc_id order, `*.bin` (unsigned little-endian ids
+of 16 bits if the vocabulary has at most 65,536 tokens, else of 32, one document after the other, each closed by the
+end id) and `*.idx` (64-bit little-endian: the number of
 documents n, n + 1 offsets within the file, n doc_ids, n flags that are 1 for a null doc_id), and one table `manifest`
-(part, name, n_docs, n_tokens, base). The base of a partition, the number of ids before it, is a prefix sum over the
+(part, name, width in bytes, n_docs, n_tokens, base). The base of a partition, the number of ids before it, is a prefix sum over the
 partitions' totals; base + offset is a document's place in the whole sequence. Files are memory-mapped where their
 folder is local, else read by the file system's own calls.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 import os
 import uuid
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,9 @@ from pyspark.sql.window import Window
 from echotrail.llm.bpe import Encoder, Vocabulary, vocabulary_file
 from echotrail.llm.common import crc, settled, small_batches
 
-MANIFEST = "part int, name string, n_docs long, n_tokens long"
+MANIFEST = "part int, name string, width int, n_docs long, n_tokens long"
+#: Pieces handed to the library at once, and pieces whose tokens a worker keeps.
+GROUP, KEPT = 48, 1_000_000
 
 
 class LibraryEncoder(Encoder):
@@ -41,10 +45,35 @@ class LibraryEncoder(Encoder):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file)
-        super().__init__(Vocabulary(file))
-
-    def code(self, new: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        super().__init__(Vocabulary(file), KEPT)
+        self.widths = np.array([len(t) for t in self.v.tokens])
+
+    def learn(self) -> None:
+        """Tokens of new pieces: runs of pieces that cannot merge go to the library as one text and are cut by bytes."""
+        new = self.known.new
+        if not new:
+            return
+        texts, run, special = [], [], {i: t for t, i in self.v.special.items()}
+        for x in new:
+            if not isinstance(x, int) and x[:1] == " " and not x[-1:].isspace():
+                run.append(x)
+                if len(run) < GROUP:
+                    continue
+                x = ""
+            texts.append("".join(run))
+            texts.append(special[x] if isinstance(x, int) else x)
+            run = []
+        texts.append("".join(run))
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in coded), np.uint32)
+        sizes = [len(self.v.tokens[x]) if isinstance(x, int) else len(x) if x.isascii() else len(x.encode("utf-8", "replace")) for x in new]
+        places, ends = self.widths[ids].cumsum(), np.array(sizes).cumsum()
+        counts = np.searchsorted(places, ends, "right")
+        if len(ids) and not (places[counts[counts > 0] - 1] == ends[counts > 0]).all():
+            raise AssertionError("a token crosses two pieces")
+        self.starts.frombytes((counts + len(self.flat)).astype("<i8").tobytes())
+        self.flat.frombytes(ids.tobytes())
+        new.clear()
 
 
 @lru_cache(1)
@@ -68,12 +97,13 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2) -> None:
         system, base = opened(folder)
         name = f"tokens-{part:06d}-{uuid.uuid4().hex}"
         ids, nulls, counts, out = [], [], [], None
+        width = 2 if max(len(coder.v.tokens) - 1, end_id) < 1 << 16 else 4
         for batch, texts in small_batches(batches, "text"):
             if out is None:
                 system.create_dir(base, recursive=True)
                 out = system.open_output_stream(f"{base}/{name}.bin")
             flat, n = coder.encode(texts)
-            out.write(np.insert(flat.astype("<u4"), np.cumsum(n), end_id).tobytes())
+            out.write(np.insert(flat.astype(f"<u{width}"), np.cumsum(n), end_id).tobytes())
             column = batch.column("doc_id")
             nulls.append(column.is_null().to_numpy(zero_copy_only=False).astype("<i8"))
             ids.append(column.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
@@ -84,7 +114,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2) -> None:
             parts = [[len(counts)], [0], np.cumsum(counts), *ids, *nulls]
             with system.open_output_stream(f"{base}/{name}.idx") as index:
                 index.write(np.concatenate(parts).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [len(counts)],
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "width": pa.array([width], pa.int32()), "n_docs": [len(counts)],
                                               "n_tokens": [int(counts.sum())]})
 
     totals = settled(rows.mapInArrow(run, MANIFEST), "token-file-totals")
@@ -108,15 +138,15 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches):
         system, base = opened(folder)
         for batch in batches:
-            for name, first in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist(), strict=True):
+            for name, width, first in zip(*[batch.column(c).to_pylist() for c in ("name", "width", "base")], strict=True):
                 index = mapped(system, f"{base}/{name}.idx", "<i8")
                 n = int(index[0])
                 ends, ids, nulls = index[1:n + 2], index[n + 2:2 * n + 2], index[2 * n + 2:]
-                tokens = mapped(system, f"{base}/{name}.bin", "<u4")
-                sums = [crc(tokens[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                tokens = mapped(system, f"{base}/{name}.bin", f"<u{width}")
+                sums = [crc(tokens[a:b].astype("<u4")) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.array(ids), pa.int64(), mask=np.array(nulls, bool)), pa.array(first + ends[:-1]),
                      pa.array(np.diff(ends)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("name", "base").repartition(max(1, files)).mapInArrow(
+    return manifest.select("name", "width", "base").repartition(max(1, files)).mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")
