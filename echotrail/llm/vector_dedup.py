@@ -5,11 +5,14 @@ one fixed random rotation, which spreads distance evenly, and split into blocks
 some block holds no more than its share of the squared distance, in proportion to its dimensions. Each block is a range
 join: a grid on the block's first coordinates, cells two radii wide, deals every vector to its cell and to those half of
 the neighbouring cells that its radius reaches; inside a cell the block distances decide. The union of the candidates is
-verified by the exact cosine in double precision, so no link is lost and none below c is kept.
+verified by the exact cosine in double precision, so no link is lost and none below c is kept. The grid has `GRID`
+coordinates, and one more for each doubling of a label's distinct vectors above `TILE` * 2^`GRID`, up to the block's.
 
-Equal vectors of a label are one representative with a count. A crowded cell is split into tiles: its rows go to one
-tile, the rows that look for partners to all of them; no group outgrows `TILE` rows by more than chance. Candidates carry
-ids alone.
+Equal vectors of a label are one representative with a count. A crowded cell is split into tiles, its home rows by `TILE`
+and the rows that look for partners by `LOOKS` times as many; every tile of the one kind meets every tile of the other in
+a group of its own. So neither side of a group outgrows its size by more than chance, whatever a label or a cell holds.
+The work still grows with the square of what shares a cell: a label of n distinct vectors, spread over the grid, costs
+about n * n / 2^coordinates distances a block, times the cells a vector looks into. Candidates carry ids alone.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link with nothing:
 no links, their own component, kept. Vectors of different length never link. Repeated rows count as vectors of their
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from echotrail.llm.common import components, settled
 
 COSINE, BLOCK, GRID, TILE, SEED = 0.93, 8, 2, 2_000, 7
+#: Looking rows of a group for each home row it may hold.
+LOOKS = 4
 
 
 def usable(vector: Column, label: Column) -> Column:
@@ -42,56 +47,77 @@ def rotation(size: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def cells(scaled: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code of the cell, whether it is the row's own): the own cell and, of the neighbours within half a cell, those
+    after it in the order of steps; rows of the others look this way."""
+    cell = np.floor(scaled).astype(np.int64)
+    row, code = np.arange(len(scaled)), np.zeros(len(scaled), np.int64)
+    gone, own = np.zeros(len(scaled)), np.ones(len(scaled), bool)
+    for k in range(dims):
+        parts = []
+        for move in (-1, 0, 1):
+            gap = (cell[row, k] + 1 - scaled[row, k]) if move > 0 else (scaled[row, k] - cell[row, k]) if move < 0 else np.zeros(len(row))
+            far = gone + gap * gap
+            near = (far <= 0.25) & (~own if move < 0 else True)
+            parts.append((row[near], code[near] * 1_000_003 + cell[row[near], k] + move, far[near], own[near] & (move == 0)))
+        row, code, gone, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return row, code, own
+
+
+def grid_sizes(reps: DataFrame, grid: int = GRID, block: int = BLOCK, tile: int | None = None) -> DataFrame:
+    """Rows (label, grid): how many coordinates a label's grid has."""
+    n = F.ceil(F.log2(F.count("*") / (tile or TILE))).cast("int")
+    return reps.groupBy("label").agg(F.least(F.greatest(n, F.lit(grid)), F.lit(block)).alias("grid"))
+
+
 def block_rows(reps: DataFrame, cosine: float, block: int = BLOCK, grid: int = GRID) -> DataFrame:
-    """Rows (label, block, cell, rep, home, place): a vector at home in its cell, or looking into a cell."""
+    """Rows (label, size, block, cell, rep, home, inside, place): a vector at home in its cell, or looking into a cell."""
     total = 2 - 2 * cosine
 
     def run(batches):
         for batch in batches:
-            labels, ids = batch.column("label").to_numpy(), batch.column("rep").to_numpy()
+            labels, ids = batch.column("label").to_numpy(zero_copy_only=False), batch.column("rep").to_numpy()
+            grids = batch.column("grid").to_numpy()
             lists = batch.column("embedding")
             lengths = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy().astype(np.float64)
             starts = np.concatenate([[0], np.cumsum(lengths)])
-            for size in np.unique(lengths):
-                rows = np.nonzero(lengths == size)[0]
+            for size, wide in sorted(set(zip(lengths.tolist(), grids.tolist(), strict=True))):
+                rows = np.nonzero((lengths == size) & (grids == wide))[0]
                 x = flat[(starts[rows][:, None] + np.arange(size))]
                 x = x / np.abs(x).max(1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation(int(size))
                 for b, at in enumerate(range(0, size, block)):
                     part = x[:, at:at + block]
                     radius = math.sqrt(total * part.shape[1] / size * (1 + 1e-4) + 1e-6)
-                    dims = min(grid, part.shape[1])
-                    scaled = part[:, :dims] / (2 * radius)
-                    cell = np.floor(scaled).astype(np.int64)
-                    for step in np.ndindex(*[3] * dims):
-                        move = np.array(step) - 1
-                        if tuple(move) < (0,) * dims:
-                            continue  # the other vector looks this way
-                        gap = np.where(move > 0, cell + 1 - scaled, np.where(move < 0, scaled - cell, 0.0))
-                        near = np.nonzero((gap * gap).sum(1) <= 0.25)[0]
-                        code = np.zeros(len(near), np.int64)
-                        for k in range(dims):
-                            code = code * 1_000_003 + cell[near, k] + move[k]
-                        for home in ((True, False) if not move.any() else (False,)):
+                    dims = min(wide, part.shape[1])
+                    for begin in range(0, len(rows), 2_000):
+                        near, code, own = cells(part[begin:begin + 2_000, :dims] / (2 * radius), dims)
+                        near = near + begin
+                        for home, picked in ((True, own), (False, np.ones(len(near), bool))):
+                            at_home, where, inside = near[picked], code[picked], own[picked]
                             yield pa.RecordBatch.from_arrays(
-                                [pa.array(labels[rows][near]), pa.array(np.full(len(near), size, np.int32)), pa.array(np.full(len(near), b, np.int32)),
-                                 pa.array(code), pa.array(ids[rows][near]), pa.array(np.full(len(near), home)), pa.array(np.full(len(near), not move.any())),
-                                 pa.FixedSizeListArray.from_arrays(pa.array(part[near].astype(np.float32).ravel()), part.shape[1]).cast(pa.list_(pa.float32()))],
+                                [pa.array(labels[rows][at_home]), pa.array(np.full(len(at_home), size, np.int32)), pa.array(np.full(len(at_home), b, np.int32)),
+                                 pa.array(where), pa.array(ids[rows][at_home]), pa.array(np.full(len(at_home), home)), pa.array(inside),
+                                 pa.FixedSizeListArray.from_arrays(pa.array(part[at_home].astype(np.float32).ravel()), part.shape[1]).cast(pa.list_(pa.float32()))],
                                 names=["label", "size", "block", "cell", "rep", "home", "inside", "place"])
 
     label = reps.schema["label"].dataType.simpleString()
-    return reps.select("label", "rep", "embedding").mapInArrow(
+    return reps.join(grid_sizes(reps, grid, block), "label").select("label", "rep", "embedding", "grid").mapInArrow(
         run, f"label {label}, size int, block int, cell long, rep long, home boolean, inside boolean, place array<float>")
 
 
 def candidates(rows: DataFrame, cosine: float, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """Distinct pairs (a, b), a < b, whose distance in some block is within the block's share."""
     total, key = 2 - 2 * cosine, ["label", "size", "block", "cell"]
-    crowded = rows.where("home").groupBy(*key).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1")
-    dealt = (rows.join(crowded, key, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-             .withColumn("tile", F.explode(F.when(F.col("home"), F.array(F.pmod(F.xxhash64("rep"), "tiles").cast("int")))
-                                           .otherwise(F.sequence(F.lit(0), F.col("tiles") - 1)))))
+    tiles = lambda mine, n: F.greatest(F.ceil(F.sum(mine.cast("int")) / n), F.lit(1)).cast("int")
+    crowded = rows.groupBy(*key).agg(tiles(F.col("home"), tile).alias("tiles"), tiles(~F.col("home"), LOOKS * tile).alias("looks")).where(
+        "tiles > 1 OR looks > 1")
+    dealt = rows.join(crowded, key, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("looks", F.coalesce("looks", F.lit(1)))
+    own = lambda n: F.array(F.pmod(F.xxhash64("rep"), n).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    dealt = (dealt.withColumn("tile", F.explode(F.when(F.col("home"), own("tiles")).otherwise(every("tiles"))))
+             .withColumn("look", F.explode(F.when(F.col("home"), every("looks")).otherwise(own("looks")))))
 
     def pairs(group: pa.Table) -> pa.Table:
         home = group.column("home").to_numpy()
@@ -112,7 +138,7 @@ def candidates(rows: DataFrame, cosine: float, block: int = BLOCK, tile: int = T
         a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy(*key, "tile").applyInArrow(pairs, "a long, b long").distinct()
+    return dealt.groupBy(*key, "tile", "look").applyInArrow(pairs, "a long, b long").distinct()
 
 
 def cosine_of(a: Column, b: Column) -> Column:

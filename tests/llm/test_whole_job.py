@@ -1,12 +1,16 @@
 """Cases in which an operator or a stage used to do less than the whole job."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from edge_rows import SMALL  # noqa: F401
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from echotrail.llm import decontaminate, lm_score, quality_ftrl, vector_dedup
+from echotrail.llm.common import labelled_sample, table
 
 
 def shingles(text, size=5):
@@ -47,3 +51,29 @@ def test_near_dedup_reaches_a_similarity_of_eight_tenths(spark):
     want = jaccard_groups(rows)
     assert len(want) < len(rows) - 60
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs.repartition(5), SMALL).collect()} == want
+
+
+def test_vector_groups_are_bounded_on_both_sides(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 64))
+    vectors = np.concatenate([base, base[:100] + 0.1 * rng.normal(size=(100, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    reps = df.withColumn("rep", F.xxhash64("label", "embedding"))
+    monkeypatch.setattr(vector_dedup, "TILE", 10)
+    rows = vector_dedup.block_rows(reps, 0.93)
+    grouped, asked = type(rows).groupBy, []
+
+    def watched(self, *keys):
+        if "tile" in keys:
+            asked.extend(grouped(self, *keys).agg(F.sum(F.col("home").cast("int")), F.sum((~F.col("home")).cast("int"))).select(
+                F.col("sum(CAST(home AS INT))").alias("homes"), F.col("sum(CAST((NOT home) AS INT))").alias("looks")).collect() if not asked else [])
+        return grouped(self, *keys)
+
+    monkeypatch.setattr(type(rows), "groupBy", watched)
+    got = {(r["a"], r["b"]) for r in vector_dedup.candidates(rows, 0.93, tile=10).collect()}
+    assert max(r["homes"] for r in asked) <= 30 and max(r["looks"] for r in asked) <= 80
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    ids = {r["vec_id"]: r["rep"] for r in reps.collect()}
+    linked = [(i, j) for i in range(len(unit)) for j in range(i) if unit[i] @ unit[j] >= 0.93]
+    assert len(linked) >= 90
+    assert all((min(ids[i], ids[j]), max(ids[i], ids[j])) in got for i, j in linked)
