@@ -77,3 +77,15 @@ def test_vector_groups_are_bounded_on_both_sides(spark, monkeypatch):
     linked = [(i, j) for i in range(len(unit)) for j in range(i) if unit[i] @ unit[j] >= 0.93]
     assert len(linked) >= 90
     assert all((min(ids[i], ids[j]), max(ids[i], ids[j])) in got for i, j in linked)
+
+
+@pytest.mark.parametrize("lines", [1, 2, 3, 4, 5, 6])
+def test_passages_between_different_neighbours_go_whole(spark, lines):
+    words = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    body = [words(f"l{k}of{lines}x", 60 if lines == 1 else 6) for k in range(lines)]
+    rows = [(k, "\n".join([f"head {k}", f"own {k}", *body, f"tail {k}", "", f"end {k}"])) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, SMALL).collect()}
+    assert got[0] == rows[0][1]
+    for k in range(1, 12):
+        assert got[k] == f"head {k}\nown {k}\ntail {k}\n\nend {k}"
