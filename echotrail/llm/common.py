@@ -39,15 +39,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def training_labels(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """One row (doc_key, label) for each labelled doc_id whose crc32 mod `folds` is not `held_out`."""
+    return (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+            .where(crc32_mod(F.col("doc_id"), folds) != held_out)
+            .groupBy(F.col("doc_id").alias("doc_key")).agg(F.max(F.col(label).cast("int")).alias("label")))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
     """At most `rows` labelled training documents: (doc_key, label, text), the same ones on any partitioning.
 
     Only labels of rows whose crc32(doc_id) mod `folds` is not `held_out` are read. Half of the rows is kept for
     each class, so a rare class is not lost. The label rows are cut before the join, hence the broadcast is bounded.
     """
-    known = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-             .where(crc32_mod(F.col("doc_id"), folds) != held_out)
-             .groupBy(F.col("doc_id").alias("doc_key")).agg(F.max(F.col(label).cast("int")).alias("label")))
+    known = training_labels(labels, label, folds, held_out)
     order = F.xxhash64("doc_key")
     parts = [known.where(F.col("label") == k).orderBy(order, "doc_key").limit(rows // 2) for k in (0, 1)]
     picked = parts[0].unionByName(parts[1])

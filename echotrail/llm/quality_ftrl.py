@@ -4,7 +4,8 @@ Each white-space word gives two views: the word itself and its shape (letters to
 punctuation kept). Word unigrams and bigrams, shape unigrams to trigrams and repeated words are hashed into buckets; a
 feature's value is its share of the document's positions, so length has no effect. Training streams the sample, in a
 fixed order and several passes, through one task that holds only the weights; scoring is a sparse dot product inside
-the scan, without a shuffle. The weights have a fixed size (`bits`).
+the scan, without a shuffle. The weights have a fixed size (`bits`). The sample may hold the classes in another mix than all
+training labels do; the bias is shifted by the difference of the log odds.
 
 Null texts count as empty. An empty text is scored by the bias alone. Repeated rows get the same score each; an empty
 training set gives the score 0.5 everywhere. Columns of the input other than those named stay untouched.
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echotrail.llm.common import Numbered, labelled_sample, passed, small_batches
+from echotrail.llm.common import Numbered, labelled_sample, passed, small_batches, training_labels
 
 _RULES = [(re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"\d+"), "0")]
 _RUN = re.compile(r"(.)\1+")
@@ -153,5 +154,14 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str], threshold: floa
 
 def fit_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), folds: int = 5,
                   held_out: int = 0) -> QualityModel:
-    """Fits on labelled documents outside the held-out fold."""
-    return fit(labelled_sample(docs, labels, "quality", folds, held_out, settings.sample_rows), settings)
+    """Fits on labelled documents outside the held-out fold; the bias is moved from the sample's class mix to that of all
+    those labels, so scores mean the same whatever the sample leaves out."""
+    sample = labelled_sample(docs, labels, "quality", folds, held_out, settings.sample_rows)
+    model = fit(sample, settings)
+    known = training_labels(labels, "quality", folds, held_out)
+    share, rate = (x.agg(F.avg("label")).first()[0] for x in (known, sample))
+    if not share or not rate or share == 1 or rate == 1:  # labels of one kind have no odds
+        return model
+    weights = np.frombuffer(model.weights, "<f4").copy()
+    weights[-1] += np.log(share / (1 - share)) - np.log(rate / (1 - rate))
+    return QualityModel(settings, weights.tobytes())

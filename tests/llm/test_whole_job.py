@@ -79,6 +79,19 @@ def test_vector_groups_are_bounded_on_both_sides(spark, monkeypatch):
     assert all((min(ids[i], ids[j]), max(ids[i], ids[j])) in got for i, j in linked)
 
 
+def test_quality_scores_do_not_depend_on_the_sample(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = table(spark, folder, "documents").limit(6_000), table(spark, folder, "labels")
+    seen = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
+    means = {}
+    for rows in (700, 6_000):
+        model = quality_ftrl.fit_documents(docs, seen, quality_ftrl.Settings(sample_rows=rows))
+        scores = quality_ftrl.score(docs, model, ["doc_id"]).agg(F.avg("score"), F.avg("predicted")).first()
+        means[rows] = scores
+    print(means)
+    assert abs(means[700][0] - means[6_000][0]) < 0.03
+
+
 @pytest.mark.parametrize("lines", [1, 2, 3, 4, 5, 6])
 def test_passages_between_different_neighbours_go_whole(spark, lines):
     words = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
