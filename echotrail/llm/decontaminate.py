@@ -4,9 +4,12 @@ Texts become token templates: numbers, names (capitalised words inside a sentenc
 typed placeholders, other words lose case and punctuation. Hashes of template windows of the benchmark meet those of
 the documents in a hash join. Windows of one document and item with the same offset form a run; in it every slot's item
 value must stand for one document value and the reverse, which tells a re-parameterised question from a text that just
-shares the template. An item leaks if a consistent run holds enough of its windows.
+shares the template. An item leaks if its consistent runs together, words put in or left out between them, hold enough of
+its windows (`COVERAGE`) or reach enough of its tokens (`REACHED`), or if an unbroken run of `EXACT` tokens as written, or
+of the whole item if it is shorter, stands in the document.
 
-Template windows of the benchmark need at least half plain words, so a row of placeholders matches nothing. Items
+Template windows of the benchmark need at least half plain words; items that are mostly numbers and names are found by
+windows of `WRITTEN` tokens as written (without case and punctuation), if they have that many. Items
 shorter than the window are searched as wholes; items of fewer than `LEAST_TOKENS` tokens tell nothing and are passed
 over. Documents are exploded inside the scan and only matches leave it: benchmark windows are broadcast up to
 `BROADCAST_ROWS` (counted first), above that the join shuffles both sides. Null texts match nothing; repeated rows get
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from echotrail.llm.common import let
 
 WINDOW, LEAST_TOKENS, COVERAGE, BROADCAST_ROWS = 8, 5, 0.5, 500_000
+#: Tokens of a window of written tokens, of a run of them that is a leak, and the share of an item's tokens that is one.
+WRITTEN, EXACT, REACHED = 10, 20, 0.75
 #: Placeholders of numbers, names and units; private characters, each one token.
 NUMBER, NAME, UNIT = "", "", ""
 #: Unit words (fixed values).
@@ -61,48 +66,84 @@ def window_hashes(words: Column, size: int) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
+def written(text: Column) -> Column:
+    """Tokens in lower case and without punctuation, numbers and names included."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", ""), r"\s"), lambda x: x != "")
+
+
 def item_windows(items: DataFrame) -> DataFrame:
-    """Rows (item_id, size, at, hash, n_windows) of items (item_id, w, size)."""
+    """Rows (item_id, size, at, hash) of items (item_id, w, said, size); windows of written tokens have a negative size."""
     rows = (items.withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x["t"])))
             .withColumn("at", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)))
             .withColumn("part", F.slice("w", F.col("at"), F.col("size")))
             .where(F.size(F.filter("part", lambda x: x["t"].isin(NUMBER, NAME, UNIT))) * 2 <= F.col("size"))
             .select("item_id", "size", "at", F.xxhash64(F.slice("hashes", F.col("at"), F.col("size"))).alias("hash")))
-    return rows.join(rows.groupBy("item_id").agg(F.count("*").alias("n_windows")), "item_id")
+    plainly = items.select("item_id", F.posexplode(window_hashes(F.col("said"), WRITTEN)).alias("place", "hash"))
+    return rows.unionByName(plainly.select("item_id", F.lit(-WRITTEN).alias("size"), (F.col("place") + 1).alias("at"), "hash"))
+
+
+def longest(ats: Column) -> Column:
+    """Length of the longest row of successive numbers."""
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, at: Column) -> Column:
+        run = F.when(at == s["last"] + 1, s["run"] + 1).otherwise(F.lit(1))
+        return F.struct(at.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(F.array_sort(ats), start, step, lambda s: s["best"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE,
           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows (doc_id, mark, item_id, n_windows, coverage, kind), one per document and leaked item; kind is `exact` or
-    `reparameterised`; mark (xxhash64 of the text) tells apart texts of one doc_id."""
-    items = (benchmark.where("item_id is not null and text is not null").select("item_id", tokens(F.col("text")).alias("w"))
+    `reparameterised`; coverage is that of the item's windows, or of its tokens by a written run if that is more; mark
+    (xxhash64 of the text) tells apart texts of one doc_id."""
+    items = (benchmark.where("item_id is not null and text is not null")
+             .select("item_id", tokens(F.col("text")).alias("w"), written(F.col("text")).alias("said"))
              .where(F.size("w") >= LEAST_TOKENS).withColumn("size", F.least(F.size("w"), F.lit(window))).cache())
     parts = item_windows(items).cache()
     measured = parts.agg(F.count("*"), F.collect_set("size")).first()
+    totals = items.select("item_id", "w", F.size("said").alias("n_said")).join(
+        parts.where("size > 0").groupBy("item_id").agg(F.count("*").alias("n_windows")), "item_id", "left")
     if measured[0] <= broadcast_rows:
         parts = F.broadcast(parts)
     words = F.filter(F.split(template_text(F.col("text")), r"\s"), lambda x: x != "")
     plain_docs = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    worded = plain_docs.withColumn("words", words)
-    found = [worded.select("doc_id", "mark", "text", F.posexplode(window_hashes(F.col("words"), size)).alias("place", "hash"))
+    worded, said = plain_docs.withColumn("words", words), plain_docs.withColumn("words", written(F.col("text")))
+    found = [(worded if size > 0 else said).select("doc_id", "mark", "text", F.posexplode(window_hashes(F.col("words"), abs(size))).alias("place", "hash"))
              .withColumn("size", F.lit(size)).join(parts, ["hash", "size"]) for size in sorted(measured[1] or [window])]
     found = reduce(DataFrame.unionByName, found)
-    runs = found.groupBy("doc_id", "mark", "item_id", "n_windows", "size", (F.col("place") + 1 - F.col("at")).alias("offset")).agg(
+    runs = found.groupBy("doc_id", "mark", "item_id", "size", (F.col("place") + 1 - F.col("at")).alias("offset")).agg(
         F.collect_set("at").alias("ats"), F.first("text").alias("text"))
-    covered = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1))))
-    slots = F.array_distinct(let(tokens(F.col("text")), lambda own: F.transform(
-        F.filter("covered", lambda p: F.element_at("w", p)["t"].isin(NUMBER, NAME, UNIT)),
-        lambda p: F.struct(F.element_at("w", p)["t"].alias("kind"), plain(F.element_at("w", p)["v"]).alias("item"),
-                           plain(F.element_at(own, p + F.col("offset"))["v"]).alias("doc")))))
-    runs = (runs.where(F.size("ats") >= coverage * F.col("n_windows")).withColumn("covered", covered)
-            .join(items.select("item_id", "w"), "item_id").withColumn("slots", slots))
-    values = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[side]))))
-    consistent = (values("item") == F.size("slots")) & (values("doc") == F.size("slots"))
-    exact = F.forall("slots", lambda s: s["item"] == s["doc"])
-    return (runs.select("doc_id", "mark", "item_id", F.size("ats").alias("n"), "n_windows", consistent.alias("ok"), exact.alias("same"))
-            .where("ok").groupBy("doc_id", "mark", "item_id")
-            .agg(F.max(F.col("n") / F.col("n_windows")).alias("coverage"), F.max("n").alias("n_windows"),
-                 F.when(F.max("same"), "exact").otherwise("reparameterised").alias("kind")))
+    pairs = runs.groupBy("doc_id", "mark", "item_id").agg(
+        F.collect_list(F.struct("size", "offset", "ats")).alias("all"), F.first("text").alias("text")).join(totals, "item_id")
+    pairs = pairs.withColumn("runs", F.filter("all", lambda r: r["size"] > 0)).withColumn(
+        "length", F.aggregate(F.filter("all", lambda r: r["size"] < 0), F.lit(0), lambda n, r: F.greatest(n, longest(r["ats"]) + (WRITTEN - 1))))
+    tokens_of = lambda r: F.flatten(F.transform(r["ats"], lambda a: F.sequence(a, a + r["size"] - 1)))
+    held = lambda rs: F.size(F.array_distinct(F.flatten(F.transform(rs, lambda r: r["ats"]))))
+    reached = lambda rs: F.size(F.array_distinct(F.flatten(F.transform(rs, tokens_of))))
+    enough = lambda rs: (F.size(rs) > 0) & ((held(rs) >= coverage * F.col("n_windows")) | (reached(rs) >= REACHED * F.size("w")))
+    copied = (F.col("length") > 0) & (F.col("length") >= F.least(F.lit(EXACT), F.col("n_said")))
+    pairs = pairs.where(copied | enough(F.col("runs")))
+
+    def slots(own: Column, r: Column) -> Column:
+        places = F.filter(F.array_distinct(tokens_of(r)), lambda p: F.element_at("w", p)["t"].isin(NUMBER, NAME, UNIT))
+        return F.array_distinct(F.transform(places, lambda p: F.struct(
+            F.element_at("w", p)["t"].alias("kind"), plain(F.element_at("w", p)["v"]).alias("item"),
+            plain(F.element_at(own, p + r["offset"])["v"]).alias("doc"))))
+
+    def judged(r: Column, s: Column) -> Column:
+        values = lambda side: F.size(F.array_distinct(F.transform(s, lambda x: F.struct(x["kind"], x[side]))))
+        return F.struct(r["size"].alias("size"), r["ats"].alias("ats"), ((values("item") == F.size(s)) & (values("doc") == F.size(s))).alias("ok"),
+                        F.forall(s, lambda x: x["item"] == x["doc"]).alias("same"))
+
+    runs = let(tokens(F.col("text")), lambda own: F.transform("runs", lambda r: let(slots(own, r), lambda s: judged(r, s))))
+    pairs = pairs.select("doc_id", "mark", "item_id", "w", "n_windows", "n_said", "length", F.filter(runs, lambda r: r["ok"]).alias("runs"))
+    exact = copied | enough(F.filter("runs", lambda r: r["same"]))
+    share = F.greatest(F.coalesce(held(F.col("runs")) / F.col("n_windows"), F.lit(0.0)), F.when(copied, F.col("length") / F.col("n_said")).otherwise(0.0))
+    return pairs.where(copied | enough(F.col("runs"))).select(
+        "doc_id", "mark", "item_id", share.alias("coverage"), held(F.col("runs")).alias("n_windows"),
+        F.when(exact, "exact").otherwise("reparameterised").alias("kind"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

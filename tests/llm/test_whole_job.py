@@ -102,3 +102,16 @@ def test_passages_between_different_neighbours_go_whole(spark, lines):
     assert got[0] == rows[0][1]
     for k in range(1, 12):
         assert got[k] == f"head {k}\nown {k}\ntail {k}\n\nend {k}"
+
+
+def test_decontamination_adds_up_runs(spark):
+    words = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "su", "ta") for b in ("rn", "st", "ld", "ck", "mp", "sh", "nd")]
+    item, short = words[:38], words[20:42]
+    numbers = "3 + 4 = 7 and 12 + 9 = 21 and 5 + 6 = 11 and 8 + 2 = 10".split()
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short)), (3, " ".join(numbers))], "item_id long, text string")
+    texts = {1: item[:19] + ["inserted"] + item[19:], 2: item[:19] + item[20:], 3: ["so"] + item[4:26] + ["it", "ends"],
+             4: short[:11] + ["changed"] + short[12:], 5: ["see"] + numbers + ["done"], 6: item[:12], 7: ["2 + 2 = 4 and 1 + 1 = 2"]}
+    docs = spark.createDataFrame([(k, "zz " + " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    for rows in (500_000, 0):
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench, broadcast_rows=rows).collect()}
+        assert {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3)} <= got and not {d for d, _ in got} & {6, 7}
