@@ -4,7 +4,8 @@ A word's score is log(count of its n-gram / count of the n-gram's context) for t
 least `min_count` times; each order backed off adds log(0.4); a single word scores log(count / all words). Documents are
 dealt evenly into parts. Each part lists its distinct n-grams (64-bit hashes) with their counts, cut into ranges of the
 hash; the count table of a range is their sum, and a join in that range answers every part with the totals of its own
-n-grams. Parts then look up all positions and sum per document. An n-gram leaves a part once however often it occurs, so
+n-grams. The documents are written with their parts before, so that a lost executor or another split of the input cannot
+move one between listing and lookup. Parts then look up all positions and sum per document. An n-gram leaves a part once however often it occurs, so
 a frequent n-gram is no hot key; the numbers of parts and ranges follow the corpus, so groups keep their size.
 
 Hash equality stands for n-gram equality (64 bits). Words are separated by ASCII white space. Null and empty texts have
@@ -114,6 +115,7 @@ def score(docs: DataFrame, keep: list[str], order: int = ORDER, min_count: int =
     parts, ranges = -(-size // PART) or 1, -(-size // RANGE) or 1
     part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
     dealt = docs.select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(keep)], "text", part.alias("part"))
+    dealt = settled(dealt, "dealt-documents")  # both uses below must see a document in the same part
     asked = dealt.groupBy("part").applyInArrow(ask(order, ranges), "part int, gram int, slot int, hashes binary, counts binary")
     replies = settled(asked.groupBy("gram", "slot").applyInArrow(answer, "part int, gram int, slot int, totals binary, words long"), "gram-totals")
     words = replies.where("gram = 1").agg(F.sum("words")).first()[0] or 0

@@ -104,6 +104,18 @@ def test_passages_between_different_neighbours_go_whole(spark, lines):
         assert got[k] == f"head {k}\nown {k}\ntail {k}\n\nend {k}"
 
 
+def test_backoff_parts_are_settled(spark, monkeypatch):
+    """Row ids that change between two readings, as after a lost executor, must not reach the result."""
+    shaky = F.udf(lambda: random.randrange(10**9), "long").asNondeterministic()
+    monkeypatch.setattr(F, "monotonically_increasing_id", lambda: shaky())
+    monkeypatch.setattr(lm_score, "PART", 200)
+    docs = spark.createDataFrame([(k, f"a b c{k % 5} d e{k % 3} f") for k in range(60)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: round(r["lm_score"], 6) for r in lm_score.score(docs, ["doc_id"]).collect()}
+    monkeypatch.setattr(lm_score, "PART", 12_000_000)
+    want = {r["doc_id"]: round(r["lm_score"], 6) for r in lm_score.score(docs, ["doc_id"]).collect()}
+    assert len(got) == 60 and got == want
+
+
 def test_decontamination_adds_up_runs(spark):
     words = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "su", "ta") for b in ("rn", "st", "ld", "ck", "mp", "sh", "nd")]
     item, short = words[:38], words[20:42]
