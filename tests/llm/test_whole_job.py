@@ -104,6 +104,12 @@ def test_passages_between_different_neighbours_go_whole(spark, lines):
         assert got[k] == f"head {k}\nown {k}\ntail {k}\n\nend {k}"
 
 
+def test_last_stage_returns_the_tokens(spark):
+    docs = spark.createDataFrame([(1, "some words here"), (2, None)], "doc_id long, text string")
+    for r in corpus_pipeline.token_ids(spark, docs, SMALL).collect():
+        assert len(r["ids"]) == 4 * r["n_tokens"] and hashlib.sha256(r["ids"]).hexdigest() == r["ids_sha256"]
+
+
 def test_backoff_parts_are_settled(spark, monkeypatch):
     """Row ids that change between two readings, as after a lost executor, must not reach the result."""
     shaky = F.udf(lambda: random.randrange(10**9), "long").asNondeterministic()
