@@ -50,14 +50,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """At most `rows` labelled training documents: (doc_key, label, text), the same ones on any partitioning.
 
     Only labels of rows whose crc32(doc_id) mod `folds` is not `held_out` are read. Half of the rows is kept for
-    each class, so a rare class is not lost. The label rows are cut before the join, hence the broadcast is bounded.
+    each class, so a rare class is not lost. The label rows are cut before the join, hence the broadcast is bounded. Of the
+    documents of one doc_id, the one whose text has the smallest hash is taken, however many there are.
     """
     known = training_labels(labels, label, folds, held_out)
     order = F.xxhash64("doc_key")
     parts = [known.where(F.col("label") == k).orderBy(order, "doc_key").limit(rows // 2) for k in (0, 1)]
     picked = parts[0].unionByName(parts[1])
     texts = docs.select(F.col("doc_id").alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_key").select("doc_key", "label", "text")
+    return (texts.join(F.broadcast(picked), "doc_key").groupBy("doc_key", "label")
+            .agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")).select("doc_key", "label", "first.text"))
 
 
 class Numbered(dict):

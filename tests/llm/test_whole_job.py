@@ -110,6 +110,13 @@ def test_last_stage_returns_the_tokens(spark):
         assert len(r["ids"]) == 4 * r["n_tokens"] and hashlib.sha256(r["ids"]).hexdigest() == r["ids_sha256"]
 
 
+def test_sample_holds_one_document_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 7}") for k in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    sample = labelled_sample(docs, labels, "quality", 100, 99, 10).collect()
+    assert sorted((r["doc_key"], r["label"]) for r in sample) == [(1, 1), (2, 0)]
+
+
 def test_backoff_parts_are_settled(spark, monkeypatch):
     """Row ids that change between two readings, as after a lost executor, must not reach the result."""
     shaky = F.udf(lambda: random.randrange(10**9), "long").asNondeterministic()
