@@ -140,3 +140,10 @@ def test_decontamination_adds_up_runs(spark):
     for rows in (500_000, 0):
         got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench, broadcast_rows=rows).collect()}
         assert {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3)} <= got and not {d for d, _ in got} & {6, 7}
+
+
+def test_quality_scores_follow_the_labels_class_mix(spark):
+    docs = spark.createDataFrame([(k, "some equal words") for k in range(1_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 7 > 0)) for k in range(1_000)], "doc_id long, quality int")
+    model = quality_ftrl.fit_documents(docs, labels, quality_ftrl.Settings(sample_rows=100))
+    assert 0.72 < quality_ftrl.score(docs.limit(1), model, ["doc_id"]).first()["score"] < 0.95
