@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrail.llm import bpe, decontaminate, line_chunks, lm_score, quality_ftrl, simhash_golay, token_files, toxicity, url_filter, vector_dedup
+from echotrail.llm import (
+    bpe, decontaminate, line_chunks, lm_score, quality_ftrl, simhash_golay, suffix_dedup, token_files, toxicity, url_filter, vector_codes,
+    vector_dedup, whitening,
+)
 from echotrail.llm.common import crc32_mod, table
 from echotrail.session import scratch_path
 
@@ -167,3 +170,83 @@ def op10_quality_ftrl(spark: SparkSession, folder: str) -> DataFrame:
     model = quality_ftrl.fit_documents(docs, table(spark, folder, "labels"))
     scored = quality_ftrl.score(docs, model, ["doc_id"], threshold=0.3)
     return scored.select("doc_id", (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document covered by a repeated string of 200 bytes, and the digest of the others."""
+    cut = suffix_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"], length=200)
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_suffix_array_dedup"] = """
+WITH numbered AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT r, p, md5(substr(h, 2 * p + 1, 400)) AS w FROM (SELECT r, h, unnest(range(len(h) // 2 - 199)) AS p FROM numbered)),
+often AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+hits AS (SELECT r, p FROM windows WHERE w IN (FROM often)),
+marked AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM hits),
+runs AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS run FROM marked),
+spans AS (SELECT r, run, min(p) AS a, max(p) + 200 AS b FROM runs GROUP BY r, run),
+gaps AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT r, max(b), NULL FROM spans GROUP BY r),
+kept AS (
+  SELECT n.r, string_agg(CASE WHEN g.b IS NULL THEN substr(n.h, 2 * g.a + 1) ELSE substr(n.h, 2 * g.a + 1, 2 * (g.b - g.a)) END, '' ORDER BY g.a) AS h
+  FROM gaps g JOIN numbered n ON g.r = n.r GROUP BY n.r),
+counts AS (SELECT r, count(*) AS n FROM spans GROUP BY r)
+SELECT n.doc_id, (len(n.h) // 2)::BIGINT AS n_bytes, ((len(n.h) - len(coalesce(k.h, n.h))) // 2)::BIGINT AS n_removed,
+       coalesce(c.n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, n.h))) AS kept_sha256
+FROM numbered n LEFT JOIN kept k ON n.r = k.r LEFT JOIN counts c ON n.r = c.r"""
+
+
+@query
+def op12_equal_average_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Code and error of every vector, by product codebooks of 16 parts and 64 entries."""
+    coded, books = vector_codes.compress(table(spark, folder, "embeddings"), scale=256, parts=16, entries=64, rounds=2)
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.fingerprint(books)).alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """SQL twin of op12: each round is one step of common table expressions."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS (
+  SELECT id, part, min(struct_pack(d := list_sum(list_transform(list_zip(xs, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := entry)) AS hit
+  FROM parts JOIN book{k} USING (part) GROUP BY id, part)""")
+        if k < rounds:
+            steps.append(f"""
+mean{k} AS (
+  SELECT part, entry, list(m ORDER BY j) AS c FROM (
+    SELECT p.part, n.hit.e AS entry, j, floor(sum(p.xs[j])::DOUBLE / count(*))::BIGINT AS m
+    FROM parts p JOIN near{k} n ON p.id = n.id AND p.part = n.part, (SELECT unnest(range(1, (SELECT len(any_value(xs)) FROM parts) + 1)) AS j)
+    GROUP BY p.part, n.hit.e, j) GROUP BY part, entry),
+book{k + 1} AS (
+  SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m ON b.part = m.part AND b.entry = m.entry)""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+  SELECT id, part, x[part * (len(x) // {parts}) + 1:(part + 1) * (len(x) // {parts})] AS xs
+  FROM kept, (SELECT unnest(range({parts})) AS part)),
+book0 AS (SELECT part, id - 1 AS entry, xs AS c FROM parts WHERE id <= {entries}),{','.join(steps)},
+coded AS (
+  SELECT id, string_agg(lower(printf('%02x', hit.e)), '' ORDER BY part) AS code, sum(hit.d)::BIGINT AS error FROM near{rounds} GROUP BY id),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS s FROM book{rounds}),
+sums AS (SELECT k.label, sum(c.error)::BIGINT AS label_error FROM kept k JOIN coded c ON k.id = c.id GROUP BY k.label)
+SELECT k.vec_id, c.code, c.error, s.label_error, (SELECT s FROM book) AS codebooks_sha256
+FROM kept k JOIN coded c ON k.id = c.id JOIN sums s ON k.label IS NOT DISTINCT FROM s.label"""
+
+
+ORACLES["op12_equal_average_codes"] = _codes_sql()
+
+
+@query
+def op13_refined_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened coordinates of every vector on the 16 leading components of the distinct vectors."""
+    return whitening.whiten(table(spark, folder, "embeddings"), scale=64, shift=1_000_000, components=16)
