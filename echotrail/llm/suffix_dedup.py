@@ -6,14 +6,14 @@ places are judged on the input and never cross documents. The steps:
 1. *Anchors.* Of the `GRAM`-byte strings inside each window of `length` bytes, the one with the least hash (leftmost on ties)
    is the window's anchor. Equal windows have equal anchors at equal distances, so a window can only repeat if its anchor's
    hash does. Anchors with a unique hash are dropped; what is left carries a context, the bytes of all windows it can
-   anchor. One place in about 85 is an anchor, and texts stay where they are: only hashes and places are shuffled.
+   anchor. One place in about 50 is an anchor, and texts stay where they are: only hashes and places are shuffled.
 2. *Contexts.* Equal contexts of a key are one with a count; two or more repeat whole. A key with several different
    contexts has their bytes fetched, once for each.
 3. *Shards.* Contexts are dealt by key to shards of about `SHARD` contexts. A shard builds the suffix array of its contexts by
    Larsson-Sadakane refinement in numpy (sort by eight bytes, then by rank pairs of doubled length, unsettled groups alone)
    and common prefixes by Kasai's pass in text order, in lockstep over the contexts. Runs of the array that share
    `length` bytes are the repeated windows.
-4. *Merging.* A key with more than `SHARD` different contexts spans several shards. Each of them hands on its distinct
+4. *Merging.* A key with more than `SPREAD` different contexts spans several shards. Each of them hands on its distinct
    windows as 128-bit fingerprints, dealt to slices; in each slice the shards' runs are merged and every window is looked up
    in them by binary search. So no group has to fit one task, and the work grows with the contexts, not with pairs of shards.
 5. Every anchor's repeated stretch becomes a span of its document; spans are united and cut out.
@@ -39,7 +39,9 @@ from echotrail.llm.common import passed, ranges, settled
 from echotrail.llm.token_files import opened
 from echotrail.session import scratch_path
 
-LENGTH, GRAM, SHARD = 200, 32, 4_000
+LENGTH, GRAM, SHARD = 200, 100, 4_000
+#: Different contexts of one key that a shard holds; keys with more are spread and merged.
+SPREAD = 16_000
 #: Window starts handled at once, and rows of a merge slice.
 STEP, SLICE = 1 << 20, 1 << 20
 #: Rows of the parts: the upper bits of an id are the partition that wrote the row.
@@ -164,23 +166,21 @@ def suffix_array(words: np.ndarray) -> np.ndarray:
     as far ahead as the groups are settled, which doubles that distance; settled places are not touched again.
     """
     n = len(words)
-    order = np.argsort(words)
-    rank = np.empty(n + 1, np.int64)
+    order = np.argsort(words).astype(np.int32)
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
 
     def regroup(slots: np.ndarray, places: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Sets the ranks of sorted places and returns the slots of those still tied."""
-        fresh = np.ones(len(keys) + 1, bool)
-        fresh[1:-1] = keys[1:] != keys[:-1]
-        heads = np.maximum.accumulate(np.where(fresh[:-1], np.arange(len(keys)), 0))
-        rank[places] = slots[heads]
+        fresh = heads(keys)
+        rank[places] = slots[fresh[:-1]][np.cumsum(fresh[:-1]) - 1]
         return slots[~(fresh[:-1] & fresh[1:])]
 
-    tied = regroup(np.arange(n), order, words[order])
+    tied = regroup(np.arange(n, dtype=np.int32), order, words[order])
     done = 8
     while len(tied):
         places = order[tied]
-        keys = rank[places] * (n + 1) + rank[np.minimum(places + done, n)] + 1
+        keys = rank[places] * np.int64(n + 1) + rank[np.minimum(places + done, n)] + 1
         by = np.argsort(keys)
         places, keys = places[by], keys[by]
         order[tied] = places
@@ -196,7 +196,7 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, starts: np.ndarray, si
     from there. All texts advance together, eight bytes a comparison.
     """
     n = len(words)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[order[1:]] = order[:-1]
     before[order[:1]] = -1
     out, known = np.zeros(n, np.int32), np.zeros(len(starts), np.int64)
@@ -218,9 +218,10 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, starts: np.ndarray, si
 
 def heads(*columns: np.ndarray) -> np.ndarray:
     """Whether a row differs from the one before it in any of the sorted columns, and a last True."""
-    out = np.ones(len(columns[0]) + 1, bool)
-    if len(columns[0]):
-        out[1:-1] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    out = np.zeros(len(columns[0]) + 1, bool)
+    for c in columns:
+        out[1:-1] |= c[1:] != c[:-1]
+    out[[0, -1]] = True
     return out
 
 
@@ -363,7 +364,7 @@ def stretches(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
     hits = settled(found.join(often, "key"), "suffix-hits")
     contexts = settled(hits.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first")), "suffix-contexts")
     several = contexts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = settled(several.withColumn("shards", F.ceil(F.col("kinds") / SHARD)), "suffix-several")
+    several = settled(several.withColumn("shards", F.ceil(F.col("kinds") / SPREAD)), "suffix-several")
     wanted = settled(contexts.join(several, "key").select("first.id", "first.place", "key", "context", "shards"), "suffix-wanted")
     shards = wanted.count() * 2 // SHARD + 1
     spread = F.col("shards") > 1

@@ -53,7 +53,8 @@ def passages(n):
 
 @pytest.mark.parametrize("shard", [4_000, 3])
 def test_repeated_strings_on_edges(spark, texts, monkeypatch, shard):
-    monkeypatch.setattr(suffix_dedup, "SHARD", shard)  # three: keys span several shards, whose windows are merged
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    monkeypatch.setattr(suffix_dedup, "SPREAD", shard)  # three: keys span several shards, whose windows are merged
     monkeypatch.setattr(suffix_dedup, "SLICE", 40)
     rows = [(r["doc_id"], r["text"]) for r in texts.where("doc_id IS NULL OR doc_id <> 5").collect()]
     rows += passages(40) + [(90, "ab" * 300), (91, "ba" * 100), (92, "ab" * 24), (93, "z" * 49), (94, "z" * 50), (95, "z" * 51)]
