@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotrail.operators.metrics import ratio
-from echotrail.operators.skew import MEASURE, by_halves, group_medians, join_ids, merge_rows, top_rows
+from echotrail.operators.ranges import bracket_stats
+from echotrail.operators.skew import by_halves, join_ids, top_rows
 
 PARTIAL = ["ai_fabricated", "human_fabricated"]
 DIRECT = ["ai_direct", "human_direct", "human_clean"]
@@ -250,9 +251,8 @@ def relaxed_thresholds(gate: Column) -> dict[str, Column]:
     }
 
 
-def outcome_distribution(df: DataFrame, group: str, columns: Sequence[str], hot=MEASURE) -> DataFrame:
+def outcome_distribution(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """count and median/min/max of the cascade's numbers per outcome group."""
-    out = df.groupBy(group).agg(
+    return bracket_stats(df, [group], [
         F.count(F.lit(1)).alias("count"), *[F.min(c).alias(f"min_{c}") for c in columns],
-        *[F.max(c).alias(f"max_{c}") for c in columns])
-    return merge_rows([group], out, group_medians(df, [group], columns, "median_", hot))
+        *[F.max(c).alias(f"max_{c}") for c in columns]], {f"median_{c}": (c, 0.5) for c in columns})

@@ -2,7 +2,7 @@
 
 Labels are 0/1, scores are doubles.  Anything that depends on thresholds is read
 off a score histogram, so its cost is rows + buckets, not rows x thresholds.
-Anything that depends on the order of scores works on distinct scores with counts.
+Ranking metrics are in `ranges`.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echotrail.operators.skew import (
-    exact_quantiles, group_stats, join_keys, neighbours, running, settled,
-)
+from echotrail.operators.ranges import bracket_stats, ranking_metrics
+from echotrail.operators.skew import join_keys, settled
 
 COUNTS = ["tn", "fp", "fn", "tp"]
 
@@ -86,62 +85,6 @@ def metric_rows(df: DataFrame, scope: str, truth: str, predicted: str,
     )
 
 
-# Ranking metrics -----------------------------------------------------------------------
-
-
-def score_steps(df: DataFrame, keys: Sequence[str], score: str, truth: str) -> DataFrame:
-    """Per key and distinct score (highest first): pos, neg, cumulative tp/fp, totals p/q."""
-    dist = df.groupBy(*keys, score).agg(
-        F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    return steps_from_counts(dist, keys, score)
-
-
-def steps_from_counts(dist: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    """Cumulative counts from distinct scores with their pos and neg counts."""
-    dist = settled(dist)
-    cum = running(dist, keys, [F.col(score).desc()],
-                  {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))})
-    totals = dist.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    return join_keys(cum, totals, keys)
-
-
-def auc_and_ap(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """ROC AUC (ties count half) and average precision (step sum); null for one class."""
-    pos, neg, tp, fp, p, q = (F.col(c) for c in ("pos", "neg", "tp", "fp", "p", "q"))
-    both = (p > 0) & (q > 0)
-    area = neg.cast("double") * (tp - pos + pos / 2)
-    precision = tp / (tp + fp)
-    return (steps.groupBy(*keys).agg(
-                F.sum(area).alias("_area"), F.sum(pos * precision).alias("_ap"),
-                F.max(p).alias("p"), F.max(q).alias("q"))
-            .select(*keys, F.when(both, F.col("_area") / (p.cast("double") * q)).alias("roc_auc"),
-                    F.when(both, F.col("_ap") / p).alias("average_precision")))
-
-
-def equal_error_rate(steps: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    """EER at the ROC point with the smallest |FNR - FPR|; null for one class.
-
-    Points inside a straight run of the ROC are dropped first, as the usual
-    library curve does, and the curve starts at (0, 0).  Ties keep the highest
-    threshold.
-    """
-    with_next = neighbours(
-        steps.withColumn("_step", F.struct("pos", "neg")),
-        keys, [F.col(score).desc()], "_step", 1, "_prev", "_next")
-    straight = (F.col("_prev").isNotNull() & F.col("_next").isNotNull()
-                & (F.col("_next.pos") == F.col("pos")) & (F.col("_next.neg") == F.col("neg")))
-    fpr, fnr = F.col("fp") / F.col("q"), 1 - F.col("tp") / F.col("p")
-    point = F.struct(F.abs(fnr - fpr).alias("gap"), F.col("fp").alias("fp"),
-                     F.col("tp").alias("tp"), ((fnr + fpr) / 2).alias("eer"))
-    start = F.struct(F.lit(1.0).alias("gap"), F.lit(0).cast("long").alias("fp"),
-                     F.lit(0).cast("long").alias("tp"), F.lit(0.5).alias("eer"))
-    usable = (F.col("p") > 0) & (F.col("q") > 0)
-    best = with_next.groupBy(*keys).agg(
-        F.min(F.when(usable & ~straight, point)).alias("_best"))
-    return best.select(*keys, F.when(F.col("_best").isNotNull(),
-                                     F.least("_best", start)["eer"]).alias("eer"))
-
-
 # Threshold grids -----------------------------------------------------------------------
 
 
@@ -228,13 +171,17 @@ def recall_at_max_fpr(grid: DataFrame, keys: Sequence[str], max_fpr: float) -> D
 # Calibration ---------------------------------------------------------------------------
 
 
+def calibration_bin(score: Column, bins: int) -> Column:
+    """Equal-width bin of a score; null outside 0..1."""
+    edges = [i * (1.0 / bins) for i in range(1, bins)]
+    return F.when((score >= 0) & (score <= 1), reduce(lambda a, b: a + b, [(score >= e).cast("int") for e in edges]))
+
+
 def calibration_error(df: DataFrame, keys: Sequence[str], score: str, truth: str,
                       bins: int = 10) -> DataFrame:
     """Expected calibration error over equal-width bins; the last bin includes 1."""
-    edges = [i * (1.0 / bins) for i in range(1, bins)]
-    slot = reduce(lambda a, b: a + b, [(F.col(score) >= e).cast("int") for e in edges])
-    inside = df.where((F.col(score) >= 0) & (F.col(score) <= 1))
-    binned = inside.groupBy(*keys, slot.alias("_bin")).agg(
+    binned = df.where(calibration_bin(F.col(score), bins).isNotNull()).groupBy(
+        *keys, calibration_bin(F.col(score), bins).alias("_bin")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(score).alias("_s"),
         F.sum(F.col(truth).cast("double")).alias("_y"))
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
@@ -247,41 +194,50 @@ def calibration_error(df: DataFrame, keys: Sequence[str], score: str, truth: str
 
 def calibration_summary(df: DataFrame, keys: Sequence[str], score: str,
                         truth: str) -> DataFrame:
-    """Brier score, AUC, AP, ECE and confident-error counts per key."""
-    p, y = F.col(score), F.col(truth)
-    default = (p >= 0.5).cast("int")
-    base = df.groupBy(*keys).agg(
-        F.avg((p - y) * (p - y)).alias("brier_score"),
-        F.count_if((p >= 0.8) & (default != y)).alias("high_confidence_error_count"),
-        F.count_if((p <= 0.2) & (default == y)).alias("low_confidence_correct_count"))
-    ranking = auc_and_ap(score_steps(df, keys, score, truth), keys)
-    ece = calibration_error(df, keys, score, truth)
-    return join_keys(join_keys(base, ranking, keys), ece, keys)
+    """Brier score, AUC, AP, ECE and confident-error counts per key, in one pass over the distinct scores."""
+    x, pos, neg = F.col(score), F.col("pos"), F.col("neg")
+    slot = calibration_bin(x, 10)
+    n = pos + neg
+    known = F.when(x.isNotNull(), n)
+    sums = [F.sum(F.when(slot == b, c)).alias(f"_{name}{b}") for b in range(10) for name, c in (
+        ("n", n), ("s", x * n), ("y", pos.cast("double")))]
+    ranking = ranking_metrics(df, keys, score, truth, [
+        F.sum(pos * (x - 1) * (x - 1) + neg * x * x).alias("_squares"), F.sum(known).alias("_known"), F.sum(n).alias("_total"),
+        F.sum(F.when(x >= 0.8, neg).otherwise(0)).alias("high_confidence_error_count"),
+        F.sum(F.when(x <= 0.2, neg).otherwise(0)).alias("low_confidence_correct_count"), *sums])
+    total = F.col("_total")
+
+    def added(part) -> Column:
+        """Sum over the bins that hold rows; null if none does."""
+        bins = [F.when(F.col(f"_n{b}") > 0, part(F.col(f"_n{b}"), F.col(f"_s{b}"), F.col(f"_y{b}"))) for b in range(10)]
+        return F.when(F.coalesce(*bins).isNotNull(), reduce(lambda a, b: a + b, [F.coalesce(b, F.lit(0.0)) for b in bins]))
+
+    return ranking.select(
+        *keys, (F.col("_squares") / F.col("_known")).alias("brier_score"), "high_confidence_error_count", "low_confidence_correct_count",
+        "roc_auc", "average_precision", added(lambda n, s, y: n / total * F.abs(s / n - y / n)).alias("ece"),
+        added(lambda n, s, y: s / total).alias("mean_predicted_probability"),
+        added(lambda n, s, y: y / total).alias("observed_positive_rate"))
 
 
 def score_distribution(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """count, min, q10..q90, max, mean and population std per key."""
-    return group_stats(df, keys, [
+    return bracket_stats(df, keys, [
         F.count(F.lit(1)).alias("count"), F.min(score).alias("min_probability"),
         F.max(score).alias("max_probability"), F.avg(score).alias("mean_probability"),
-        F.stddev_pop(score).alias("std_probability")], score, {
-        "q10_probability": 0.1, "q25_probability": 0.25, "median_probability": 0.5,
-        "q75_probability": 0.75, "q90_probability": 0.9})
+        F.stddev_pop(score).alias("std_probability")], {
+        f"{name}_probability": (score, p) for name, p in (("q10", 0.1), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("q90", 0.9))})
 
 
 def band_cutpoints(df: DataFrame, keys: Sequence[str], score: str, truth: str,
                    threshold: float) -> DataFrame:
     """Low/medium band edges: q90 of negatives and q25 of positives, with count guards."""
-    counts = df.groupBy(*keys).agg(F.count_if(F.col(truth) == 0).alias("_neg"),
-                                   F.count_if(F.col(truth) == 1).alias("_pos"))
-    split = df.select(*keys, F.when(F.col(truth) == 0, F.col(score)).alias("_ns"),
-                      F.when(F.col(truth) == 1, F.col(score)).alias("_ps"))
-    low_q = exact_quantiles(split, keys, "_ns", {"_q90": 0.9})
-    high_q = exact_quantiles(split, keys, "_ps", {"_q25": 0.25})
-    j = join_keys(join_keys(counts, low_q, keys), high_q, keys)
-    low = F.when(F.col("_neg") >= 5, F.col("_q90")).otherwise(
+    split = df.select(*keys, truth, F.when(F.col(truth) == 0, F.col(score)).alias("clear_score"),
+                      F.when(F.col(truth) == 1, F.col(score)).alias("hit_score"))
+    j = bracket_stats(split, keys, [F.count_if(F.col(truth) == 0).alias("neg"), F.count_if(F.col(truth) == 1).alias("pos")],
+                      {"q90": ("clear_score", 0.9), "q25": ("hit_score", 0.25)})
+    low = F.when(F.col("neg") >= 5, F.col("q90")).otherwise(
         F.greatest(F.lit(0.33), F.lit(threshold * 0.5)))
-    medium = F.when((F.col("_pos") >= 3) & (F.col("_neg") >= 3), F.col("_q25")).otherwise(
+    medium = F.when((F.col("pos") >= 3) & (F.col("neg") >= 3), F.col("q25")).otherwise(
         F.lit(float(threshold)))
     medium = F.greatest(low + 0.05, F.least(medium, F.lit(0.99)))
     return j.select(*keys, F.round(low, 4).alias("low_max"), F.round(medium, 4).alias("medium_max"),

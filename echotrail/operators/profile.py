@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echotrail.operators.skew import group_stats, join_keys
+from echotrail.operators.ranges import bracket_stats
+from echotrail.operators.skew import join_keys
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
@@ -128,10 +129,10 @@ def feature_long(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (
 def feature_summary(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Count, missing percent, mean, sample std, min, median, max per (keys, feature)."""
     by = [*keys, "feature"]
-    base = group_stats(long, by, [
+    base = bracket_stats(long, by, [
         F.count("x").alias("count"), F.count(F.lit(1)).alias("row_count"),
         F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max")], "x", {"median": 0.5})
+        F.min("x").alias("min"), F.max("x").alias("max")], {"median": ("x", 0.5)})
     miss = 100.0 * (1 - F.col("count") / F.greatest(F.col("row_count"), F.lit(1)))
     return base.withColumn("missing_percent", F.round(miss, 4))
 
@@ -164,9 +165,9 @@ def compare_groups(df: DataFrame, features: Sequence[str],
 def group_effects(long: DataFrame, keys: Sequence[str], min_group: int = 5) -> DataFrame:
     """Effect sizes from long rows with `_side` in (a, b)."""
     by = [*keys, "feature", "_side"]
-    stats = group_stats(long, by, [
+    stats = bracket_stats(long, by, [
         F.count(F.lit(1)).alias("n"), F.count("x").alias("k"), F.avg("x").alias("m"),
-        F.var_samp("x").alias("v")], "x", {"md": 0.5})
+        F.var_samp("x").alias("v")], {"md": ("x", 0.5)})
     pick = lambda side, c: F.max(F.when(F.col("_side") == side, F.col(c)))
     wide = stats.groupBy(*keys, "feature").agg(*[
         pick(s, c).alias(f"{c}_{s}") for s in "ab" for c in ("n", "k", "m", "v", "md")])

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echotrail.session import checkpoint_dir
+from echotrail.session import scratch_path
 
 HOT_ROWS_KEY = "spark.echotrail.hotGroupRows"
 HOT_ROWS_DEFAULT = 2_000_000
@@ -35,9 +35,10 @@ def slice_rows(df: DataFrame) -> int:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Checkpoint rows that several branches read, so their input is computed once."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write rows that several branches read to the shared folder: their input is computed once and outlives executors."""
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:

@@ -8,8 +8,9 @@ from echotrail.operators import cascade as C
 from echotrail.operators import localize as Z
 from echotrail.operators.metrics import best_row, ratio
 from echotrail.operators.profile import issue_rows
+from echotrail.operators.ranges import bracket_stats
 from echotrail.operators.skew import (
-    group_medians, group_stats, join_ids, numbered, running, settled, top_rows,
+    group_medians, join_ids, numbered, running, settled, top_rows,
 )
 from echotrail.plans import inputs as I
 from echotrail.plans.localization_queries import RANGES
@@ -197,14 +198,14 @@ def holdout_metrics_frame(spark, sf):
     r = C.rate
     stamped = ok & pos & c("has_timestamp")
     new = ok & (c("test_group") == "fabricated_20pct")
-    m = group_stats(settled(h), ["scope"], [
+    m = bracket_stats(settled(h), ["scope"], [
         F.count(F.lit(1)).alias("total_files"), F.count_if(ok).alias("evaluated_files"), F.count_if(~ok).alias("failed_files"),
         F.count_if(ok & exp).alias("partial_file_count"), r(ok & exp, pos).alias("partial_evidence_recall"), r(ok & ~exp, pos).alias("non_partial_false_alarm_rate"),
         *[r(ok & (c("condition") == k), pos).alias(n) for k, n in (("direct", "direct_false_partial_rate"), ("replay", "replay_false_partial_rate"),
                                                                  ("mixer", "mixer_false_partial_rate"), ("unknown", "unknown_condition_positive_rate"))],
         F.count_if(ok & pos).alias("positive_file_count"), r(ok & pos, c("broad_activation_flag")).alias("broad_activation_rate_when_positive"),
         *[r(stamped, c(f"top{n}_hit")).alias(f"top{n}_hit_rate_when_positive") for n in (1, 3, 5)],
-        F.count_if(stamped).alias("timestamp_positive_count"), r(new, pos).alias("new_partial_recall"), F.count_if(new & ~pos).alias("new_partial_false_negative_count")], "_err", {"median_timestamp_error": 0.5})
+        F.count_if(stamped).alias("timestamp_positive_count"), r(new, pos).alias("new_partial_recall"), F.count_if(new & ~pos).alias("new_partial_false_negative_count")], {"median_timestamp_error": ("_err", 0.5)})
     return rounded(m.drop("scope"))
 
 

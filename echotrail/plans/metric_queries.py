@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from echotrail.operators import metrics as M
+from echotrail.operators.ranges import ranking_from_counts, ranking_metrics
 from echotrail.operators.skew import join_keys
 from echotrail.plans import inputs as I
 from echotrail.plans.registry import query
@@ -83,12 +84,14 @@ c AS (SELECT task_name, feature_set, {CONF}, round(avg((prob - y_true) * (prob -
 SELECT c.task_name, c.feature_set, tn, fp, fn, tp, {RATES}, brier_score, roc_auc, average_precision
 FROM c JOIN r USING (task_name, feature_set)""")
 def classification(spark, sf):
-    df = I.predictions(spark, sf).withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
-    gap = F.col("prob") - F.col("y_true")
-    counts = df.groupBy(*KEYS).agg(*M.confusion_counts(F.col("y_true"), F.col("pred")),
-                                   F.avg(gap * gap).alias("brier_score"))
-    ranking = M.auc_and_ap(M.score_steps(df, KEYS, "prob", "y_true"), KEYS)
-    return rounded(join_keys(M.with_rates(counts), ranking, KEYS))
+    x, pos, neg = F.col("prob"), F.col("pos"), F.col("neg")
+    flag = x >= 0.5
+    total = lambda c, name: F.sum(c).alias(name)
+    ranking = ranking_metrics(I.predictions(spark, sf), KEYS, "prob", "y_true", [
+        total(F.when(flag, 0).otherwise(neg), "tn"), total(F.when(flag, neg).otherwise(0), "fp"),
+        total(F.when(flag, 0).otherwise(pos), "fn"), total(F.when(flag, pos).otherwise(0), "tp"),
+        (F.sum(pos * (x - 1) * (x - 1) + neg * x * x) / F.sum(pos + neg)).alias("brier_score")])
+    return rounded(M.with_rates(ranking.drop("eer")))
 
 
 @query("a20_roc_auc", f"""{P}, r AS (SELECT task_name, feature_set, y_true,
@@ -99,15 +102,13 @@ FROM (SELECT *, count(*) FILTER (y_true = 1) OVER (PARTITION BY task_name, featu
    count(*) FILTER (y_true = 0) OVER (PARTITION BY task_name, feature_set) AS n0 FROM r)
 GROUP BY task_name, feature_set, n1, n0""")
 def roc_auc(spark, sf):
-    steps = M.score_steps(I.predictions(spark, sf), KEYS, "prob", "y_true")
-    return rounded(M.auc_and_ap(steps, KEYS).drop("average_precision"))
+    return rounded(ranking_metrics(I.predictions(spark, sf), KEYS, "prob", "y_true").select(*KEYS, "roc_auc"))
 
 
 @query("a21_average_precision", f"""{P}{STEPS.format(keys='task_name, feature_set', score='prob', src='p')}
 SELECT task_name, feature_set, {AP} AS average_precision FROM steps GROUP BY ALL""")
 def average_precision(spark, sf):
-    steps = M.score_steps(I.predictions(spark, sf), KEYS, "prob", "y_true")
-    return rounded(M.auc_and_ap(steps, KEYS).drop("roc_auc"))
+    return rounded(ranking_metrics(I.predictions(spark, sf), KEYS, "prob", "y_true").select(*KEYS, "average_precision"))
 
 
 EER_TAIL = """, n AS (SELECT *, lead(pos) OVER w AS np, lead(neg) OVER w AS nn, row_number() OVER w AS rn
@@ -123,8 +124,7 @@ best AS (SELECT {keys}, round((fnr + fpr) / 2, 6) AS eer FROM pts
 {EER_TAIL.format(keys='task_name, feature_set')}
 SELECT k.task_name, k.feature_set, eer FROM (SELECT DISTINCT task_name, feature_set FROM p) k LEFT JOIN best USING (task_name, feature_set)""")
 def equal_error_rate(spark, sf):
-    steps = M.score_steps(I.predictions(spark, sf), KEYS, "prob", "y_true")
-    return rounded(M.equal_error_rate(steps, KEYS, "prob"))
+    return rounded(ranking_metrics(I.predictions(spark, sf), KEYS, "prob", "y_true").select(*KEYS, "eer"))
 
 
 SCOPED = """, x AS (SELECT 'overall' AS scope, 'all' AS value, prob, y_true FROM p
@@ -147,14 +147,9 @@ def evaluation_by_group(spark, sf):
         pair("overall", F.lit("all")), pair("task", F.col("task_name")),
         pair("feature_set", F.col("feature_set")),
         pair("is_replay", F.when(F.col("task_name") == "replay_file_model", "true").otherwise("false")))
-    spread = (dist.select(F.explode(scopes).alias("s"), "prob", "pos", "neg")
-              .groupBy("s.scope", "s.value", "prob").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-    steps = M.steps_from_counts(spread, keys, "prob")
+    spread = dist.select(F.explode(scopes).alias("s"), "prob", "pos", "neg").select("s.*", "prob", "pos", "neg")
     right = F.when(F.col("prob") >= 0.5, F.col("pos")).otherwise(F.col("neg"))
-    acc = spread.groupBy(*keys).agg(
-        F.sum(F.col("pos") + F.col("neg")).alias("samples"), F.sum(right).alias("_right"))
-    out = join_keys(join_keys(acc, M.auc_and_ap(steps, keys), keys),
-                    M.equal_error_rate(steps, keys, "prob"), keys)
+    out = ranking_from_counts(spread, keys, "prob", [F.sum(F.col("pos") + F.col("neg")).alias("samples"), F.sum(right).alias("_right")])
     return out.select(*keys, "samples", F.round(100 * F.round("eer", 6), 4).alias("eer_pct"),
                       F.round("roc_auc", 6).alias("auc"),
                       F.round(100 * F.col("_right") / F.col("samples"), 4).alias("accuracy_pct"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from echotrail.operators import profile as R
 from echotrail.operators.metrics import ratio
-from echotrail.operators.skew import group_stats, join_ids, merge_rows
+from echotrail.operators.ranges import bracket_stats
+from echotrail.operators.skew import join_ids, merge_rows
 from echotrail.plans import inputs as I
 from echotrail.plans.metric_queries import rounded
 from echotrail.plans.registry import query
@@ -59,11 +60,11 @@ UNION ALL SELECT dimension, value, count(*)::DOUBLE FROM ({long_sql(DIMS)}) GROU
 UNION ALL SELECT 'speakers_per_dataset', dataset, count(DISTINCT speaker_id)::DOUBLE FROM m GROUP BY ALL""")
 def manifest_statistics(spark, sf):
     m = I.manifest(spark, sf).withColumn("scope", F.lit("all"))
-    base = group_stats(m, ["scope"], [
+    base = bracket_stats(m, ["scope"], [
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("label") == "bonafide").alias("real_n"),
         F.count_if(F.col("label") == "spoof").alias("fake_n"), F.avg("duration").alias("duration_mean"),
         F.min("duration").alias("duration_min"), F.max("duration").alias("duration_max"),
-        F.stddev_samp("duration").alias("duration_std")], "duration", {"duration_median": 0.5})
+        F.stddev_samp("duration").alias("duration_std")], {"duration_median": ("duration", 0.5)})
     speakers = m.groupBy("scope").agg(F.countDistinct("speaker_id").alias("speakers"))
     w = merge_rows(["scope"], base, speakers)
     both = F.col("real_n") + F.col("fake_n")
@@ -139,11 +140,11 @@ def manifest_profile(spark, sf):
     m = I.manifest(spark, sf).withColumn("scope", F.lit("all"))
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     d = F.col("duration")
-    base = group_stats(m, ["scope"], [
+    base = bracket_stats(m, ["scope"], [
         F.count(F.lit(1)).alias("total_rows"), F.count_if(blank("label")).alias("missing_label"),
         F.count_if(blank("attack_type")).alias("missing_attack"),
         F.count_if(d.isNull() | (d < 0)).alias("missing_duration"), F.sum(d).alias("duration_sum"),
-        F.min(d).alias("duration_min"), F.max(d).alias("duration_max")], "duration", {"duration_median": 0.5})
+        F.min(d).alias("duration_min"), F.max(d).alias("duration_max")], {"duration_median": ("duration", 0.5)})
     uniq = m.groupBy("scope").agg(F.countDistinct("filepath").alias("unique_files"),
                                   F.countDistinct("speaker_id").alias("speakers"))
     wide = merge_rows(["scope"], base, uniq).drop("scope")

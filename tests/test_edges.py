@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from echotrail.functions import rules
 from echotrail.functions import numbers as N
-from echotrail.operators import cascade, intervals, localize, metrics, profile, quality, sampling, segments, timeline
+from echotrail.operators import cascade, intervals, localize, metrics, profile, quality, ranges, sampling, segments, timeline
 from echotrail.operators import skew
 from echotrail.operators.joins import checked_join
 from echotrail.sources import readers, sinks
@@ -23,10 +23,8 @@ def scored(spark, data):
 
 
 def roc(df):
-    steps = metrics.score_steps(df, ["k"], "s", "y")
-    r = metrics.auc_and_ap(steps, ["k"]).first()
-    e = metrics.equal_error_rate(steps, ["k"], "s").first()
-    return r["roc_auc"], r["average_precision"], e["eer"]
+    r = ranges.ranking_metrics(df, ["k"], "s", "y").first()
+    return r["roc_auc"], r["average_precision"], r["eer"]
 
 
 def test_ranking_metrics_on_ties_and_single_class(spark):
