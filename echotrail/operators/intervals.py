@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from echotrail.operators.skew import join_ids, neighbours
 
+#: How much wider the cells of a level are than those below, and the level whose single cell holds all times.
+STEP, TOP = 16, 13
+
 
 def overlap_seconds(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
@@ -35,24 +38,51 @@ def distance_to_region(s: Column, e: Column, fs: Column, fe: Column) -> Column:
                    .otherwise(mid - fe), 4)
 
 
+def level_of(length: Column, cell_sec: float) -> Column:
+    """The finest level at which an interval of this length lies in at most STEP + 1 cells."""
+    out = F.when(length <= cell_sec * STEP, 0)
+    for level in range(1, TOP):
+        out = out.when(length <= cell_sec * STEP ** (level + 1), level)
+    return out.otherwise(TOP)
+
+
+def cell_at(time: Column, level: Column, cell_sec: float) -> Column:
+    """Number of the cell that holds a time; the top level is one cell."""
+    width = F.element_at(F.lit([cell_sec * float(STEP) ** k for k in range(TOP)]), F.least(level, F.lit(TOP - 1)) + 1)
+    return F.when(level >= TOP, F.lit(0).cast("long")).otherwise(F.floor(time / width))
+
+
 def overlap_pairs(seg: DataFrame, ann: DataFrame, key: str, cell_sec: float = 60.0) -> DataFrame:
     """Overlapping (segment, annotation) pairs within a recording.
 
-    Both sides are spread over time cells and joined on (recording, cell), so a
-    very long recording with many annotations is compared cell by cell instead of
-    all against all.  A pair is kept only in the cell where its overlap begins.
+    Both sides are spread over time cells and joined on (recording, level, cell), so a very long recording with many
+    annotations is compared cell by cell instead of all against all. Cells of a level are STEP times as wide as those of the
+    level below; an interval fills its own level's cells, STEP + 1 at most, and two at most of each coarser level that
+    an interval of its recording needs. So the cells grow with the logarithm of a length, and a wrong end time costs one
+    recording a few rows. A pair meets at the coarser of its two levels and is kept only in the cell where its overlap
+    begins. Intervals without positive length, or with an unknown or NaN bound, meet nothing; endless ones are allowed.
     Columns: seg (key, start_sec, end_sec, ...), ann (key, ann_start, ann_end, ...).
     """
-    cell = lambda c: F.floor(c / cell_sec).cast("long")
-    left = seg.where(F.col("end_sec") > F.col("start_sec")).withColumn(
-        "_cell", F.explode(F.sequence(cell(F.col("start_sec")), cell(F.col("end_sec")))))
-    right = ann.where(F.col("ann_end") > F.col("ann_start")).withColumn(
-        "_cell", F.explode(F.sequence(cell(F.col("ann_start")), cell(F.col("ann_end")))))
-    pairs = join_ids(left, right, [key, "_cell"])
+    def fine(df: DataFrame, start: str, end: str) -> DataFrame:
+        known = df.where((F.col(end) > F.col(start)) & ~F.isnan(end) & ~F.isnan(start))
+        return known.withColumn("_own", level_of(F.col(end) - F.col(start), cell_sec))
+
+    left, right = fine(seg, "start_sec", "end_sec"), fine(ann, "ann_start", "ann_end")
+    coarse = left.select(key, "_own").unionByName(right.select(key, "_own")).where("_own > 0").distinct().withColumnRenamed("_own", "_level")
+
+    def spread(df: DataFrame, start: str, end: str) -> DataFrame:
+        level = F.col("_level")
+        above = join_ids(df, coarse, [key]).where(level > F.col("_own")).select(*df.columns, "_level")
+        every = df.withColumn("_level", F.col("_own")).unionByName(above)
+        cells = F.sequence(cell_at(F.col(start), level, cell_sec), cell_at(F.col(end), level, cell_sec))
+        return every.withColumn("_cell", F.explode(cells)).withColumn("_home", F.col("_own") == level).drop("_own")
+
+    sides = spread(left, "start_sec", "end_sec"), spread(right, "ann_start", "ann_end").withColumnRenamed("_home", "_home_too")
+    pairs = join_ids(*sides, [key, "_level", "_cell"]).where("_home OR _home_too")
     begin = F.greatest("start_sec", "ann_start")
     sec = F.least("end_sec", "ann_end") - begin
-    return pairs.where((sec > 0) & (F.col("_cell") == cell(begin))).drop("_cell").withColumn(
-        "overlap_sec", sec)
+    return pairs.where((sec > 0) & (F.col("_cell") == cell_at(begin, F.col("_level"), cell_sec))).drop(
+        "_cell", "_level", "_home", "_home_too").withColumn("overlap_sec", sec)
 
 
 def label_segments(seg: DataFrame, ann: DataFrame, key: str, ident: str,
