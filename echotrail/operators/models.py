@@ -1,20 +1,13 @@
-"""Feature screening, the classification pipeline, held-out predictions and centroid distances."""
+"""Feature screening and centroid distances; `newton` fits the models."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (
-    Imputer, StandardScaler, UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler,
-)
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echotrail.operators.sampling import folds_to_use, group_folds
-from echotrail.operators.skew import group_medians, join_keys, settled
+from echotrail.operators.skew import group_medians, join_keys
 
 
 def anova_f(long: DataFrame, label: str) -> DataFrame:
@@ -31,55 +24,6 @@ def anova_f(long: DataFrame, label: str) -> DataFrame:
     return between.select("feature", F.when((F.col("_k") > 1) & (inner > 0), F.col("_between") / (F.col("_k") - 1) / inner).alias("f_value"))
 
 
-def balanced_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
-    """n / (classes * class size) per row."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, k = sum(counts.values()), len(counts)
-    table = F.create_map(*[F.lit(x) for lab, n in counts.items() for x in (lab, total / (k * n))])
-    return df.withColumn(weight, F.element_at(table, F.col(label)))
-
-
-def build_pipeline(features: Sequence[str], label: str, k_best: int, weight: str = "weight") -> Pipeline:
-    """Median impute, drop constant features, standardise, ANOVA k-best, balanced L2 logistic."""
-    filled = [f"_{f}" for f in features]
-    return Pipeline(stages=[
-        Imputer(strategy="median", relativeError=0.001, inputCols=list(features), outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="_all"),
-        VarianceThresholdSelector(featuresCol="_all", outputCol="_varying", varianceThreshold=0.0),
-        StandardScaler(inputCol="_varying", outputCol="_scaled", withMean=True, withStd=True),
-        UnivariateFeatureSelector(featuresCol="_scaled", outputCol="_best", labelCol=label, selectionMode="numTopFeatures")
-        .setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(k_best),
-        LogisticRegression(featuresCol="_best", labelCol=label, weightCol=weight, regParam=0.01, elasticNetParam=0.0, maxIter=50),
-    ])
-
-
-def score(model: PipelineModel, df: DataFrame, keep: Sequence[str], threshold: float) -> DataFrame:
-    """Probability of class 1 and the decision at a threshold."""
-    p = vector_to_array("probability")[1]
-    return model.transform(df).select(*keep, p.alias("probability"), (p >= threshold).cast("int").alias("prediction_at_threshold"))
-
-
-def out_of_fold(df: DataFrame, features: Sequence[str], label: str, group: str, keep: Sequence[str],
-                folds: int, k_best: int, seed: int, threshold: float = 0.5) -> DataFrame:
-    """Held-out predictions: groups stay whole, selection and weights are fitted inside each fold.
-
-    The number of folds is lowered to the groups of the smallest class; every fold must be able to learn both classes.
-    """
-    folds = folds_to_use(df.select(group, label).distinct(), label, folds)
-    fold = group_folds(df, group, label, folds, seed).select(group, "fold")
-    data = settled(join_keys(df.select(*dict.fromkeys([*keep, group, label, *features])), fold, [group]))
-    mixed = data.groupBy("fold").agg(F.count_distinct(label).alias("k"), F.count(F.lit(1)).alias("n"))
-    if mixed.where("k < 2").count() + folds - mixed.count() > 0:
-        raise ValueError(f"some of the {folds} folds lack rows of a class")
-    out = None
-    for i in range(folds):
-        train = balanced_weights(data.where(F.col("fold") != i), label)
-        model = build_pipeline(features, label, k_best).fit(train)
-        part = score(model, data.where(F.col("fold") == i), [*keep, "fold"], threshold)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def centroid_distances(df: DataFrame, ident: str, group: str, features: Sequence[str]) -> DataFrame:
     """Root mean squared standardised distance to each group's mean vector, and the nearest group.
 

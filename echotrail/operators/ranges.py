@@ -81,11 +81,11 @@ def ranking_from_counts(df: DataFrame, keys: Sequence[str], score: str, more: Se
     before, every = down.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
     prefix = totals.select(
         *keys, "_slot", F.coalesce(F.sum("_sp").over(before), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_fp"),
-        F.sum("_sp").over(every).alias("p"), F.sum("_sn").over(every).alias("q"),
+        F.sum("_sp").over(every).alias("_p"), F.sum("_sn").over(every).alias("_q"),
         F.lead("_hp").over(down).alias("_after_pos"), F.lead("_hn").over(down).alias("_after_neg"), (F.row_number().over(down) == 1).alias("_top"))
     points = join_keys(local, prefix, [*keys, "_slot"])
     pos, neg = F.col("pos"), F.col("neg")
-    p, q = (F.nullif(F.col(c), F.lit(0)) for c in ("p", "q"))
+    p, q = (F.nullif(F.col(c), F.lit(0)) for c in ("_p", "_q"))
     tp, fp = F.col("_tp") + F.col("_lp"), F.col("_fp") + F.col("_ln")
     both = p.isNotNull() & q.isNotNull()
     straight = F.coalesce(~(F.col("_top") & F.col("_head")) & (F.coalesce("_next_pos", "_after_pos") == pos)
@@ -96,8 +96,8 @@ def ranking_from_counts(df: DataFrame, keys: Sequence[str], score: str, more: Se
     found = points.groupBy(*keys).agg(
         F.sum(neg.cast("double") * (tp - pos + pos / 2)).alias("_area"), F.sum(F.when(both & (pos > 0), pos * (tp / F.nullif(tp + fp, F.lit(0))))).alias("_ap"),
         *[f(F.when(side, c)).alias(f"_{n}{k}") for k, f, side in ((0, F.max, high), (1, F.min, low)) for n, c in (("fp", fp), ("tp", tp))],
-        F.max("p").alias("p"), F.max("q").alias("q"), *more)
-    used = {*keys, "_area", "_ap", "_fp0", "_tp0", "_fp1", "_tp1", "p", "q"}
+        F.max("_p").alias("_p"), F.max("_q").alias("_q"), *more)
+    used = {*keys, "_area", "_ap", "_fp0", "_tp0", "_fp1", "_tp1", "_p", "_q"}
     zero = F.lit(0)
     ends = [(F.coalesce("_fp0", zero), F.coalesce("_tp0", zero)), (F.col("_fp1"), F.col("_tp1"))]
     gaps = [F.abs(gap(*e)) for e in ends]

@@ -9,6 +9,7 @@ from echotrail.functions import rules as R
 from echotrail.operators import features as E
 from echotrail.operators import joins as J
 from echotrail.operators import models as ML
+from echotrail.operators import newton as N
 from echotrail.operators import quality as Q
 from echotrail.operators import sampling as X
 from echotrail.operators.profile import feature_long, issue_rows
@@ -236,12 +237,55 @@ def model_rows(spark, sf):
     return I.segments(spark, sf).select("file_id", "segment_id", *I.FEATURES, "prob", (c("f_discount") + c("f_quantity") / 1000 > 0.07).cast("int").alias("label"))
 
 
-@query("m5_pipeline_scores")
+def fitted_sql(rows: str, masks: list[str], k: int, steps: int = N.STEPS, ridge: float = N.RIDGE) -> str:
+    """Table expressions that do what `newton.fit` does: `rows` is SQL with (id, y, features), `masks` conditions over it.
+
+    Ends with `scored` (id, model, p): the chance of every row under every model.
+    """
+    d = range(k + 1)
+    z = lambda i: "1.0::DOUBLE" if i == 0 else f"z{i}"
+    line = " + ".join(f"b{i} * {z(i)}" for i in d)
+    out = [f"""r AS MATERIALIZED ({rows}),
+t AS MATERIALIZED (SELECT id, y, model, feature, place, x, train FROM (SELECT id, y, unnest({I.FEATURES}) AS feature, unnest(range({len(I.FEATURES)})) AS place,
+   unnest([{', '.join(f'{f}::DOUBLE' for f in I.FEATURES)}]) AS x, [{', '.join(masks)}] AS trains FROM r), LATERAL (SELECT unnest(range({len(masks)})) AS model, unnest(trains) AS train)),
+med AS (SELECT model, feature, quantile_cont(x, 0.5) FILTER (train) AS md FROM t GROUP BY ALL),
+cls AS (SELECT model, feature, place, y, count(*) AS n, avg(coalesce(x, md)) AS a, coalesce(var_samp(coalesce(x, md)), 0) AS s FROM t JOIN med USING (model, feature) WHERE train GROUP BY ALL),
+tot AS (SELECT model, feature, place, sum(n) AS n, sum(n * a) / sum(n) AS mean, sum((n - 1) * s) AS within FROM cls GROUP BY ALL),
+rated AS (SELECT t.model, t.feature, t.place, t.n, t.mean, t.within, sum(c.n * (c.a - t.mean) * (c.a - t.mean)) AS between_ FROM tot t JOIN cls c USING (model, feature) GROUP BY ALL),
+best AS (SELECT *, sqrt((within + between_) / (n - 1)) AS dev, row_number() OVER (PARTITION BY model ORDER BY between_ / (within / (n - 2)) DESC, place) AS rank FROM rated QUALIFY rank <= {k}),
+cw AS (SELECT model, n / (2 * n1) AS w1, n / (2 * n0) AS w0, n FROM (SELECT model, sum(n) AS n, sum(n) FILTER (y = 1) AS n1, sum(n) FILTER (y = 0) AS n0 FROM cls WHERE place = 0 GROUP BY 1)),
+d AS MATERIALIZED (SELECT t.id, t.model, any_value(t.y) AS y, any_value(t.train) AS train, {', '.join(f'max((coalesce(t.x, m.md) - b.mean) / b.dev) FILTER (b.rank = {i}) AS z{i}' for i in d[1:])}
+   FROM t JOIN best b USING (model, feature) JOIN med m USING (model, feature) GROUP BY t.id, t.model),
+w0 AS MATERIALIZED (SELECT model, {', '.join(f'0::DOUBLE AS b{i}' for i in d)} FROM cw)"""]
+    for s in range(steps):
+        grad = ", ".join(f"sum(w * (p - y) * {z(i)}) / any_value(n) + {ridge if i else 0} * any_value(b{i}) AS c0_{i}" for i in d)
+        bend = ", ".join(f"sum(w * p * (1 - p) * {z(i)} * {z(j)}) / any_value(n) + {ridge if i == j and i else 0} AS a0_{i}_{j}" for i in d for j in d)
+        out.append(f"""e{s} AS MATERIALIZED (SELECT model, {', '.join(f'any_value(b{i}) AS b{i}' for i in d)}, {grad}, {bend} FROM (
+   SELECT d.*, cw.n, CASE WHEN y = 1 THEN w1 ELSE w0 END AS w, {', '.join(f'b{i}' for i in d)}, 1 / (1 + exp(-({line}))) AS p
+   FROM d JOIN cw USING (model) JOIN w{s} USING (model) WHERE train) GROUP BY model)""")
+        solve = []  # elimination column by column, then the weights from the last to the first
+        for q in range(k):
+            for i in range(q + 1, k + 1):
+                solve += [f"a{q}_{i}_{j} - a{q}_{i}_{q} / a{q}_{q}_{q} * a{q}_{q}_{j} AS a{q + 1}_{i}_{j}" for j in range(q + 1, k + 1)]
+                solve.append(f"c{q}_{i} - a{q}_{i}_{q} / a{q}_{q}_{q} * c{q}_{q} AS c{q + 1}_{i}")
+        for i in reversed(d):
+            rest = "".join(f" - a{i}_{i}_{j} * u{j}" for j in range(i + 1, k + 1))
+            solve.append(f"(c{i}_{i}{rest}) / a{i}_{i}_{i} AS u{i}")
+        out.append(f"""w{s + 1} AS MATERIALIZED (SELECT model, {', '.join(f'b{i} - u{i} AS b{i}' for i in d)} FROM (SELECT *, {', '.join(solve)} FROM e{s}))""")
+    out.append(f"scored AS (SELECT id, model, 1 / (1 + exp(-({line}))) AS p FROM d JOIN w{steps} USING (model))")
+    return ",\n".join(out)
+
+
+MODEL_ROWS = f"""SELECT row_number() OVER () AS id, file_id, segment_id, {', '.join(I.FEATURES)}, CASE WHEN f_discount + f_quantity / 1000 > 0.07::DOUBLE THEN 1 ELSE 0 END AS y FROM ({I.SEGMENTS_SQL})"""
+
+
+@query("m5_pipeline_scores", f"""WITH {fitted_sql(MODEL_ROWS, ['file_id % 4 <> 0'], 2)}
+SELECT file_id, segment_id, y AS label, round(p, 6) AS probability, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS prediction_at_threshold
+FROM r JOIN scored USING (id) WHERE file_id % 4 = 0""")
 def pipeline_scores(spark, sf):
     rows = model_rows(spark, sf)
-    train = ML.balanced_weights(rows.where(c("file_id") % 4 != 0), "label")
-    model = ML.build_pipeline(I.FEATURES, "label", 2).fit(train)
-    return ML.score(model, rows.where(c("file_id") % 4 == 0), ["file_id", "segment_id", "label"], 0.5)
+    model = N.fit(rows, I.FEATURES, "label", {"train": c("file_id") % 4 != 0}, 2)["train"]
+    return rounded(N.score(model, rows.where(c("file_id") % 4 == 0), ["file_id", "segment_id", "label"], 0.5))
 
 
 @query("m6_anova_f", """WITH l AS (SELECT unnest(['f_quantity', 'f_price', 'f_discount', 'f_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS x, l_returnflag AS y FROM lineitem), g AS (SELECT feature, y, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM l GROUP BY ALL),
@@ -253,17 +297,43 @@ def anova_f(spark, sf):
     return rounded(ML.anova_f(feature_long(flags, li.columns, ["y"]), "y"))
 
 
-@query("m7_out_of_fold")
-def out_of_fold(spark, sf):
-    return ML.out_of_fold(model_rows(spark, sf), I.FEATURES, "label", "file_id", ["file_id", "segment_id", "label"], 3, 2, 42)
+OOF = f"""WITH base AS ({MODEL_ROWS}), x AS (SELECT file_id, avg(y) AS mm FROM base GROUP BY 1), l AS (SELECT file_id, CASE WHEN mm = 0 THEN 0 WHEN mm < 0.5 THEN 1 WHEN mm < 1 THEN 2 ELSE 3 END AS class_mix FROM x),
+fo AS (SELECT file_id, CAST((row_number() OVER (PARTITION BY class_mix ORDER BY md5(CAST(file_id AS VARCHAR) || ':42'), file_id) - 1 + class_mix) % 3 AS INTEGER) AS fold FROM l),
+{fitted_sql('SELECT base.*, fold FROM base JOIN fo USING (file_id)', ['fold <> 0', 'fold <> 1', 'fold <> 2'], 2)},
+oof AS (SELECT file_id, segment_id, y, fold, p AS raw, round(p, 9) AS prob FROM r JOIN scored s ON r.id = s.id AND r.fold = s.model)"""
+
 
+def held_out(spark, sf):
+    return N.out_of_fold(model_rows(spark, sf), I.FEATURES, "label", "file_id", ["file_id", "segment_id", "label"], 3, 2, 42)
 
-@query("m8_batch_scores")
+
+@query("m7_out_of_fold", f"""{OOF} SELECT file_id, segment_id, y AS label, fold, round(raw, 6) AS probability,
+  CASE WHEN raw >= 0.5 THEN 1 ELSE 0 END AS prediction_at_threshold FROM oof""")
+def out_of_fold(spark, sf):
+    return rounded(held_out(spark, sf))
+
+
+@query("m7_fold_metrics", f"""{OOF}, st AS (SELECT fold, prob AS score, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM oof GROUP BY ALL),
+steps AS (SELECT *, sum(pos) OVER w AS tp_, sum(neg) OVER w AS fp_, sum(pos) OVER (PARTITION BY fold) AS p, sum(neg) OVER (PARTITION BY fold) AS q FROM st WINDOW w AS (PARTITION BY fold ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT fold, sum(neg * (tp_ - pos + pos / 2)) / (max(p) * CAST(max(q) AS DOUBLE)) AS roc_auc, sum(pos * (tp_ / (tp_ + fp_))) / max(p) AS average_precision,
+   sum(neg) FILTER (score < 0.5) AS tn, sum(neg) FILTER (score >= 0.5) AS fp, sum(pos) FILTER (score < 0.5) AS fn, sum(pos) FILTER (score >= 0.5) AS tp,
+   sum(pos * (score - 1) * (score - 1) + neg * score * score) / sum(pos + neg) AS brier_score FROM steps GROUP BY fold),
+e AS (SELECT CAST(fold AS VARCHAR) AS fold, tn, fp, fn, tp, (tp + tn) / (tp + tn + fp + fn) AS accuracy, (tp / (tp + fn) + tn / (tn + fp)) / 2 AS balanced_accuracy,
+   tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, tn / (tn + fp) AS specificity, roc_auc, average_precision, brier_score FROM k),
+a AS (SELECT * FROM e UNION ALL SELECT 'mean', sum(tn), sum(fp), sum(fn), sum(tp), avg(accuracy), avg(balanced_accuracy), avg(precision), avg(recall), avg(f1), avg(specificity), avg(roc_auc), avg(average_precision), avg(brier_score) FROM e)
+SELECT fold, tn::BIGINT AS tn, fp::BIGINT AS fp, fn::BIGINT AS fn, tp::BIGINT AS tp, {', '.join(f'round({n}, 6) AS {n}' for n in (
+    'accuracy', 'balanced_accuracy', 'precision', 'recall', 'f1', 'specificity', 'roc_auc', 'average_precision', 'brier_score'))} FROM a""")
+def fold_metrics(spark, sf):
+    return rounded(N.fold_metrics(held_out(spark, sf).withColumn("probability", F.round("probability", 9)), "label", "probability"))
+
+
+@query("m8_batch_scores", f"""WITH {fitted_sql(MODEL_ROWS, ['true'], 3)}
+SELECT CASE WHEN p >= 0.6 THEN 1 ELSE 0 END AS prediction_at_threshold, count(*) AS n, round(avg(p), 6) AS mean_probability, round(avg(y), 6) AS positive_rate
+FROM r JOIN scored USING (id) GROUP BY 1""")
 def batch_scores(spark, sf):
     rows = model_rows(spark, sf)
-    model = ML.build_pipeline(I.FEATURES, "label", 3).fit(ML.balanced_weights(rows, "label"))
-    s = ML.score(model, rows, ["file_id", "label"], 0.6)
-    return s.groupBy("prediction_at_threshold").agg(F.count(F.lit(1)).alias("n"), F.avg("probability").alias("mean_probability"), F.avg("label").alias("positive_rate"))
+    s = N.score(N.fit(rows, I.FEATURES, "label", {"all": F.lit(True)}, 3)["all"], rows, ["file_id", "label"], 0.6)
+    return rounded(s.groupBy("prediction_at_threshold").agg(F.count(F.lit(1)).alias("n"), F.avg("probability").alias("mean_probability"), F.avg("label").alias("positive_rate")))
 
 
 @query("m9_nearest_group", """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS p, l_quantity AS q, l_tax AS t, l_returnflag || l_linestatus AS g FROM lineitem), st AS (SELECT median(p) AS mp, median(q) AS mq, median(t) AS mt, stddev_samp(p) AS sp, stddev_samp(q) AS sq, stddev_samp(t) AS stt FROM s),

@@ -6,8 +6,7 @@ from conftest import SMALL
 
 from echotrail.plans.catalog import ORACLES, QUERIES
 
-# results that depend on fitted models have no SQL twin
-UNCHECKED = {"m5_pipeline_scores", "m7_out_of_fold", "m8_batch_scores"}
+UNCHECKED: set[str] = set()
 # queries whose work runs through the group operators of operators/skew.py
 SPLIT = ["w1_percent_rank", "w2_min_rank", "w3_first_rank", "w4_neighbour_ids", "w5_neighbour_deltas",
          "w8_baseline_margins", "w10_live_features", "w11_candidate_classes", "w16_suspicious_regions",
