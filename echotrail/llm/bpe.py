@@ -42,7 +42,7 @@ def printable_bytes() -> dict[str, int]:
 class Vocabulary:
     """Tokens as bytes, merge ranks and special tokens of a tokenizer file's content."""
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, merges: bool = True) -> None:
         spec = json.loads(file)
         of = printable_bytes()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -57,7 +57,7 @@ class Vocabulary:
             self.tokens[i] = text.encode()
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[tuple[int, int], int] = {}
-        for r, merge in enumerate(spec["model"]["merges"]):
+        for r, merge in enumerate(spec["model"]["merges"] if merges else []):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             pair = (self.ids[bytes(of[c] for c in a)], self.ids[bytes(of[c] for c in b)])
             whole = self.ids[self.tokens[pair[0]] + self.tokens[pair[1]]]
@@ -204,7 +204,8 @@ def encoder(file: str, kept: int) -> Encoder:
 
 @lru_cache(1)
 def token_bytes(file: str) -> list[bytes]:
-    return Vocabulary(file).tokens
+    """Tokens as bytes, without the merges, which decoding does not need."""
+    return Vocabulary(file, merges=False).tokens
 
 
 def vocabulary_file(path: str) -> str:
@@ -228,6 +229,25 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", kept
     return source.mapInArrow(run, passed(source, keep, "ids binary, n_tokens long"))
 
 
+def recode(docs: DataFrame, path: str, keep: list[str], text: str = "text", kept: int = PIECES_KEPT) -> DataFrame:
+    """The kept columns with ids and n_tokens as `encode` gives them and decoded as `decode` does, in one pass: a worker holds
+    one vocabulary, and the ids do not go back and forth."""
+    file, source = vocabulary_file(path), docs.select(*keep, docs[text].alias("__text"))
+
+    def run(batches):
+        for batch, texts in small_batches(batches, "__text"):
+            coder = encoder(file, kept)
+            flat, counts = coder.encode(texts)
+            token, ends = coder.v.tokens.__getitem__, np.cumsum(counts)
+            spans = [slice(e - k, e) for e, k in zip(ends.tolist(), counts.tolist(), strict=True)]
+            ids = pa.array([flat[s].astype("<u4").tobytes() for s in spans], pa.binary())
+            back = pa.array([b"".join(map(token, flat[s].tolist())).decode("utf-8", "replace") for s in spans], pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ids, pa.array(counts, pa.int64()), back],
+                                             names=[*keep, "ids", "n_tokens", "decoded"])
+
+    return source.mapInArrow(run, passed(source, keep, "ids binary, n_tokens long, decoded string"))
+
+
 def decode(frame: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:
     """The kept columns with the text that the ids stand for; bytes that are no UTF-8 become U+FFFD, null ids empty."""
     file, source = vocabulary_file(path), frame.select(*keep, frame[ids].alias("__ids"))

@@ -63,9 +63,8 @@ FROM split s LEFT JOIN (SELECT doc_id, sum(v) AS v FROM valued GROUP BY doc_id)
 @query
 def op2_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Token count, digest of the ids and digest of the decoded text of every document."""
-    coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary(), ["doc_id"])
-    back = bpe.decode(coded.withColumn("ids_sha256", F.sha2("ids", 256)), vocabulary(), ["doc_id", "n_tokens", "ids_sha256"])
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    back = bpe.recode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary(), ["doc_id"])
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 @query

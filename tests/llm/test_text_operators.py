@@ -48,6 +48,14 @@ def test_bpe_equals_the_library(spark, texts, tokenizer):
             assert r["decoded"] == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_one_pass_equals_encoding_then_decoding(spark, texts):
+    docs = texts.select("doc_id", "text", "ids", "hash")
+    both = bpe.decode(bpe.encode(docs, PATH, ["doc_id", "text"]), PATH, ["doc_id", "text", "ids", "n_tokens"])
+    once = bpe.recode(docs, PATH, ["doc_id", "text"])
+    assert once.columns == both.columns and sorted(map(str, once.collect())) == sorted(map(str, both.collect()))
+    assert bpe.recode(docs.limit(0), PATH, ["doc_id", "hash"]).count() == 0
+
+
 def test_bpe_decodes_broken_bytes(spark, tokenizer):
     ids = [tokenizer.encode("é🎉").ids[k:] for k in range(3)]
     df = spark.createDataFrame([(k, np.array(x, "<u4").tobytes()) for k, x in enumerate(ids)] + [(9, None)], "k int, ids binary")
