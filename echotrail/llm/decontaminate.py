@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echotrail.llm.common import let
+from echotrail.llm.common import let, settled
 
 WINDOW, LEAST_TOKENS, COVERAGE, BROADCAST_ROWS = 8, 5, 0.5, 500_000
 #: Tokens of a window of written tokens, of a run of them that is a leak, and the share of an item's tokens that is one.
@@ -110,13 +110,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     words = F.filter(F.split(template_text(F.col("text")), r"\s"), lambda x: x != "")
     plain_docs = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("mark"))
     worded, said = plain_docs.withColumn("words", words), plain_docs.withColumn("words", written(F.col("text")))
-    found = [(worded if size > 0 else said).select("doc_id", "mark", "text", F.posexplode(window_hashes(F.col("words"), abs(size))).alias("place", "hash"))
+    # a window's row carries no text: whole texts are read again for the few documents that may leak
+    found = [(worded if size > 0 else said).select("doc_id", "mark", F.posexplode(window_hashes(F.col("words"), abs(size))).alias("place", "hash"))
              .withColumn("size", F.lit(size)).join(parts, ["hash", "size"]) for size in sorted(measured[1] or [window])]
     found = reduce(DataFrame.unionByName, found)
     runs = found.groupBy("doc_id", "mark", "item_id", "size", (F.col("place") + 1 - F.col("at")).alias("offset")).agg(
-        F.collect_set("at").alias("ats"), F.first("text").alias("text"))
+        F.collect_set("at").alias("ats"))
     pairs = runs.groupBy("doc_id", "mark", "item_id").agg(
-        F.collect_list(F.struct("size", "offset", "ats")).alias("all"), F.first("text").alias("text")).join(totals, "item_id")
+        F.collect_list(F.struct("size", "offset", "ats")).alias("all")).join(totals, "item_id")
     pairs = pairs.withColumn("runs", F.filter("all", lambda r: r["size"] > 0)).withColumn(
         "length", F.aggregate(F.filter("all", lambda r: r["size"] < 0), F.lit(0), lambda n, r: F.greatest(n, longest(r["ats"]) + (WRITTEN - 1))))
     tokens_of = lambda r: F.flatten(F.transform(r["ats"], lambda a: F.sequence(a, a + r["size"] - 1)))
@@ -124,7 +125,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     reached = lambda rs: F.size(F.array_distinct(F.flatten(F.transform(rs, tokens_of))))
     enough = lambda rs: (F.size(rs) > 0) & ((held(rs) >= coverage * F.col("n_windows")) | (reached(rs) >= REACHED * F.size("w")))
     copied = (F.col("length") > 0) & (F.col("length") >= F.least(F.lit(EXACT), F.col("n_said")))
-    pairs = pairs.where(copied | enough(F.col("runs")))
+    pairs = settled(pairs.where(copied | enough(F.col("runs"))).drop("all"), "leak-pairs")
+    asked = settled(pairs.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "leak-documents")
+    same_text = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))
+    few = asked.count() <= broadcast_rows
+    whole = plain_docs.join(F.broadcast(asked) if few else asked, same_text, "left_semi").dropDuplicates(["doc_id", "mark"])
+    pairs = pairs.join(whole.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "text"), same_text).drop("__id", "__mark")
 
     def slots(own: Column, r: Column) -> Column:
         places = F.filter(F.array_distinct(tokens_of(r)), lambda p: F.element_at("w", p)["t"].isin(NUMBER, NAME, UNIT))
