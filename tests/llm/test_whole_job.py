@@ -9,7 +9,7 @@ from edge_rows import SMALL  # noqa: F401
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from echotrail.llm import decontaminate, lm_score, quality_ftrl, vector_dedup
+from echotrail.llm import decontaminate, lm_score, near_copies, quality_ftrl, vector_dedup
 from echotrail.llm.common import labelled_sample, table
 
 
@@ -53,6 +53,27 @@ def test_near_dedup_reaches_a_similarity_of_eight_tenths(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs.repartition(5), SMALL).collect()} == want
 
 
+@pytest.mark.parametrize("many", [300, 600])
+def test_templates_are_no_candidates(spark, monkeypatch, many):
+    """Texts that share most of their words but are not similar cost a few comparisons each, not one for every other text."""
+    rng = random.Random(6)
+    common = " ".join(f"c{k}" for k in range(200))
+    rows = [(k, common + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for k in range(many)]
+    rows += [(many + k, rows[k][1] + " end") for k in range(20)]
+    compared, similar = [], near_copies.similar
+    monkeypatch.setattr(near_copies, "similar", lambda pairs, *rest: compared.append(pairs.count()) or similar(pairs, *rest))
+    kept = near_copies.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(many))
+    assert sum(compared) < 10 * many
+
+
+def test_near_dedup_of_null_ids_and_repeated_rows(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(None, a), (3, a + " more"), (None, b), (None, b), (7, None), (5, " ")]
+    kept = near_copies.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["text"]) for r in kept} == {(3, a + " more"), (None, b), (5, " ")} and len(kept) == 3
+
+
 def test_vector_groups_are_bounded_on_both_sides(spark, monkeypatch):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(300, 64))
