@@ -1,12 +1,15 @@
 """LM scoring: stupid-backoff scores from n-gram counts over the whole corpus, summed per document.
 
 A word's score is log(count of its n-gram / count of the n-gram's context) for the longest order whose n-gram occurs at
-least `min_count` times; each order backed off adds log(0.4); a single word scores log(count / all words). Documents are
-dealt evenly into parts. Each part lists its distinct n-grams (64-bit hashes) with their counts, cut into ranges of the
-hash; the count table of a range is their sum, and a join in that range answers every part with the totals of its own
-n-grams. The documents are written with their parts before, so that a lost executor or another split of the input cannot
-move one between listing and lookup. Parts then look up all positions and sum per document. An n-gram leaves a part once however often it occurs, so
-a frequent n-gram is no hot key; the numbers of parts and ranges follow the corpus, so groups keep their size.
+least `min_count` times; each order backed off adds log(0.4); a single word scores log(count / all words). Documents
+stay where they are: a part is a block of rows of one input file, known by file and row number, so that another reading
+or a lost executor finds the same parts. Passages of a part list their distinct n-grams (64-bit hashes) with their counts,
+cut into ranges of the hash; the count table of a range is their sum, and a join in that range answers every part with
+the totals of its own n-grams, as small files by part in the shared folder. An n-gram can reach `min_count` only if
+its first and last n - 1 words do, so longer orders are asked in a second pass, where both shorter ones were answered; n-grams
+below `min_count` get no answer. Tasks then look up all positions and sum per document. Texts are never shuffled. An
+n-gram leaves a passage once however often it occurs, so a frequent n-gram is no hot key; rows of a part and the number
+of ranges follow the corpus, so groups keep their size.
 
 Hash equality stands for n-gram equality (64 bits). Words are separated by ASCII white space. Null and empty texts have
 no words and the score 0. Repeated rows count, and are scored, each. An empty table gives no rows. Ids, nulls included,
@@ -15,25 +18,33 @@ pass through; other columns are not kept unless named.
 
 from __future__ import annotations
 
+import itertools
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echotrail.llm.common import Numbered, passed, settled, small_batches
+from echotrail.llm.token_files import opened
+from echotrail.session import scratch_path
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
-#: Bytes of text of a part, and of the corpus for each range of hashes.
+#: Bytes of text of a passage (and, on average, of a part), and of the corpus for each range of hashes.
 PART, RANGE, WORDS_KEPT = 12_000_000, 8_000_000, 300_000
+ASKED = pa.schema([("part", pa.int64()), ("gram", pa.int32()), ("slot", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def packed(numbers: np.ndarray) -> bytes:
     """Unsigned numbers byte plane by byte plane: planes of small numbers are zeros and compress away."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes()
 
 
 def unpacked(data: bytes, kind: str) -> np.ndarray:
@@ -66,34 +77,103 @@ def gram_hashes(table: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarra
     return counts, out
 
 
-def ask(order: int, ranges: int):
-    """For a part: rows (part, gram, slot, hashes, counts), the distinct n-grams of each order by range of hash."""
+def passages(batches, keep: list[str]):
+    """Tables of consecutive rows of one part with at most about PART bytes of text (one text at least)."""
+    held, size = [], 0
+    for batch in batches:
+        parts = batch.column("part").to_numpy()
+        cuts = [0, *(np.nonzero(np.diff(parts))[0] + 1), batch.num_rows]
+        for a, b in itertools.pairwise(cuts):
+            for piece, _ in small_batches([batch.slice(a, b - a)], "text", PART):
+                more = pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
+                if held and (size + more > PART or held[0].column("part")[0] != piece.column("part")[0]):
+                    yield pa.Table.from_batches(held).select([*keep, "part", "text"])
+                    held, size = [], 0
+                held.append(piece)
+                size += more
+    if held:
+        yield pa.Table.from_batches(held).select([*keep, "part", "text"])
+
+
+def known(folder: str, part: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each order the sorted hashes of a part's n-grams that were answered, and their totals."""
+    system, base = opened(folder)
+    path = f"{base}/part={part}"
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return {}
+    files = [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
+    found = pa.concat_tables([pq.read_table(f, columns=["gram", "hashes", "totals"], filesystem=system, partitioning=None) for f in files])
+    out, orders = {}, found.column("gram").to_numpy()
+    for n in np.unique(orders):
+        rows = found.filter(orders == n)
+        grams = np.concatenate([np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in rows.column("hashes").to_pylist()])
+        totals = np.concatenate([unpacked(x, "<u8") for x in rows.column("totals").to_pylist()])
+        grams, first = np.unique(grams, return_index=True)
+        out[int(n)] = grams, totals[first]
+    return out
+
+
+def looked_up(values: np.ndarray, answers: tuple[np.ndarray, np.ndarray] | None, missing: int) -> np.ndarray:
+    """Totals of n-gram hashes; `missing` for those not answered."""
+    if answers is None or not len(answers[0]):
+        return np.full(len(values), missing, np.uint64)
+    grams, totals = answers
+    at = np.minimum(np.searchsorted(grams, values), len(grams) - 1)
+    return np.where(grams[at] == values, totals[at], np.uint64(missing))
+
+
+def ask(orders: list[int], ranges: int, shorter: str | None):
+    """Rows (part, gram, slot, hashes, counts): the distinct n-grams of each passage, by range of hash.
+
+    With `shorter`, the folder of the answers for the order below, only n-grams whose two shorter ones were answered.
+    """
     edges = np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
 
-    def run(key, table):
-        rows = []
-        for n, values in enumerate(gram_hashes(table, order)[1], 1):
-            grams, times = np.unique(values[values > 0], return_counts=True)
-            cuts = np.append(np.searchsorted(grams, edges), len(grams))
-            for slot in np.nonzero(np.diff(cuts))[0]:
-                a, b = cuts[slot], cuts[slot + 1]
-                rows.append((key[0].as_py(), n, int(slot), packed(np.diff(grams[a:b], prepend=np.uint64(0))), packed(times[a:b].astype(np.uint32))))
-        return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(
-            (("part", pa.int32()), ("gram", pa.int32()), ("slot", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())))})
+    def run(batches):
+        part, answers = None, {}
+        for texts in passages(batches, []):
+            own = texts.column("part")[0].as_py()
+            if shorter and own != part:
+                part, answers = own, known(shorter, own)
+            hashes, rows = gram_hashes(texts, max(orders))[1], []
+            for n in orders:
+                values = hashes[n - 1]
+                if shorter:
+                    live = looked_up(hashes[n - 2], answers.get(n - 1), 0) > 0
+                    live[1:] &= live[:-1]
+                    values = values[live]
+                grams, times = np.unique(values[values > 0], return_counts=True)
+                cuts = np.append(np.searchsorted(grams, edges), len(grams))
+                for slot in np.nonzero(np.diff(cuts))[0]:
+                    a, b = cuts[slot], cuts[slot + 1]
+                    rows.append((own, n, int(slot), packed(np.diff(grams[a:b], prepend=np.uint64(0))), packed(times[a:b].astype(np.uint32))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ASKED)], schema=ASKED)
 
     return run
 
 
-def answer(table):
-    """For one order and range: the count table summed over all parts, joined back to each part's n-grams."""
-    grams = [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in table.column("hashes").to_pylist()]
-    times = np.concatenate([unpacked(x, "<u4") for x in table.column("counts").to_pylist()])
-    kinds, where = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.bincount(where, times, len(kinds)).astype(np.uint64)[where]
-    ends = np.cumsum([len(g) for g in grams])
-    return pa.table({"part": table.column("part"), "gram": table.column("gram"), "slot": table.column("slot"),
-                     "totals": pa.array([packed(totals[e - len(g):e]) for g, e in zip(grams, ends, strict=True)], pa.binary()),
-                     "words": pa.array([int(unpacked(x, "<u4").sum()) for x in table.column("counts").to_pylist()], pa.int64())})
+def answer(min_count: int):
+    """For one order and range: the count table summed over all passages, joined back to each passage's n-grams.
+
+    N-grams below `min_count` get no answer; single words get one from two occurrences on.
+    """
+    def run(key, table):
+        least = 2 if key[0].as_py() == 1 else min_count
+        grams = [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in table.column("hashes").to_pylist()]
+        times = np.concatenate([unpacked(x, "<u4") for x in table.column("counts").to_pylist()])
+        kinds, where = np.unique(np.concatenate(grams), return_inverse=True)
+        totals = np.bincount(where, times, len(kinds)).astype(np.uint64)[where]
+        ends = np.cumsum([len(g) for g in grams])
+        packs = []
+        for e, g in zip(ends, grams, strict=True):
+            own = totals[e - len(g):e]
+            seen = own >= least
+            packs.append((packed(np.diff(g[seen], prepend=np.uint64(0))), packed(own[seen])))
+        return pa.table({"part": table.column("part"), "gram": table.column("gram"),
+                         "hashes": pa.array([h for h, _ in packs], pa.binary()), "totals": pa.array([t for _, t in packs], pa.binary()),
+                         "words": pa.array([int(unpacked(x, "<u4").sum()) for x in table.column("counts").to_pylist()], pa.int64())})
+
+    return run
 
 
 def backed_off(counts: np.ndarray, totals: list[np.ndarray], words: int, min_count: int, backoff: float) -> np.ndarray:
@@ -106,35 +186,48 @@ def backed_off(counts: np.ndarray, totals: list[np.ndarray], words: int, min_cou
         found = np.log(np.maximum(totals[n - 1], 1) / np.maximum(context, 1))
         value = np.where(seen, found, np.where(place >= n - 1, value + np.log(backoff), value))
     owner = np.repeat(np.arange(len(counts)), counts)
-    return np.bincount(owner, value, len(counts))
+    return np.bincount(owner, value, len(counts)).astype(float)
 
 
 def score(docs: DataFrame, keep: list[str], order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF) -> DataFrame:
     """The kept columns with n_words and lm_score, the sum of the words' log scores."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts, ranges = -(-size // PART) or 1, -(-size // RANGE) or 1
-    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
-    dealt = docs.select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(keep)], "text", part.alias("part"))
-    dealt = settled(dealt, "dealt-documents")  # both uses below must see a document in the same part
-    asked = dealt.groupBy("part").applyInArrow(ask(order, ranges), "part int, gram int, slot int, hashes binary, counts binary")
-    replies = settled(asked.groupBy("gram", "slot").applyInArrow(answer, "part int, gram int, slot int, totals binary, words long"), "gram-totals")
-    words = replies.where("gram = 1").agg(F.sum("words")).first()[0] or 0
-    names = [f"__{k}" for k in range(len(keep))]
-
-    def run(key, left, right):
-        if not left.num_rows:
-            return pa.table({f.name: pa.array([], f.type) for f in left.select(names).schema} | {"n_words": pa.array([], pa.int64()), "lm_score": pa.array([], pa.float64())})
-        counts, grams = gram_hashes(left, order)
-        right = right.sort_by([("gram", "ascending"), ("slot", "ascending")])
-        orders, packs = right.column("gram").to_numpy(), right.column("totals")
-        totals = []
-        for n, values in enumerate(grams, 1):
-            kinds, where = np.unique(values, return_inverse=True)
-            own = [unpacked(packs[k].as_py(), "<u8") for k in np.nonzero(orders == n)[0]]
-            own = np.concatenate([np.zeros(int(len(kinds) > 0 and kinds[0] == 0), np.uint64), *own])
-            totals.append(own[where].astype(np.float64))
-        return pa.Table.from_arrays([*[left.column(c) for c in names], pa.array(counts), pa.array(backed_off(counts, totals, words, min_count, backoff))],
-                                    names=[*names, "n_words", "lm_score"])
-
-    out = dealt.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(run, passed(dealt, names, "n_words long, lm_score double"))
+    spark, names = docs.sparkSession, [f"__{k}" for k in range(len(keep))]
+    place = ["_metadata.file_path", "_metadata.row_index"]
+    try:
+        docs.select(*place)
+    except AnalysisException:  # not a plain scan: write it, so that rows have places
+        docs = settled(docs.select(*dict.fromkeys([*keep, "text"])), "placed-documents")
+    size, count = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    ranges, rows = -(-(size or 0) // RANGE) or 1, max(1, PART * count // (size or 1))
+    placed = docs.select(*[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)], "text",
+                         F.xxhash64(place[0], F.floor(F.col(place[1]) / rows)).alias("part"))
+    texts = placed.select("text", "part")
+
+    def answered(orders: list[int], shorter: str | None) -> str:
+        asked = texts.mapInArrow(ask(orders, ranges, shorter), "part long, gram int, slot int, hashes binary, counts binary")
+        replies = asked.groupBy("gram", "slot").applyInArrow(answer(min_count), "part long, gram int, hashes binary, totals binary, words long")
+        path = scratch_path(spark, "gram-totals")
+        replies.repartition("part").write.partitionBy("part").parquet(path)
+        return path
+
+    folders = [answered([1, 2][:order], None)]
+    for n in range(3, order + 1):
+        folders.append(answered([n], folders[-1]))
+    schema = "gram int, hashes binary, totals binary, words long, part long"
+    words = spark.read.schema(schema).parquet(folders[0]).where("gram = 1").agg(F.sum("words")).first()[0] or 0
+
+    def run(batches):
+        part, answers = None, {}
+        for table in passages(batches, names):
+            own = table.column("part")[0].as_py()
+            if own != part:
+                part, answers = own, {}
+                for folder in folders:
+                    answers |= known(folder, own)
+            counts, grams = gram_hashes(table, order)
+            totals = [looked_up(values, answers.get(n), int(n == 1)).astype(np.float64) for n, values in enumerate(grams, 1)]
+            columns = [*[table.column(c) for c in names], pa.array(counts, pa.int64()), pa.array(backed_off(counts, totals, words, min_count, backoff), pa.float64())]
+            yield from pa.Table.from_arrays(columns, names=[*names, "n_words", "lm_score"]).to_batches()
+
+    out = placed.mapInArrow(run, passed(placed, names, "n_words long, lm_score double"))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "n_words", "lm_score")
