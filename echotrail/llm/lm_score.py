@@ -39,6 +39,8 @@ ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 #: Bytes of text of a passage (and, on average, of a part), and of the corpus for each range of hashes.
 PART, RANGE, WORDS_KEPT = 12_000_000, 8_000_000, 300_000
 ASKED = pa.schema([("part", pa.int64()), ("gram", pa.int32()), ("slot", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+ANSWERED = pa.schema([("part", pa.int64()), ("gram", pa.int32()), ("slot", pa.int32()), ("shift", pa.int32()), ("hashes", pa.binary()),
+                      ("totals", pa.binary()), ("words", pa.int64())])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,31 +97,41 @@ def passages(batches, keep: list[str]):
         yield pa.Table.from_batches(held).select([*keep, "part", "text"])
 
 
-def known(folder: str, part: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each order the sorted hashes of a part's n-grams that were answered, and their totals."""
+def known(folder: str, part: int) -> list[dict]:
+    """The answers for a part's n-grams: rows (gram, slot, shift, hashes, totals)."""
     system, base = opened(folder)
     path = f"{base}/part={part}"
     if system.get_file_info(path).type == fs.FileType.NotFound:
-        return {}
+        return []
     files = [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
-    found = pa.concat_tables([pq.read_table(f, columns=["gram", "hashes", "totals"], filesystem=system, partitioning=None) for f in files])
-    out, orders = {}, found.column("gram").to_numpy()
-    for n in np.unique(orders):
-        rows = found.filter(orders == n)
-        grams = np.concatenate([np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in rows.column("hashes").to_pylist()])
-        totals = np.concatenate([unpacked(x, "<u8") for x in rows.column("totals").to_pylist()])
-        grams, first = np.unique(grams, return_index=True)
-        out[int(n)] = grams, totals[first]
+    columns = ["gram", "slot", "shift", "hashes", "totals"]
+    return pa.concat_tables([pq.read_table(f, columns=columns, filesystem=system, partitioning=None) for f in files]).to_pylist()
+
+
+def looked_up(values: np.ndarray, answers: list[dict], gram: int, edges: np.ndarray, missing: int) -> np.ndarray:
+    """Totals of n-gram hashes that were asked for; `missing` for those not answered."""
+    kinds, where = np.unique(values, return_inverse=True)
+    found = np.full(len(kinds), missing, np.uint64)
+    cuts = np.append(np.searchsorted(kinds, edges), len(kinds))
+    for row in answers:
+        own = slice(cuts[row["slot"]], cuts[row["slot"] + 1])
+        grams = np.cumsum(unpacked(row["hashes"], "<u8"), dtype=np.uint64)
+        if row["gram"] == gram and own.start < own.stop and len(grams):
+            short = kinds[own] >> np.uint64(row["shift"])
+            at = np.minimum(np.searchsorted(grams, short), len(grams) - 1)
+            found[own] = np.where(grams[at] == short, unpacked(row["totals"], "<u8")[at], np.uint64(missing))
+    return found[where]
+
+
+def live(totals: np.ndarray) -> np.ndarray:
+    """Where an n-gram can count: both n-grams one word shorter were answered."""
+    out = totals > 0
+    out[1:] &= out[:-1].copy()
     return out
 
 
-def looked_up(values: np.ndarray, answers: tuple[np.ndarray, np.ndarray] | None, missing: int) -> np.ndarray:
-    """Totals of n-gram hashes; `missing` for those not answered."""
-    if answers is None or not len(answers[0]):
-        return np.full(len(values), missing, np.uint64)
-    grams, totals = answers
-    at = np.minimum(np.searchsorted(grams, values), len(grams) - 1)
-    return np.where(grams[at] == values, totals[at], np.uint64(missing))
+def slot_edges(ranges: int) -> np.ndarray:
+    return np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
 
 
 def ask(orders: list[int], ranges: int, shorter: str | None):
@@ -127,10 +139,10 @@ def ask(orders: list[int], ranges: int, shorter: str | None):
 
     With `shorter`, the folder of the answers for the order below, only n-grams whose two shorter ones were answered.
     """
-    edges = np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
+    edges = slot_edges(ranges)
 
     def run(batches):
-        part, answers = None, {}
+        part, answers = None, []
         for texts in passages(batches, []):
             own = texts.column("part")[0].as_py()
             if shorter and own != part:
@@ -139,9 +151,7 @@ def ask(orders: list[int], ranges: int, shorter: str | None):
             for n in orders:
                 values = hashes[n - 1]
                 if shorter:
-                    live = looked_up(hashes[n - 2], answers.get(n - 1), 0) > 0
-                    live[1:] &= live[:-1]
-                    values = values[live]
+                    values = values[live(looked_up(hashes[n - 2], answers, n - 1, edges, 0))]
                 grams, times = np.unique(values[values > 0], return_counts=True)
                 cuts = np.append(np.searchsorted(grams, edges), len(grams))
                 for slot in np.nonzero(np.diff(cuts))[0]:
@@ -152,26 +162,37 @@ def ask(orders: list[int], ranges: int, shorter: str | None):
     return run
 
 
+def shortest(grams: np.ndarray) -> int:
+    """The most low bits that sorted distinct numbers can lose and still differ."""
+    return int(np.min(grams[1:] ^ grams[:-1])).bit_length() - 1 if len(grams) > 1 else 0
+
+
 def answer(min_count: int):
-    """For one order and range: the count table summed over all passages, joined back to each passage's n-grams.
+    """For one order and range: the count table summed over all passages, joined back to each part's n-grams.
 
-    N-grams below `min_count` get no answer; single words get one from two occurrences on.
+    N-grams below `min_count` get no answer; single words get one from two occurrences on. Hashes are cut to the leading
+    bits that tell the n-grams which the part asked for apart, unanswered ones included, so a lookup stays exact.
     """
     def run(key, table):
         least = 2 if key[0].as_py() == 1 else min_count
+        table = table.sort_by("part")
+        parts = table.column("part").to_numpy()
         grams = [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in table.column("hashes").to_pylist()]
         times = np.concatenate([unpacked(x, "<u4") for x in table.column("counts").to_pylist()])
-        kinds, where = np.unique(np.concatenate(grams), return_inverse=True)
-        totals = np.bincount(where, times, len(kinds)).astype(np.uint64)[where]
         ends = np.cumsum([len(g) for g in grams])
-        packs = []
-        for e, g in zip(ends, grams, strict=True):
-            own = totals[e - len(g):e]
-            seen = own >= least
-            packs.append((packed(np.diff(g[seen], prepend=np.uint64(0))), packed(own[seen])))
-        return pa.table({"part": table.column("part"), "gram": table.column("gram"),
-                         "hashes": pa.array([h for h, _ in packs], pa.binary()), "totals": pa.array([t for _, t in packs], pa.binary()),
-                         "words": pa.array([int(unpacked(x, "<u4").sum()) for x in table.column("counts").to_pylist()], pa.int64())})
+        grams = np.concatenate(grams)
+        kinds, where = np.unique(grams, return_inverse=True)
+        totals = np.bincount(where, times, len(kinds)).astype(np.uint64)
+        del grams
+        first = np.nonzero(np.append(True, parts[1:] != parts[:-1]))[0]
+        stops = ends[np.append(first[1:], len(parts)) - 1]
+        rows = []
+        for part, a, b in zip(parts[first], np.append(0, stops[:-1]), stops, strict=True):
+            own = np.unique(where[a:b])
+            shift = np.uint64(shortest(kinds[own]))
+            seen = own[totals[own] >= least]
+            rows.append((part, key[0].as_py(), key[1].as_py(), int(shift), packed(np.diff(kinds[seen] >> shift, prepend=np.uint64(0))), packed(totals[seen]), int(times[a:b].sum())))
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ANSWERED)], schema=ANSWERED)
 
     return run
 
@@ -205,27 +226,30 @@ def score(docs: DataFrame, keep: list[str], order: int = ORDER, min_count: int =
 
     def answered(orders: list[int], shorter: str | None) -> str:
         asked = texts.mapInArrow(ask(orders, ranges, shorter), "part long, gram int, slot int, hashes binary, counts binary")
-        replies = asked.groupBy("gram", "slot").applyInArrow(answer(min_count), "part long, gram int, hashes binary, totals binary, words long")
+        replies = asked.groupBy("gram", "slot").applyInArrow(answer(min_count), "part long, gram int, slot int, shift int, hashes binary, totals binary, words long")
         path = scratch_path(spark, "gram-totals")
-        replies.repartition("part").write.partitionBy("part").parquet(path)
+        replies.repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(path)
         return path
 
     folders = [answered([1, 2][:order], None)]
     for n in range(3, order + 1):
         folders.append(answered([n], folders[-1]))
-    schema = "gram int, hashes binary, totals binary, words long, part long"
+    schema = "gram int, words long, part long"
     words = spark.read.schema(schema).parquet(folders[0]).where("gram = 1").agg(F.sum("words")).first()[0] or 0
 
     def run(batches):
-        part, answers = None, {}
+        part, answers, edges = None, [], slot_edges(ranges)
         for table in passages(batches, names):
             own = table.column("part")[0].as_py()
             if own != part:
-                part, answers = own, {}
-                for folder in folders:
-                    answers |= known(folder, own)
+                part, answers = own, [row for folder in folders for row in known(folder, own)]
             counts, grams = gram_hashes(table, order)
-            totals = [looked_up(values, answers.get(n), int(n == 1)).astype(np.float64) for n, values in enumerate(grams, 1)]
+            totals = []
+            for n, values in enumerate(grams, 1):
+                if n > 2:  # the others were not asked for
+                    values = np.where(live(totals[-1]), values, np.uint64(0))
+                found = looked_up(values, answers, n, edges, int(n == 1)).astype(np.float64)
+                totals.append(found if n == 1 else np.where(values > 0, found, 0.0))
             columns = [*[table.column(c) for c in names], pa.array(counts, pa.int64()), pa.array(backed_off(counts, totals, words, min_count, backoff), pa.float64())]
             yield from pa.Table.from_arrays(columns, names=[*names, "n_words", "lm_score"]).to_batches()
 
