@@ -32,6 +32,16 @@ def csv_text(spark, sf):
     return S.read_csv_text(spark, path)
 
 
+@query("s2_csv_mixed_headers", f"WITH r AS ({I.RAW_SQL}) SELECT CAST(row_id AS VARCHAR) AS row_id, nullif(trim(labels_raw), '') AS labels_raw, CASE WHEN row_id % 3 = 1 THEN nullif(trim(hint_raw), '') END AS hint_raw, CASE WHEN row_id % 3 <> 2 THEN nullif(trim(number_raw), '') END AS number_raw FROM r")
+def csv_mixed_headers(spark, sf):
+    r = I.raw_labels(spark, sf)
+    path = scratch_path(spark, "mixed")
+    # three layouts in one folder: two orders of columns, one column more, one less
+    for k, names in enumerate((["row_id", "labels_raw", "number_raw"], ["number_raw", "hint_raw", "row_id", "labels_raw"], ["labels_raw", "row_id"])):
+        r.where(c("row_id") % 3 == k).select(*names).write.mode("append").option("header", True).option("escape", '"').csv(path)
+    return S.read_csv_folder(spark, path).select("row_id", "labels_raw", "hint_raw", "number_raw")
+
+
 @query("s3_pruned_scan", "SELECT l_orderkey AS file_id, l_discount AS score FROM lineitem")
 def pruned_scan(spark, sf):
     return I.table(spark, sf, "lineitem").select(c("l_orderkey").alias("file_id"), c("l_discount").alias("score"))

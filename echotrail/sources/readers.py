@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +46,36 @@ def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False, keep
     return raw if keep_blank else raw.select(*[not_blank(F.col(f"`{n}`")).alias(n) for n in names])
 
 
+def csv_layouts(spark: SparkSession, path: str, multi_line: bool = False, keep_blank: bool = False) -> list[DataFrame]:
+    """The CSV files of a folder as text, one strict read for each distinct header, in order of the headers.
+
+    A job finds the first line of every file (only blocks at a file's start are looked at); files are grouped by it.
+    Names are trimmed. Files without a line have no rows; a folder without any header is an error.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    layouts = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    if not layouts:
+        raise ValueError(f"no CSV header below {path}")
+    out = []
+    for r in layouts:
+        names = [n.strip() for n in next(csv.reader([r["header"]]))]
+        if len({n.lower() for n in names}) < len(names):
+            raise ValueError(f"repeated column in header {r['header']!r}")
+        reader = _csv(spark, multi_line).option("ignoreLeadingWhiteSpace", False)
+        reader = reader.option("nullValue", "\x00") if keep_blank else reader
+        raw = reader.schema(StructType([StructField(n, StringType()) for n in names])).csv([unquote(f) for f in r["files"]])
+        out.append(raw if keep_blank else raw.select(*[not_blank(F.col(f"`{n}`")).alias(n) for n in names]))
+    return out
+
+
+def read_csv_folder(spark: SparkSession, path: str, multi_line: bool = False, keep_blank: bool = False) -> DataFrame:
+    """CSV files whose headers differ in order or columns, as one table of text; a column that a file lacks is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), csv_layouts(spark, path, multi_line, keep_blank))
+
+
 def read_json(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
@@ -67,7 +100,8 @@ def read_annotations(spark: SparkSession, paths: Sequence[str], json_schema: str
         if low.endswith((".json", ".jsonl")):
             t = map_annotations(read_json(spark, p, json_schema, low.endswith(".jsonl")), p)
         elif low.endswith(".csv"):
-            t = map_annotations(read_csv_text(spark, p), p)
+            # each layout finds its own columns, so files of one folder may name them differently
+            t = reduce(DataFrame.unionByName, [map_annotations(part, p) for part in csv_layouts(spark, p)])
         else:
             raise ValueError(f"no reader for {p}")
         out = t if out is None else out.unionByName(t)

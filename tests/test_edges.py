@@ -276,3 +276,32 @@ def test_folds_follow_the_smallest_class(spark):
     assert sampling.folds_to_use(df, "y", 5) == 4
     with pytest.raises(ValueError, match="too few"):
         sampling.folds_to_use(df.where("g >= 2"), "y", 5)
+
+
+def test_csv_folder_of_differing_headers(spark, tmp_path):
+    path = tmp_path / "a folder"
+    path.mkdir()
+    (path / "1.csv").write_text("file_id,label\n1,real\n2,\n")
+    (path / "2.csv").write_text('label,"note, long",file_id\nfake,"a ""b""",3\n')
+    (path / "3.csv").write_text("file_id,label\n4,fake\n")
+    (path / "4.csv").write_text("")
+    got = readers.read_csv_folder(spark, str(path))
+    assert sorted(got.columns) == ["file_id", "label", "note, long"]
+    assert rows(got.select("file_id", "label", "`note, long`")) == [
+        ("1", "real", None), ("2", None, None), ("3", "fake", 'a "b"'), ("4", "fake", None)]
+    (path / "5.csv").write_text("file_id,FILE_ID\n1,2\n")
+    with pytest.raises(ValueError, match="repeated column"):
+        readers.read_csv_folder(spark, str(path))
+    with pytest.raises(ValueError, match="no CSV header"):
+        empty = tmp_path / "none.csv"
+        empty.write_text("")
+        readers.read_csv_folder(spark, str(empty))
+
+
+def test_annotation_folder_of_differing_headers(spark, tmp_path):
+    path = tmp_path / "marks.csv"
+    path.mkdir()
+    (path / "1.csv").write_text("file_id,start_sec,end_sec\n1,0.5,1\n")
+    (path / "2.csv").write_text("insert_end_sec,id,insert_start_sec\n4,2,3\n")
+    got = readers.read_annotations(spark, [str(path)], "")
+    assert rows(got.select("file_id", "start", "end")) == [("1", "0.5", "1"), ("2", "3", "4")]
