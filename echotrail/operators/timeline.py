@@ -135,7 +135,7 @@ def suspicious_segments(df: DataFrame, regions: DataFrame, limit: int = 5,
 def merged_candidates(key: str, *sources: DataFrame) -> DataFrame:
     """Candidate lists (key, rank, start_sec, end_sec, probability) without repeated bounds.
 
-    Earlier sources win; rows come back ordered by rank, unranked last.
+    Earlier sources win. Rows are not sorted: the rank is a column, null or 0 for unranked ones.
     """
     tagged = [s.select(key, "rank", "start_sec", "end_sec", "probability", F.lit(i).alias("_src"))
               for i, s in enumerate(sources)]
@@ -145,8 +145,7 @@ def merged_candidates(key: str, *sources: DataFrame) -> DataFrame:
     w = Window.partitionBy(key, "start_sec", "end_sec").orderBy("_src", F.col("rank").asc_nulls_last())
     kept = union.where(F.col("start_sec").isNotNull() & F.col("end_sec").isNotNull()).withColumn(
         "_dup", F.row_number().over(w)).where("_dup = 1")
-    return kept.select(key, "rank", "start_sec", "end_sec", "probability").orderBy(
-        key, F.coalesce(F.nullif("rank", F.lit(0)), F.lit(999)), "start_sec")
+    return kept.select(key, "rank", "start_sec", "end_sec", "probability")
 
 
 def text_of(seconds: Column) -> Column:

@@ -408,7 +408,7 @@ def error_cases(spark, sf):
            "clean_human_false_alarm", "partial_fabrication_missed"]
     rank = F.coalesce(F.try_element_at(L.lookup(ERROR_PRIORITY), c("status_raw")), F.lit(50))
     return (df.where(T.not_blank(c("error")).isNotNull() | c("status_raw").isin(bad))
-            .withColumn("priority", rank).orderBy("priority", "status_raw", "row_id"))
+            .withColumn("priority", rank))
 
 
 RES = f"WITH b AS ({I.RESULTS_SQL['baseline']})"
