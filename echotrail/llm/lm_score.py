@@ -246,10 +246,10 @@ def score(docs: DataFrame, keep: list[str], order: int = ORDER, min_count: int =
             counts, grams = gram_hashes(table, order)
             totals = []
             for n, values in enumerate(grams, 1):
-                if n > 2:  # the others were not asked for
-                    values = np.where(live(totals[-1]), values, np.uint64(0))
-                found = looked_up(values, answers, n, edges, int(n == 1)).astype(np.float64)
-                totals.append(found if n == 1 else np.where(values > 0, found, 0.0))
+                asked = values > 0 if n < 3 else live(totals[-1]) & (values > 0)
+                found = np.zeros(len(values))
+                found[asked] = looked_up(values[asked], answers, n, edges, int(n == 1))
+                totals.append(found)
             columns = [*[table.column(c) for c in names], pa.array(counts, pa.int64()), pa.array(backed_off(counts, totals, words, min_count, backoff), pa.float64())]
             yield from pa.Table.from_arrays(columns, names=[*names, "n_words", "lm_score"]).to_batches()
 
