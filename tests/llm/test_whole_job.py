@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge_rows import SMALL  # noqa: F401
 from pyspark.sql import functions as F
@@ -150,6 +151,39 @@ def test_backoff_parts_are_settled(spark, monkeypatch):
     assert len(got) == 60 and got == want
 
 
+def test_backoff_of_a_scan_that_is_split_anew(spark, monkeypatch, tmp_path):
+    """A scan cut differently between asking and looking up finds the same totals; parts of several splits included."""
+    texts = [(k, " ".join(f"w{(k * j) % 13}" for j in range(k % 9)) or None) for k in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/docs")
+    want = {r["doc_id"]: round(r["lm_score"], 6) for r in lm_score.score(docs, ["doc_id"]).collect()}
+    monkeypatch.setattr(lm_score, "PART", 600)
+    monkeypatch.setattr(lm_score, "RANGE", 500)
+    scored = lm_score.score(spark.read.parquet(f"{tmp_path}/docs"), ["doc_id"])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = {r["doc_id"]: round(r["lm_score"], 6) for r in scored.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == 300 and got == want
+
+
+def test_shortened_hashes_tell_asked_ngrams_apart():
+    rng = np.random.default_rng(3)
+    near = np.uint64(1 << 40) + np.arange(50, dtype=np.uint64)  # neighbours that differ in the last bits alone
+    asked = {7: np.unique(np.append(rng.integers(0, 1 << 63, 400, np.uint64), near)), 9: rng.integers(0, 1 << 63, 3, np.uint64)}
+    asked[9] = np.unique(np.append(asked[9], asked[7][::5]))
+    rows = [(part, lm_score.packed(np.diff(g, prepend=np.uint64(0))), lm_score.packed(np.ones(len(g), np.uint32))) for part, g in asked.items()]
+    table = pa.table({"part": pa.array([r[0] for r in rows]), "gram": pa.array([2, 2], pa.int32()), "slot": pa.array([0, 0], pa.int32()),
+                      "hashes": [r[1] for r in rows], "counts": [r[2] for r in rows]})
+    answers = lm_score.answer(2)((pa.scalar(2), pa.scalar(0)), table).to_pylist()
+    for part, grams in asked.items():
+        found = lm_score.looked_up(grams, [r for r in answers if r["part"] == part], 2, lm_score.slot_edges(1), 0)
+        assert found.tolist() == [2 if g in asked[7] and g in asked[9] else 0 for g in grams]
+
+
 def test_decontamination_adds_up_runs(spark):
     words = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "su", "ta") for b in ("rn", "st", "ld", "ck", "mp", "sh", "nd")]
     item, short = words[:38], words[20:42]
