@@ -174,6 +174,7 @@ def fabrication_direction(c: Column) -> Column:
 
 # Rule-based label normalisation ----------------------------------------------------------
 
+# Labels and risk levels of the schema (fixed values).
 ATTACK_HINTS = ["bonafide", "synthesis", "voice_conversion", "replay", "unknown"]
 RISKS = ["low", "medium", "high", "inconclusive"]
 
@@ -320,6 +321,7 @@ def window_weight(source: Column, role: Column, risk: Column, existing: Column)
     return F.least(F.lit(WEIGHT_MAX), F.greatest(base, existing * 0.5)), reason
 
 
+# Manipulation types that are platform effects (fixed values).
 PLATFORM_TYPES = ["whatsapp_compressed", "youtube_broadcast", "phone_recorded", "noisy_room"]
 
 

@@ -266,6 +266,7 @@ def failure_type(correct: Column) -> Column:
         .when(hit & ~partial, "false_partial_alarm").otherwise("wrong_origin"))
 
 
+# Recording types counted as processed (fixed values).
 PROCESSED_HUMAN = ["human_replay", "mixer_processed", "edited_spliced", "phone_recorded", "whatsapp_compressed", "noisy_room"]
 PROCESSED_AI = ["ai_replay", "mixer_processed", "whatsapp_compressed", "phone_recorded", "noisy_room"]
 
