@@ -7,7 +7,8 @@ or a lost executor finds the same parts. Passages of a part list their distinct
 cut into ranges of the hash; the count table of a range is their sum, and a join in that range answers every part with
 the totals of its own n-grams, as small files by part in the shared folder. An n-gram can reach `min_count` only if
 its first and last n - 1 words do, so longer orders are asked in a second pass, where both shorter ones were answered; n-grams
-below `min_count` get no answer. Tasks then look up all positions and sum per document. Texts are never shuffled. An
+below `min_count` get no answer. Tasks then look up all positions and sum per document. Texts are never shuffled; documents
+that do not come from a plain scan are written first. An
 n-gram leaves a passage once however often it occurs, so a frequent n-gram is no hot key; rows of a part and the number
 of ranges follow the corpus, so groups keep their size.
 
