@@ -54,6 +54,16 @@ def test_near_dedup_reaches_a_similarity_of_eight_tenths(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs.repartition(5), SMALL).collect()} == want
 
 
+def test_near_dedup_starts_from_fingerprints(spark, monkeypatch):
+    """With the search for the rest switched off, the Golay keys still find near copies, and the exact check parts other texts."""
+    monkeypatch.setattr(near_copies, "possible", lambda *a: F.lit(False))
+    alpha, beta = "alpha " * 200, "beta " * 200  # one shingle that sets the fingerprint
+    own = [" ".join(f"{c}{k}" for k in range(40)) for c in "xyz"]
+    rows = [(1, alpha + own[0]), (2, alpha + own[0] + " end"), (3, beta + own[0]), (6, beta + own[1]), (4, own[2]), (5, own[2].upper()), (None, None)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SMALL).collect()
+    assert {r["doc_id"] for r in kept} == {1, 3, 4, 6, None} and len(kept) == 5
+
+
 @pytest.mark.parametrize("many", [300, 600])
 def test_templates_are_no_candidates(spark, monkeypatch, many):
     """Texts that share most of their words but are not similar cost a few comparisons each, not one for every other text."""
