@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echotrail.operators.skew import join_keys
+from echotrail.operators.skew import join_keys, settled
 
 KNOTS, FINE = 63, 512
 ACCURACY, SMALL = 10_000, 10_000
@@ -117,9 +117,10 @@ def bracket_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], pr
     margin = 4 / ACCURACY
     sides = {n: (max(0.0, p - margin), min(1.0, p + margin)) for n, (_, p) in probs.items()}
     of = {v: [n for n, (c, _) in probs.items() if c == v] for v in values}
-    stats = df.groupBy(*keys).agg(*aggs, *[c for k, v in enumerate(values) for c in (
+    # written, so that its size is known: a shuffled side with few keys would send all rows of a group to one task
+    stats = settled(df.groupBy(*keys).agg(*aggs, *[c for k, v in enumerate(values) for c in (
         F.count(v).alias(f"_n{k}"),
-        F.percentile_approx(F.col(v).cast("double"), [s for n in of[v] for s in sides[n]], ACCURACY).alias(f"_q{k}"))])
+        F.percentile_approx(F.col(v).cast("double"), [s for n in of[v] for s in sides[n]], ACCURACY).alias(f"_q{k}"))]))
     marked = [c for c in stats.columns if c.startswith(("_n", "_q"))]
     rows = join_keys(df.select(*keys, *values), stats.select(*keys, *marked), keys)
     cells = []

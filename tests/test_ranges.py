@@ -108,3 +108,16 @@ def test_large_groups_are_never_held_for_a_quantile(spark):
     df = inputs.predictions(spark, SMALL)
     rows = ranges.bracket_stats(df.unionByName(df).unionByName(df), ["task_name"], [], {"m": ("prob", 0.5)})
     assert rows.count() == 3
+
+
+def test_rows_of_few_groups_are_not_sent_to_one_task_each(spark):
+    """The sketches are one row a group and small: they go to the rows, not the rows to them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+    try:
+        df = spark.range(200_000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 100_003 / 2.0).alias("x"))
+        out = ranges.bracket_stats(df, ["k"], [F.count(F.lit(1)).alias("n")], {"m": ("x", 0.5)})
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.percentile("x", F.lit(0.5)).alias("m")).collect()}
+        assert {r["k"]: r["m"] for r in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
