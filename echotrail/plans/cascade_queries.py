@@ -483,6 +483,8 @@ def counterfactual(spark, sf):
     """
     lim = segment_limit(spark, sf, LOOSE["broad_limit"])
     h = join_ids(holdout(spark, sf).where((c("error_status") == "ok") & c("segment_count").isNotNull()), lim, ["file_id"], "left")
+    h = settled(h.select("file_id", "expected", "test_group", "partial_evidence_positive", "gate_prob", "max_probability",
+                         "topk_minus_rest", "high_segment_fraction", "crowded"))  # read by four branches below
     gate, mx, con, hf, crowded = c("gate_prob"), c("max_probability"), c("topk_minus_rest"), c("high_segment_fraction"), c("crowded")
     ok = {"file_gate": gate >= LOOSE["file_gate_threshold"], "segment": mx >= LOOSE["segment_threshold"],
           "contrast": con >= LOOSE["contrast_threshold"], "broad": hf <= LOOSE["broad_limit"]}
@@ -498,7 +500,7 @@ def counterfactual(spark, sf):
     marks = [F.when(missed & ~ok[g], ask(g)) for g in OTHER] + [F.when(quiet & others[g], add(g, value[g], 1)) for g in OTHER]
     marks.append(F.when(quiet & others["segment"] & crowded.isNotNull(), add("segment", crowded, -1)))
     m = h.select("file_id", F.explode(F.filter(F.array(*marks), lambda x: x.isNotNull())).alias("m")).select("file_id", "m.*")
-    per_value = m.groupBy("gate", "v").agg(F.sum("w").alias("w"))
+    per_value = settled(m.groupBy("gate", "v").agg(F.sum("w").alias("w")))
     reach = running(per_value, ["gate"], [c("v").desc()], {"new_false_positives": ("sum", c("w"))})
     asked = join_ids(m.where("ask").select("file_id", "gate", "v"), reach.select("gate", "v", "new_false_positives"), ["gate", "v"])
     recover = F.when(c("gate") == "segment", others["segment"] & F.coalesce(mx > crowded, F.lit(True)))
