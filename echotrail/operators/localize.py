@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from echotrail.functions.numbers import row_mean
 from echotrail.operators.skew import (
     EVERY, MEASURE, by_halves, group_medians, join_ids, min_rank_descending, neighbours,
-    percent_rank_average, settled, top_rows,
+    percent_rank_average, settled, spread, top_rows,
 )
 
 MAD_SCALE = 1.4826  # makes the median absolute deviation comparable to a standard deviation
@@ -113,7 +113,8 @@ def _margins(j: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
 def localization_candidates(df: DataFrame, key: str, ident: str, groups: dict[str, list[str]],
                             inside: Column, outside: Column, top_k: int = 5, k: int = 1) -> DataFrame:
     """All within-recording scores, the candidate rank and class of every segment."""
-    return by_halves(df, [key], lambda part, size: _candidates(part, key, ident, groups, inside, outside, top_k, k, size))
+    work = lambda part, size: _candidates(spread(part, [key]) if size is None else part, key, ident, groups, inside, outside, top_k, k, size)
+    return by_halves(df, [key], work)
 
 
 def _candidates(df: DataFrame, key: str, ident: str, groups: dict[str, list[str]],

@@ -22,6 +22,7 @@ HOT_ROWS_KEY = "spark.echotrail.hotGroupRows"
 HOT_ROWS_DEFAULT = 2_000_000
 SLICE_ROWS_KEY = "spark.echotrail.sliceRows"  # default: a quarter of the hot limit
 SLICE = "_slice"
+TASK_ROWS = 250_000  # rows of ordinary groups that `spread` gives to one task
 MEASURE = object()  # default of `hot`: measure the groups now
 EVERY = object()  # value of `hot`: all rows belong to hot groups; None: none does
 
@@ -71,6 +72,15 @@ def by_halves(df: DataFrame, keys: Sequence[str], work: Callable[[DataFrame, obj
     return sliced_result if cold is None else work(cold, None).unionByName(sliced_result)
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows dealt by their keys, about TASK_ROWS to a task, whatever the table's size; few rows stay as they are.
+
+    For chains of windows on ordinary groups: tasks grow in number, not in memory. Counts the rows, so they should be cheap to read.
+    """
+    parts = -(-df.count() // TASK_ROWS)
+    return df if parts <= df.sparkSession.sparkContext.defaultParallelism else df.repartition(parts, *keys)
+
+
 def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Rows of hot groups with `_slice`: ordered contiguous parts, checkpointed so that their numbers cannot change."""
     parts = max(2, -(-df.count() // slice_rows(df)))
