@@ -13,7 +13,7 @@ from echotrail.operators import newton as N
 from echotrail.operators import quality as Q
 from echotrail.operators import sampling as X
 from echotrail.operators.profile import feature_long, issue_rows
-from echotrail.operators.skew import join_ids, numbered
+from echotrail.operators.skew import join_ids, numbered, settled
 from echotrail.plans import inputs as I
 from echotrail.plans.metric_queries import rounded
 from echotrail.plans.registry import query
@@ -211,9 +211,10 @@ def group_folds(spark, sf):
 @query("x8_fold_groups", f"{FOLD} SELECT fold, count(DISTINCT p.file_id) AS groups, count(*) AS rows, round(avg(y_true), 6) AS positive_rate, 0::BIGINT AS groups_in_other_folds FROM p JOIN fo USING (file_id) GROUP BY 1")
 def fold_groups(spark, sf):
     p = I.predictions(spark, sf)
-    j = join_ids(p, X.group_folds(p, "file_id", "y_true", 5, 42), ["file_id"])
+    files = p.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y_true").alias("p"))  # rows of a file need no fold of their own
+    j = settled(join_ids(files, X.group_folds(p, "file_id", "y_true", 5, 42), ["file_id"]))
     split = X.spread_groups(j, "file_id", "fold").select("file_id", F.lit(1).alias("_bad"))
-    per = join_ids(j.groupBy("fold", "file_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y_true").alias("p")), split, ["file_id"], "left")
+    per = join_ids(j.groupBy("fold", "file_id").agg(F.sum("n").alias("n"), F.sum("p").alias("p")), split, ["file_id"], "left")
     return rounded(per.groupBy("fold").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"), (F.sum("p") / F.sum("n")).alias("positive_rate"),
                                            F.count("_bad").alias("groups_in_other_folds")))
 

@@ -2,7 +2,9 @@
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
+from echotrail.operators import skew
 from echotrail.plans.catalog import QUERIES
 
 
@@ -43,3 +45,17 @@ def test_localisation_shuffles_recordings_once(spark):
 
 def test_top_rows_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(QUERIES["w14_top_segments"](spark, SMALL))
+
+
+@pytest.mark.parametrize("name", ["f19_counterfactual", "x8_fold_groups"])
+def test_branches_read_one_written_table(spark, name):
+    assert "l_orderkey" not in plan(QUERIES[name](spark, SMALL))
+
+
+def test_tasks_of_localisation_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    rows = skew.spread(spark.range(5_000).withColumn("k", F.col("id") % 1_000), ["k"])
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert rows.rdd.getNumPartitions() == 50 and max(sizes) < 300
+    for name in ("w9_combined_scores", "w11_candidate_classes", "w13_top_candidates"):
+        assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SMALL))
