@@ -142,6 +142,13 @@ def test_last_stage_returns_the_tokens(spark):
         assert len(r["ids"]) == 4 * r["n_tokens"] and hashlib.sha256(r["ids"]).hexdigest() == r["ids_sha256"]
 
 
+def test_last_stage_needs_one_python_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None), (3, "a <|endoftext|> b\u00a0 \U0001f600")], "doc_id long, text string")
+    out = corpus_pipeline.token_ids(spark, docs, SMALL)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [(r["doc_id"], r["round_trip"]) for r in out.orderBy("doc_id").collect()] == [(1, True), (2, True), (3, True)]
+
+
 def test_sample_holds_one_document_of_an_id(spark):
     docs = spark.createDataFrame([(1, f"text {k % 7}") for k in range(500)] + [(2, "other")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
