@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from echotrail.operators.metrics import with_rates
 from echotrail.operators.ranges import bracket_stats, ranking_metrics
-from echotrail.operators.sampling import folds_to_use, group_folds
+from echotrail.operators.sampling import folds_by_mix, folds_to_use
 from echotrail.operators.skew import join_keys, settled
 
 STEPS, RIDGE = 8, 0.01
+#: Buffer columns of one aggregation: Spark compiles no aggregation of more than 100 (spark.sql.codegen.maxFields).
+BUFFERS = 96
 
 
 @dataclass
@@ -49,6 +51,18 @@ def chance(weights: Sequence[float], inputs: Sequence[Column]) -> Column:
     return 1 / (1 + F.exp(-line))
 
 
+def compiled(rows: DataFrame, sums: Sequence[tuple[int, Column]]) -> dict:
+    """Values of aggregates, given with their numbers of buffer columns, in as many scans as Spark needs to compile each."""
+    scans, width = [[]], 0
+    for n, a in sums:
+        if width + n > BUFFERS and scans[-1]:
+            scans.append([])
+            width = 0
+        scans[-1].append(a)
+        width += n
+    return {k: v for scan in scans for k, v in rows.agg(*scan).first().asDict().items()}
+
+
 def screened(rows: DataFrame, features: Sequence[str], label: str, masks: Sequence[str], k_best: int) -> list[tuple[Linear, list[int]]]:
     """For every mask column the chosen features with their statistics, and the sizes of the two classes."""
     spots = [(i, j) for i in range(len(masks)) for j in range(len(features))]
@@ -57,12 +71,12 @@ def screened(rows: DataFrame, features: Sequence[str], label: str, masks: Sequen
                             {f"m{i}_{j}": (f"v{i}_{j}", 0.5) for i, j in spots}).first()
     known = [(i, j) for i, j in spots if medians is not None and medians[f"m{i}_{j}"] is not None]
     sides = [(i, y, F.col(m) & (F.col(label) == y)) for i, m in enumerate(masks) for y in (0, 1)]
-    sums = [F.count_if(side).alias(f"n{i}_{y}") for i, y, side in sides]
+    sums = [(1, F.count_if(side).alias(f"n{i}_{y}")) for i, y, side in sides]
     for i, y, side in sides:
         for j in (j for k, j in known if k == i):
             x = F.when(side, F.coalesce(F.col(features[j]).cast("double"), F.lit(medians[f"m{i}_{j}"])))
-            sums += [F.avg(x).alias(f"a{i}_{j}_{y}"), F.var_samp(x).alias(f"s{i}_{j}_{y}")]
-    found = rows.agg(*sums).first()
+            sums += [(2, F.avg(x).alias(f"a{i}_{j}_{y}")), (3, F.var_samp(x).alias(f"s{i}_{j}_{y}"))]
+    found = compiled(rows, sums)
     out = []
     for i, m in enumerate(masks):
         n = [found[f"n{i}_{y}"] for y in (0, 1)]
@@ -126,8 +140,11 @@ def out_of_fold(df: DataFrame, features: Sequence[str], label: str, group: str,
 
     The number of folds is lowered to the groups of the smallest class; every model must see both classes.
     """
-    folds = folds_to_use(df.select(group, label).distinct(), label, folds)
-    fold = group_folds(df, group, label, folds, seed).select(group, "fold")
+    counts = settled(df.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n")))  # the rows are grouped once: all about folds is read from it
+    folds = folds_to_use(counts, label, folds)
+    y = F.col(label).cast("double")
+    mix = counts.groupBy(group).agg((F.sum(y * F.col("_n")) / F.sum(F.when(y.isNotNull(), F.col("_n")))).alias("_m"))
+    fold = folds_by_mix(mix, group, folds, seed).select(group, "fold")
     data = settled(join_keys(df.select(*dict.fromkeys([*keep, group, label, *features])), fold, [group]))
     models = fit(data, features, label, {str(f): F.col("fold") != f for f in range(folds)}, k_best, steps)
     p = F.coalesce(*[F.when(F.col("fold") == int(f), m.probability()) for f, m in models.items()])

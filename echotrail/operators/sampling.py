@@ -97,7 +97,11 @@ def group_folds(df: DataFrame, group: str, target: str, folds: int, seed: int) -
 
     No group is in two folds; the class balance of the folds is approximate.
     """
-    mix = df.groupBy(group).agg(F.avg(F.col(target).cast("double")).alias("_m"))
+    return folds_by_mix(df.groupBy(group).agg(F.avg(F.col(target).cast("double")).alias("_m")), group, folds, seed)
+
+
+def folds_by_mix(mix: DataFrame, group: str, folds: int, seed: int) -> DataFrame:
+    """`group_folds` from one row (group, _m) for each group, _m being the mean of its target."""
     level = F.when(F.col("_m") == 0, 0).when(F.col("_m") < 0.5, 1).when(F.col("_m") < 1, 2).otherwise(3)
     keyed = mix.select(group, level.alias("class_mix"), draw_key(F.col(group), seed).alias("_k"))
     pos = numbered(keyed, ["class_mix"], [F.col("_k").asc(), F.col(group).asc()], "_pos")

@@ -76,6 +76,23 @@ def test_held_out_rows_do_not_teach_their_model(spark):
     assert len(after) // 2 <= len(same) < len(after)
 
 
+def test_no_scan_has_more_sums_than_spark_compiles(spark, monkeypatch):
+    plans, agg = [], type(spark.range(1)).agg
+    monkeypatch.setattr(type(spark.range(1)), "agg", lambda self, *a: plans.append(agg(self, *a)) or plans[-1])
+    masks = {str(k): F.col("part") != k for k in range(3)}
+    newton.fit(frame(spark, rows()), ["a", "b", "flat", "g"], "y", masks, 2)
+    widths = [plan._jdf.queryExecution().sparkPlan().children().head().output().size() for plan in plans]
+    assert len(widths) > newton.STEPS and max(widths) <= 100
+
+
+def test_folds_group_the_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: seen.add(1) or x, "long").asNondeterministic()
+    data = rows()
+    newton.out_of_fold(frame(spark, data).withColumn("g", count("g")), FEATURES, "y", "g", ["g"], 3, 2, 42).collect()
+    assert seen.value == 2 * len(data)
+
+
 def test_too_few_rows_or_classes_are_refused(spark):
     with pytest.raises(ValueError, match="too few rows"):
         newton.out_of_fold(frame(spark, rows(5)), FEATURES, "y", "g", ["g"], 3, 2, 42)
